@@ -251,6 +251,6 @@ def kb_upsert(spark, sf):
 
 @query("part_name_search")
 def part_name_search(spark, sf):
-    """Fuzzy join of two large sides: suffix-free part names against the part KB."""
-    names = spark.read.parquet(f"{sf}/part.parquet").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("query"))
-    return K.fuzzy_search(names, part_kb(spark, sf), limit=1, threshold=0.85, tickers=False)
+    """Fuzzy join of two table-sized sides: order-entry spellings against the part KB."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("query"))
+    return K.fuzzy_search(names, part_kb(spark, sf), limit=1, threshold=0.8, tickers=False)
