@@ -125,7 +125,7 @@ def related_tickers(tickers: DataFrame) -> DataFrame:
 def exchange_hint(text: Column) -> Column:
     """First exchange code or name contained in the text, US by default."""
     codes = F.array(*[F.when(text.contains(c) | text.contains(n), F.lit(c)) for c, n in D.EXCHANGE_NAMES.items()])
-    return F.coalesce(F.filter(codes, lambda c: c.isNotNull())[0], F.lit("US"))
+    return F.coalesce(F.try_element_at(F.filter(codes, lambda c: c.isNotNull()), F.lit(1)), F.lit("US"))
 
 
 def watchlist(elements: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def page_entities(elements: DataFrame, known: DataFrame, min_score: float = D.MI
                  F.try_element_at(multipliers, F.col("site")).alias("multipliers"),
                  M.array_confidence(F.col("mentions")).alias("nlp_confidence"),
                  F.transform("mentions", lambda m: m["confidence"]).alias("confidences"),
-                 F.col("mentions")[0].alias("m"))
+                 F.try_element_at("mentions", F.lit(1)).alias("m"))
     e = e.select("*", "m.text", "m.normalized", "m.type", "m.confidence").drop("m")
     dom = C.dom_confidence(F.col("positions"), F.col("all_clue_types"), F.col("multipliers"))
     e = C.cross_reference(e.withColumn("dom", dom), known)

@@ -150,7 +150,7 @@ def macro_context(companies: DataFrame, trends: DataFrame, key: str, sector: str
         wide = wide.withColumn(kind, sentences(kind))
 
     def first(kind: str, lead: str, tail: str) -> Column:
-        return F.when(F.size(kind) > 0, F.concat(F.lit(lead), F.lower(F.col(kind)[0]), F.lit(tail))).otherwise("")
+        return F.when(F.size(kind) > 0, F.concat(F.lit(lead), F.lower(F.try_element_at(kind, F.lit(1))), F.lit(tail))).otherwise("")
 
     summary = F.trim(F.concat(
         F.lit("Economic context for "), F.col("_s"), F.lit(" sector: "),
@@ -219,7 +219,8 @@ def ownership_key(name: Column) -> Column:
     low = F.lower(name)
     head = F.split_part(low, F.lit(" "), F.lit(1))
     keys = literal_array(list(D.OWNERSHIP_TABLE))
-    return F.coalesce(F.filter(keys, lambda k: low.contains(k) | k.contains(head))[0], F.lit("default"))
+    hits = F.filter(keys, lambda k: low.contains(k) | k.contains(head))
+    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit("default"))
 
 
 def lookup_ownership(names: DataFrame, name: str = "name") -> DataFrame:

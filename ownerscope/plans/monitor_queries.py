@@ -1 +1,124 @@
-"""Queries."""
+"""Request-log and source-health queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ownerscope.functions.text import requester_key
+from ownerscope.operators import monitor as N
+from ownerscope.operators.running import by_day
+from ownerscope import dictionaries as D
+from ownerscope.plans import sqlparts as Q
+from ownerscope.plans.registry import query
+from ownerscope.plans.workload import cte, table, view
+
+# the test log is sparse, so the windows are hours instead of seconds
+WINDOWS = {"w_1h": 3600, "w_6h": 21600, "w_1d": 86400, "w_7d": 604800}
+LIMITS = [("BURST_LIMIT", 2, 3600, 1800), ("GLOBAL_LIMIT", 3, 21600, 7200), ("HOURLY_LIMIT", 6, 86400, 14400), ("DAILY_LIMIT", 20, 604800, 86400)]
+PATTERNS = {"burst": (2, 7200), "rapid": (3, 14400), "hourly": (12, 604800)}
+
+
+def _trailing(name: str, seconds: int) -> str:
+    return (f"cast(count(*) over (partition by requester order by us range between {seconds * 1000000 - 1} preceding and current row) "
+            f"- (count(*) over (partition by requester, us) - row_number() over (partition by requester, us order by event_id)) - 1 as bigint) as {name}")
+
+
+@query("trailing_request_counts", f"""{cte('v_request')}, r as (select *, epoch_us(ts) as us from v_request)
+select requester, event_id, {", ".join(_trailing(n, s) for n, s in WINDOWS.items())} from r""")
+def trailing_request_counts(spark, sf):
+    return N.trailing_counts(view(spark, sf, "v_request"), "requester", "ts", "event_id", WINDOWS).select(
+        "requester", "event_id", *WINDOWS)
+
+
+@query("request_timing", f"""{cte('v_request')},
+g as (select *, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by requester order by ts, event_id)) / 1e6 as gap from v_request),
+w as (select requester, event_id, count(*) over o as requests, avg(gap) over o as mean, stddev_pop(gap) over o as sd from g window o as (partition by requester order by ts, event_id rows unbounded preceding))
+select requester, event_id, requests, round(sd / mean, 4) as cv, case when requests > 10 and sd / mean < 0.75 then 0.95::double else 0e0 end as timing_score from w where requests > 1""")
+def request_timing(spark, sf):
+    out = N.timing_regularity(view(spark, sf, "v_request"), "requester", "ts", "event_id", max_cv=0.75)
+    return out.filter("requests > 1").select("requester", "event_id", F.col("requests").cast("bigint").alias("requests"),
+                                             F.round("cv", 4).alias("cv"), "timing_score")
+
+
+@query("running_value_mean", """select event_type, event_id, round(avg(value) over (partition by event_type order by ts, event_id rows unbounded preceding) + 1e-9, 6) as running_mean from events""")
+def running_value_mean(spark, sf):
+    out = N.running_mean(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], by_day("ts"), "value")
+    return out.select("event_type", "event_id", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
+
+
+_TIER = "case source " + " ".join(f"when '{k}' then {n}" for k, (n, _) in D.SOURCE_TIERS.items()) + " end"
+
+
+@query("failure_streaks", f"""{cte('v_fetch')},
+f as (select *, sum(case when ok then 1 else 0 end) over (partition by source order by ts, event_id rows unbounded preceding) as grp from v_fetch),
+s as (select source, event_id, cast(sum(case when ok then 0 else 1 end) over (partition by source, grp order by ts, event_id rows unbounded preceding) as bigint) as streak from f)
+select source, event_id, streak, streak >= {_TIER} as open from s""")
+def failure_streaks(spark, sf):
+    return N.failure_streaks(view(spark, sf, "v_fetch")).select("source", "event_id", F.col("streak").cast("bigint").alias("streak"), "open")
+
+
+@query("rate_alarms", """select time_bucket(interval '3600 seconds', ts) as window_start, count(*) as detections from events group by 1 having count(*) > 15""")
+def rate_alarms(spark, sf):
+    out = N.rate_alarm(table(spark, sf, "events"), seconds=3600, limit=15)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _limit_sql(n: int, seconds: int) -> str:
+    """The fold row by row: admitted timestamps travel in a list."""
+    return f"""with recursive v_request as (select user_id as requester, event_id, ts from events),
+o as (select requester, event_id, epoch_us(ts) as us, row_number() over (partition by requester order by ts, event_id) as rn from v_request),
+fold as (select requester, event_id, rn, [us] as kept, true as ok from o where rn = 1
+  union all select o.requester, o.event_id, o.rn, case when len(x.l) < {n} then list_append(x.l, o.us) else x.l end, len(x.l) < {n}
+  from fold f join o on o.requester = f.requester and o.rn = f.rn + 1,
+  lateral (select list_filter(f.kept, lambda t: o.us - t < {seconds * 1000000}) as l) x)
+select requester, event_id, case when ok then 'admitted' else 'rejected' end as decision from fold"""
+
+
+@query("sliding_limit", _limit_sql(3, 21600))
+def sliding_limit(spark, sf):
+    return N.sliding_limit(view(spark, sf, "v_request"), "requester", "ts", "event_id", 3, 21600).select("requester", "event_id", "decision")
+
+
+@query("admission_control")
+def admission_control(spark, sf):
+    """Tiered admission decisions over the whole request log."""
+    return N.admission(view(spark, sf, "v_request"), "requester", "ts", "event_id", LIMITS, PATTERNS).select(
+        "requester", "event_id", "decision")
+
+
+@query("limiter_stats")
+def limiter_stats(spark, sf):
+    return N.limiter_stats(N.admission(view(spark, sf, "v_request"), "requester", "ts", "event_id", LIMITS, PATTERNS), "requester")
+
+
+@query("source_health")
+def source_health(spark, sf):
+    """Circuit state after each call of the fetch log."""
+    return N.source_health(view(spark, sf, "v_fetch"), tiers={k: (n, r * 60) for k, (n, r) in D.SOURCE_TIERS.items()}).select(
+        "source", "event_id", "ok", "state")
+
+
+@query("ttl_deduplicated", """with recursive o as (select user_id as requester, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+fold as (select requester, event_id, rn, us as last, true as kept from o where rn = 1
+  union all select o.requester, o.event_id, o.rn, case when o.us - f.last >= 43200000000 then o.us else f.last end, o.us - f.last >= 43200000000
+  from fold f join o on o.requester = f.requester and o.rn = f.rn + 1)
+select requester, event_id from fold where kept""")
+def ttl_deduplicated(spark, sf):
+    return N.ttl_dedupe(view(spark, sf, "v_request"), "requester", "ts", "event_id", 43200).select("requester", "event_id")
+
+
+_ORIGIN = "case event_id % 5 when 0 then '' when 1 then 'https://www.forbes.com/x' when 2 then 'http://a.example.org:8080/y?z' when 3 then 'not a url' else null end"
+
+
+@query("requester_keys", f"""select event_id, concat(cast(user_id as varchar), '_', case when o is null or o = '' then 'unknown' when regexp_matches(o, '^https?://') then regexp_extract(o, '^https?://([^/:]+)', 1) else 'invalid' end) as requester_key
+from (select *, {_ORIGIN} as o from events) x""")
+def requester_keys(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", requester_key(F.col("user_id"), F.expr(_ORIGIN)).alias("requester_key"))
+
+
+@query("latest_values", """select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
+def latest_values(spark, sf):
+    """Latest quote per key, as an aggregate rather than a sort."""
+    e = table(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("q")).select("user_id", "q.*")
