@@ -1 +1,330 @@
-"""Queries."""
+"""Page scanning, DOM context and confidence-scoring queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from ownerscope import dictionaries as D
+from ownerscope.functions.text import literal_map
+from ownerscope.operators import detect as X
+from ownerscope.operators import mentions as M
+from ownerscope.operators import scoring as C
+from ownerscope.plans import sqlparts as Q
+from ownerscope.plans.registry import query
+from ownerscope.plans.workload import cte, table, view
+from ownerscope.session import materialize
+from ownerscope.sources import pages as P
+
+_PAGE = cte("v_page")
+_HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
+_PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+_SITE = "case " + _HOST + " " + " ".join(f"when '{h}' then '{s}'" for h, s in D.SITE_HOSTS.items()) + " end"
+
+
+@query("site_routing", f"""{_PAGE} select page_id, {_SITE} as site, case {" ".join(f"when regexp_matches(url, {Q.rx(p)}) then '{s}'" for s, p in D.TRUSTED_ORIGINS)} end as trusted from v_page""")
+def site_routing(spark, sf):
+    u = F.col("url")
+    return view(spark, sf, "v_page").select("page_id", P.site_of(u).alias("site"), P.trusted_site(u).alias("trusted"))
+
+
+def _any(expr: str, patterns) -> str:
+    return "(" + " or ".join(f"regexp_matches({expr}, {Q.rx(p)})" for p in patterns) + ")"
+
+
+@query("page_types", f"""{_PAGE}, u as (select page_id, url, {_PATH} as p from v_page)
+select page_id, {_any('lower(p)', D.COMPANY_PAGE_PATHS)} or {Q.contains_any('lower(url)', D.COMPANY_PAGE_PARTS)} as company_page,
+  contains(p, '/story/') or contains(p, '/articles/') as article, contains(p, '/investing/stock/') as quote, contains(p, '/markets') as markets,
+  contains(p, '/watchlist') as watchlist, p in ('/', '/latest-news') as home, contains(p, '/markets/') as market_news, contains(p, '/company/') as company_news,
+  contains(p, '/opinion/') as opinion, case when contains(p, '/companies/') then 'company-profile' when contains(p, '/lists/') then 'list' end as page_type,
+  case when contains(p, '/companies/') then regexp_extract(p, '/companies/([^/]*)', 1) end as slug from u""")
+def page_types(spark, sf):
+    u = F.col("url")
+    return view(spark, sf, "v_page").select(
+        "page_id", P.is_company_page(u).alias("company_page"), P.page_flags(u).alias("f"), P.list_site_context(u).alias("c")).select(
+        "page_id", "company_page", "f.*", "c.*")
+
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_H1 = "regexp_extract_all(html, '<h1(?:\\s[^>]*)?>([^<]*)', 1)"
+_SLUGS = ", ".join(f"nullif(regexp_extract(lower({_PATH}), {Q.rx(p)}, 1), '')" for p in D.COMPANY_SLUGS)
+_TITLES = ", ".join(f"nullif(regexp_extract(trim(title), {Q.rx(p, f)}, 1), '')" for f, p in D.COMPANY_TITLES)
+
+
+@query("page_companies", f"""{_PAGE}, t as (select page_id, url, concat(case page_id % 4 when 0 then 'Acme | ' when 1 then 'Acme Stock Price ' else '' end, {_TITLE}) as title, {_H1} as h from v_page)
+select page_id, coalesce(trim(replace(coalesce({_SLUGS}), '-', ' ')), trim(coalesce({_TITLES})),
+  list_filter(list_transform(h, lambda x: trim(x)), lambda x: length(x) > 2 and length(x) < 50)[1]) as company from t""")
+def page_companies(spark, sf):
+    title = F.concat(F.expr("case page_id % 4 when 0 then 'Acme | ' when 1 then 'Acme Stock Price ' else '' end"),
+                     F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    h1 = F.regexp_extract_all(F.col("html"), F.lit(r"<h1(?:\s[^>]*)?>([^<]*)"), F.lit(1))
+    return view(spark, sf, "v_page").select("page_id", P.page_company(F.col("url"), title, h1).alias("company"))
+
+
+_TAGS = ("h1", "h2", "h3", "p", "span", "a")
+_ELEMENTS = f"""{_PAGE}, v_clean as (select page_id, url, regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', '', 'g') as h from v_page),
+el as ({" union all ".join(f"select page_id, url, '{t}' as tag, unnest(regexp_extract_all(h, '<{t}(?:[ ][^>]*)?>([^<]*)', 1)) as text, unnest(range(0, len(regexp_extract_all(h, '<{t}(?:[ ][^>]*)?>([^<]*)', 1)))) as ord from v_clean" for t in _TAGS)})"""
+
+
+@query("simple_elements", f"""{_ELEMENTS} select page_id, tag, cast(ord as integer) as ord, text from el""")
+def simple_elements(spark, sf):
+    return P.simple_elements(view(spark, sf, "v_page"), _TAGS).select("page_id", "tag", "ord", "text")
+
+
+@query("eligible_elements", f"""{_ELEMENTS} select page_id, tag, cast(ord as integer) as ord, text from el where length(trim(text)) between 2 and 200
+and (tag in {Q.strings(D.ELIGIBLE_TAGS)} or regexp_matches(trim(text), {Q.rx(D.ELIGIBLE_TEXT)}))""")
+def eligible_elements(spark, sf):
+    e = P.simple_elements(view(spark, sf, "v_page"), _TAGS)
+    return e.filter(X.eligible_element(F.col("tag"), F.lit(""), F.col("text"))).select("page_id", "tag", "ord", "text")
+
+
+@query("lead_paragraphs", f"""{_ELEMENTS} select page_id, cast(ord + 1 as integer) as paragraph, ord = 0 as first_paragraph, text from el where tag = 'p' and ord < 3""")
+def lead_paragraphs(spark, sf):
+    e = P.simple_elements(view(spark, sf, "v_page"), ("p",)).filter(F.col("ord") < 3)
+    return e.select("page_id", (F.col("ord") + 1).alias("paragraph"), (F.col("ord") == 0).alias("first_paragraph"), "text")
+
+
+def _group(expr: str, pattern: str, n: int = 1) -> str:
+    return f"nullif(regexp_extract({expr}, {Q.rx(pattern)}, {n}), '')"
+
+
+_FULL = r"\b([A-Z]{1,5})(?:\s+(US|LN|HK|JP|GR|FP))(?:\s+(Equity))?\b"
+_SHORT = r"([A-Z]{1,5}):([A-Z]{2})"
+_ISIN = r"\b([A-Z]{2}[A-Z0-9]{10})\b"
+_BRACKET = r"\(([A-Z]{1,5})(?::([A-Z]+))?\)"
+_CHANGE = r"([A-Z]{1,5})\s+[+-]?\d+\.?\d*%"
+
+
+@query("text_tickers", f"""{_ELEMENTS}, k as (select *, case when regexp_matches(text, {Q.rx(_FULL)}) then 'full' when regexp_matches(text, {Q.rx(_SHORT)}) then 'short'
+  when regexp_matches(text, {Q.rx(_ISIN)}) then 'isin' end as kind from el)
+select page_id, tag, cast(ord as integer) as ord, {_group('text', r'([A-Z]{1,5})[ ]*[+-][0-9]+[.][0-9]+%')} as quote_ticker,
+  case kind when 'full' then {_group('text', _FULL)} when 'short' then {_group('text', _SHORT)} when 'isin' then {_group('text', _ISIN)} end as terminal_ticker,
+  case kind when 'full' then {_group('text', _FULL, 2)} when 'short' then {_group('text', _SHORT, 2)} end as exchange,
+  coalesce({_group('text', _BRACKET)}, {_group('text', _CHANGE)}) as market_ticker,
+  coalesce(list_filter([{", ".join(f"case when contains(text, '{c}') or contains(text, '{n}') then '{c}' end" for c, n in D.EXCHANGE_NAMES.items())}], lambda x: x is not null)[1], 'US') as exchange_hint from k""")
+def text_tickers(spark, sf):
+    e = P.simple_elements(view(spark, sf, "v_page"), _TAGS)
+    none, t = F.lit(None).cast("string"), F.col("text")
+    terminal, market = X.terminal_ticker(t), X.market_ticker(t, none, none, none)
+    return e.select("page_id", "tag", "ord", X.quote_ticker(t, none, none).alias("quote_ticker"),
+                    terminal["ticker"].alias("terminal_ticker"), terminal["exchange"].alias("exchange"),
+                    market["ticker"].alias("market_ticker"), X.exchange_hint(t).alias("exchange_hint"))
+
+
+def _clue_sql() -> str:
+    parts = [f"select page_id, tag, ord, '{n}' as type, regexp_extract(text, {Q.rx(p)}, 1) as value from s where site = '{site}' and regexp_matches(text, {Q.rx(p)})"
+             for site, ps in D.SITE_PATTERNS.items() for n, p in ps]
+    return (f"{_ELEMENTS}, s as (select *, {_SITE} as site from el), c as ({' union all '.join(parts)}) "
+            "select page_id, tag, cast(ord as integer) as ord, type, value from c")
+
+
+@query("text_clues", _clue_sql())
+def text_clues(spark, sf):
+    e = P.simple_elements(view(spark, sf, "v_page"), _TAGS)
+    none = F.lit(None).cast("string")
+    return e.select("page_id", "tag", "ord", F.explode(X.clues(P.site_of(F.col("url")), F.col("text"), none, none)).alias("c")).select(
+        "page_id", "tag", "ord", F.col("c.type").alias("type"), F.col("c.value").alias("value"))
+
+
+# --- scoring on flat inputs: order lines stand for detected elements ---------------
+_KIND = "case l_linenumber % 5 when 0 then 'ticker' when 1 then 'company' when 2 then 'company_formal' when 3 then 'company_context' else 'company_intl' end"
+_POS = "case l_suppkey % 6 when 0 then 'h1' when 1 then 'h2' when 2 then 'firstParagraph' when 3 then 'body' when 4 then 'headline' else '' end"
+_CLUE = "case l_partkey % 6 when 0 then 'dataAttribute' when 1 then 'tickerPattern' when 2 then 'companyLink' when 3 then 'href_tickerInUrl' when 4 then 'symbolPattern' else '' end"
+_TEXT = ("case l_partkey % 9 when 0 then 'AAPL' when 1 then 'Apple' when 2 then 'chase  jpmorgan & co.' when 3 then 'Bank of America Corporation' when 4 then 'America of Bank Corporation' "
+         "when 5 then 'BlackRock' when 6 then '$MSFT' when 7 then 'state street' else concat('Maker ', cast(l_suppkey as varchar(20))) end")
+_ELEM = f"""select l_orderkey, l_linenumber, {_KIND} as kind, {_POS} as pos, {_CLUE} as clue, {_TEXT} as text, l_discount * 10 as conf, l_tax * 12.5 as conf2,
+  case l_suppkey % 4 when 0 then 'forbes' when 1 then 'yahoo' when 2 then 'bloomberg' else 'marketwatch' end as site,
+  case l_suppkey % 3 when 0 then 'tech' when 1 then 'banking' end as industry from lineitem"""
+
+
+def _known_values() -> str:
+    keyed = {}
+    for name, aliases, ticker, sector in D.KNOWN_ENTITIES:
+        for k in [name, *aliases, *([ticker, f"${ticker}"] if ticker else [])]:
+            keyed[k.lower()] = (name, ticker, sector)
+    return "(select * from (values " + ", ".join(
+        f"({Q.s(k)}, {Q.s(n)}, {Q.s(t) if t else 'null'}, {Q.s(s)})" for k, (n, t, s) in keyed.items()) + ") v(key, known_name, known_ticker, sector))"
+
+
+_SECTOR_OK = "(" + " or ".join(f"(sector = '{s}' and {Q.contains_any('lower(industry)', ws)})" for s, ws in D.SECTOR_KEYWORDS.items()) + ")"
+
+
+def _mult(site_map: str, name: str) -> str:
+    return "case site " + " ".join(f"when '{s}' then {m[name]}::double" for s, m in D.SITE_MULTIPLIERS.items() if name in m) + " end"
+
+
+_SCORED = f"""with e as ({_ELEM}), known as {_known_values()},
+texts as (select distinct lower(text) as k, list_distinct(string_split_regex(lower(text), '\\s+')) as w from e),
+fuzzy as (select k, max(len(list_intersect(w, string_split_regex(key, '\\s+')))::double / len(list_distinct(list_concat(w, string_split_regex(key, '\\s+'))))) as j from texts cross join known group by k),
+x as (select e.*, case when known_name is not null then least(1e0, (case when kind = 'ticker' and known_ticker = upper(text) then 1e0 else 0.9::double end)
+    * case when industry is not null then case when {_SECTOR_OK} then 1.1::double else 0.9::double end else 1e0 end) when j > 0.8 then j * 0.8::double else 0e0 end as xref
+  from e left join known on key = lower(text) left join fuzzy on k = lower(text)),
+dom as (select *, least(1e0, case pos {" ".join(f"when '{k}' then {v}::double" for k, v in D.POSITION_WEIGHTS.items())} when '' then 0e0 else 0.5::double end
+   * case when pos = 'h1' then coalesce({_mult('', 'inHeadline')}, 1e0) else 1e0 end * case when pos = 'firstParagraph' then coalesce({_mult('', 'inFirstParagraph')}, 1e0) else 1e0 end
+   * case when clue = 'dataAttribute' and ({_mult('', 'hasDataSymbol')}) is not null then {_mult('', 'hasDataSymbol')}
+          when contains(clue, 'ticker') and ({_mult('', 'hasTicker')}) is not null then {_mult('', 'hasTicker')}
+          when contains(clue, 'company') and ({_mult('', 'hasCompanyTag')}) is not null then {_mult('', 'hasCompanyTag')} else 1e0 end) as dom_conf from x),
+f as (select *, least(1e0, conf * case kind when 'ticker' then 1.2::double when 'company_formal' then 1.1::double when 'company_context' then 0.8::double else 1e0 end) as f1,
+  least(1e0, dom_conf * case pos when 'h1' then 1.3::double when 'h2' then 1.2::double when 'firstParagraph' then 1.15::double else 1e0 end * case when clue = 'dataAttribute' or contains(clue, 'ticker') then 1.25::double else 1e0 end) as f2,
+  least(1e0, conf * case when conf > 0.9 then 1.15::double else 1e0 end * case when conf2 > 0.7 then 1.1::double else 1e0 end) as f3, xref as f4,
+  case when clue = '' then 0.6::double when kind = 'ticker' then case when contains(clue, 'ticker') or contains(clue, 'symbol') then 1e0 else 0.6::double end
+       when contains(clue, 'company') then 1e0 else 0.6::double end as f5a from dom),
+g as (select *, (f5a + case when text = 'Apple' then 1e0 when text = 'state street' then 0.5::double else 0.5::double end) / 2 as f5 from f),
+sc as (select *, (f1 * 0.25::double + f2 * 0.2::double + f3 * 0.25::double + f4 * 0.15::double + f5 * 0.15::double) as score from g),
+lv as (select *, case when score >= 0.85 then 'high' when score >= 0.65 then 'medium' when score >= 0.45 then 'low' else 'reject' end as level from sc)"""
+
+
+def _scored(spark, sf):
+    e = spark.sql(_ELEM.replace("from lineitem", f"from parquet.`{sf}/lineitem.parquet`"))
+    e = e.withColumn("normalized", F.col("text")).withColumn("type", F.col("kind"))
+    e = C.cross_reference(e, C.known_entities(spark), industry="industry")
+    words = lambda c: F.filter(F.array(c), lambda x: x != "")
+    pos, clue = words("pos"), words("clue")
+    mult = F.create_map(*[x for s, m in D.SITE_MULTIPLIERS.items() for x in (F.lit(s), literal_map(m))])
+    e = e.withColumn("dom_conf", C.dom_confidence(pos, clue, F.try_element_at(mult, F.col("site"))))
+    return C.score_entities(e, {
+        "patternMatch": C.pattern_factor(F.col("conf"), F.col("type")),
+        "domContext": C.dom_factor(F.col("dom_conf"), pos, clue),
+        "nlpConfidence": C.nlp_factor(F.col("conf"), F.array("conf", "conf2")),
+        "crossReference": F.col("cross_reference"),
+        "contextConsistency": C.consistency_factor(F.lit("apple"), F.col("text"), clue, F.col("type"))})
+
+
+@query("cross_reference", f"""{_SCORED} select l_orderkey, l_linenumber, text, round(xref, 9) as cross_reference from x""")
+def cross_reference(spark, sf):
+    return _scored(spark, sf).select("l_orderkey", "l_linenumber", "text", F.round("cross_reference", 9).alias("cross_reference"))
+
+
+_REC = """case level when 'high' then 'Entity highly reliable - proceed with confidence' when 'low' then 'Entity uncertain - additional validation recommended'
+ when 'reject' then 'Entity not reliable - consider rejection' else concat('Entity moderately reliable - verify ', case when least(f1, f2, f3, f4, f5) >= 1 then 'unknown factor'
+ when f1 = least(f1, f2, f3, f4, f5) then 'pattern matching' when f2 = least(f1, f2, f3, f4, f5) then 'DOM position' when f3 = least(f1, f2, f3, f4, f5) then 'NLP extraction'
+ when f4 = least(f1, f2, f3, f4, f5) then 'entity verification' else 'context consistency' end) end"""
+
+
+@query("entity_scores", f"""{_SCORED} select l_orderkey, l_linenumber, round(f1, 9) as pattern, round(f2, 9) as dom, round(f3, 9) as nlp, round(f4, 9) as xref, round(f5, 9) as consistency,
+  round(score, 9) as score, level, {_REC} as recommendation from lv""")
+def entity_scores(spark, sf):
+    b = F.col("breakdown")
+    r = lambda k: F.round(b[k], 9)
+    return _scored(spark, sf).select(
+        "l_orderkey", "l_linenumber", r("patternMatch").alias("pattern"), r("domContext").alias("dom"), r("nlpConfidence").alias("nlp"),
+        r("crossReference").alias("xref"), r("contextConsistency").alias("consistency"), F.round("score", 9).alias("score"), "level", "recommendation")
+
+
+@query("score_statistics", f"""{_SCORED} select level, count(*) as n, (select count(*) from lv) as total, round((select avg(score) from lv), 6) as mean_score,
+  round(count(*)::double / (select count(*) from lv) * 100, 6) as percent from lv group by level""")
+def score_statistics(spark, sf):
+    return C.score_stats(_scored(spark, sf)).withColumn("mean_score", F.round("mean_score", 6)).withColumn("percent", F.round("percent", 6))
+
+
+@query("site_metrics", f"""{_SCORED} select site as source, count(*) as detections, round(avg(score), 6) as mean_score from lv where score >= 0.45 group by rollup(site)""")
+def site_metrics(spark, sf):
+    d = _scored(spark, sf).filter(F.col("score") >= D.MIN_SCORE_ADAPTER)
+    return C.site_metrics(d, "site").select(F.col("site").alias("source"), "detections", F.round("mean_score", 6).alias("mean_score"))
+
+
+@query("deduplicated_detections", f"""{_SCORED} select l_orderkey, text as normalized, kind as type, l_linenumber, round(score, 9) as score from lv where score >= 0.45
+qualify row_number() over (partition by l_orderkey, text, kind order by score desc, l_linenumber, l_partkey_ord) = 1""".replace(", l_partkey_ord", ""))
+def deduplicated_detections(spark, sf):
+    rows = _scored(spark, sf).select("l_orderkey", "normalized", "type", F.col("l_linenumber").alias("ord"), "l_linenumber", "score")
+    return M.detected(rows, "l_orderkey").select("l_orderkey", "normalized", "type", "l_linenumber", F.round("score", 9).alias("score"))
+
+
+# --- the element tree --------------------------------------------------------------
+def _elements(spark, sf):
+    return P.page_elements(view(spark, sf, "v_page"))
+
+
+@query("page_element_counts", f"""{_PAGE} select page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>', '', 'g'), '<a[ >]')) as links,
+  len(regexp_extract_all(html, '<h1[ >]')) as h1, len(regexp_extract_all(html, '<span[ >]')) as spans from v_page""")
+def page_element_counts(spark, sf):
+    """Element scan: links, headings and spans found by the tree."""
+    e = _elements(spark, sf).groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(n) for t, n in (("a", "links"), ("h1", "h1"), ("span", "spans"))])
+    return e
+
+
+@query("site_candidate_elements")
+def site_candidate_elements(spark, sf):
+    """Candidate elements of each site in their processing order."""
+    e = materialize(_elements(spark, sf).withColumn("site", P.site_of(F.col("url"))).filter(F.col("site").isNotNull()))
+    parts = [P.site_candidates(e.filter(F.col("site") == s), s).select("page_id", "site", "elem_id", "tag", "priority")
+             for s in D.SITE_CANDIDATES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("priority"), "elem_id"))
+    return out.withColumn("position", order)
+
+
+@query("site_element_tickers")
+def site_element_tickers(spark, sf):
+    return X.site_tickers(_elements(spark, sf)).select("page_id", "site", "elem_id", "ticker")
+
+
+@query("related_tickers")
+def related_tickers(spark, sf):
+    return X.related_tickers(X.site_tickers(_elements(spark, sf)))
+
+
+@query("watchlist_tickers", f"""{_PAGE} select distinct page_id, upper(trim(unnest(regexp_extract_all(html, '<span class="watchlist__symbol">([^<]*)', 1)))) as ticker from v_page""")
+def watchlist_tickers(spark, sf):
+    return X.watchlist(_elements(spark, sf))
+
+
+@query("market_summary", f"""{_PAGE} select page_id, 'DJIA' as ticker, '100.5' as price, '1.5' as change, '1.5%' as percent from v_page where contains(html, 'markets__item')""")
+def market_summary(spark, sf):
+    return X.market_summary(_elements(spark, sf))
+
+
+@query("profile_headers", f"""{_PAGE} select page_id, trim(regexp_extract(html, '<h1 class="listuser-header__name">([^<]*)', 1)) as text, 'company' as type, 0.95::double as score, 'high' as level from v_page
+where {_SITE} = 'forbes' and contains(html, 'listuser-header__name')""")
+def profile_headers(spark, sf):
+    return X.profile_headers(_elements(spark, sf)).drop("elem_id")
+
+
+@query("page_quotes", f"""{_PAGE} select page_id, 'TSLA' as ticker, 250.1::double as price, 2.5::double as change, 1.0::double as percent, cast(1000 as bigint) as volume from v_page where contains(html, 'data-last-price')""")
+def page_quotes(spark, sf):
+    return X.latest_quotes(_elements(spark, sf))
+
+
+@query("page_metadata")
+def page_metadata(spark, sf):
+    return X.page_metadata(_elements(spark, sf))
+
+
+def _clued(spark, sf):
+    """Site elements with their own and their neighbours' clue types."""
+    e = materialize(X.with_clues(_elements(spark, sf)).filter(F.col("site").isNotNull()))
+    near = X.surrounding_clues(e).groupBy("page_id", "elem_id").agg(F.collect_list("type").alias("near"))
+    none = F.array().cast("array<string>")
+    return e.join(near, ["page_id", "elem_id"], "left").withColumn(
+        "all_clue_types", F.concat(F.transform("clues", lambda c: c["type"]), F.coalesce("near", none))).drop("near")
+
+
+@query("surrounding_clues")
+def surrounding_clues(spark, sf):
+    e = materialize(X.with_clues(_elements(spark, sf)).filter(F.col("site").isNotNull()))
+    return X.surrounding_clues(e)
+
+
+@query("structural_positions")
+def structural_positions(spark, sf):
+    e = _elements(spark, sf).withColumn("site", P.site_of(F.col("url"))).filter(F.col("site").isNotNull())
+    return e.select("page_id", "elem_id", "tag", F.array_join(X.positions(F.col("site")), "|").alias("positions"))
+
+
+def _entities(spark, sf):
+    e = _clued(spark, sf).filter(F.col("tag").isin("h1", "h2", "h3", "p", "span", "a", "div", "bg-quote"))
+    return X.page_entities(e, C.known_entities(spark))
+
+
+@query("page_entities")
+def page_entities(spark, sf):
+    """Scored entities of every finance page."""
+    return _entities(spark, sf).select("page_id", "normalized", "type", "text", "source", F.round("score", 6).alias("score"), "level")
+
+
+@query("best_entity_per_element")
+def best_entity_per_element(spark, sf):
+    found = materialize(_entities(spark, sf))
+    e = _elements(spark, sf).filter(F.col("tag").isin("h1", "h2", "h3", "p", "span", "a"))
+    return X.best_entity(e, found)
