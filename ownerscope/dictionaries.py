@@ -145,40 +145,43 @@ SECTOR_KEYWORDS = {
 }
 
 # --- mention patterns --------------------------------------------------------
-# family -> (type, confidence, [(flags, pattern, anchor)]); the anchor is a part
-# every match of the pattern must contain, used to skip texts cheaply
+# family -> (type, confidence, [(flags, pattern, parts, ending)]); every match of the
+# pattern contains one of the parts (lower-case where the pattern ignores case) and,
+# if given, the ending: both are used to skip texts cheaply
 MENTION_FAMILIES = {
     "company_formal": ("company", 0.9, [
         ("", r"\b([A-Z][A-Za-z0-9\s\&\-\.]{1,50}(?:\s+(?:Inc|Corp|Corporation|Company|Co|LLC|Ltd|Limited|LP|LLP|plc|PLC|AG|SA|NV|GmbH|KK)\.?))\b",
-         r"\s(?:Inc|Corp|Co|LLC|Ltd|Limited|LP|LLP|plc|PLC|AG|SA|NV|GmbH|KK)"),
+         [" Inc", " Co", " LLC", " Ltd", " Limited", " LP", " LLP", " plc", " PLC", " AG", " SA", " NV", " GmbH", " KK"],
+         r" (?:Inc|Corp|Corporation|Company|Co|LLC|Ltd|Limited|LP|LLP|plc|PLC|AG|SA|NV|GmbH|KK)(?:\.|(?!\w))"),
         ("", r"\b([A-Z][A-Za-z0-9\s\&\-\.]{1,50}(?:\s+(?:Group|Holdings|Partners|Capital|Financial|Services|Industries|Enterprises)(?:\s+(?:Inc|Corp|LLC|Ltd|LP))?))\b",
-         r"\s(?:Group|Holdings|Partners|Capital|Financial|Services|Industries|Enterprises)"),
+         [" Group", " Holdings", " Partners", " Capital", " Financial", " Services", " Industries", " Enterprises"], None),
     ]),
     "ticker_symbol": ("ticker", 0.95, [
-        ("", r"\$([A-Z]{1,5})\b", r"\$[A-Z]"),
-        ("i", r"\b(?:NYSE|NASDAQ|LSE|TSE|HKG|TYO):\s*([A-Z]{1,5})\b", r"(?:NYSE|NASDAQ|LSE|TSE|HKG|TYO):"),
-        ("i", r"\((?:NYSE|NASDAQ|LSE|TSE|HKG|TYO):\s*([A-Z]{1,5})\)", r"\((?:NYSE|NASDAQ|LSE|TSE|HKG|TYO):"),
-        ("", r"\b([A-Z]{2,5})\s+(?:stock|shares?|equity)\b", r"\s(?:stock|share|equity)"),
+        ("", r"\$([A-Z]{1,5})\b", ["$"], r"\$[A-Z]"),
+        ("i", r"\b(?:NYSE|NASDAQ|LSE|TSE|HKG|TYO):\s*([A-Z]{1,5})\b", ["nyse:", "nasdaq:", "lse:", "tse:", "hkg:", "tyo:"], None),
+        ("i", r"\((?:NYSE|NASDAQ|LSE|TSE|HKG|TYO):\s*([A-Z]{1,5})\)", ["(nyse:", "(nasdaq:", "(lse:", "(tse:", "(hkg:", "(tyo:"], None),
+        ("", r"\b([A-Z]{2,5})\s+(?:stock|shares?|equity)\b", [" stock", " share", " equity"], None),
     ]),
     "company_informal": ("company_abbrev", 0.8, [
-        ("", r"\b(JPM|GS|MS|BAC|WFC|C|USB|PNC|COF|TFC)\b", None),
-        ("", r"\b(AAPL|MSFT|GOOGL?|AMZN|FB|META|TSLA|NVDA|AMD)\b", None),
-        ("i", r"\b(Big\s+(?:Tech|Four|Five)|FAANG|MAMAA)\b", r"big\s|faang|mamaa"),
+        ("", r"\b(JPM|GS|MS|BAC|WFC|C|USB|PNC|COF|TFC)\b", ["C", "JPM", "GS", "MS", "USB"], r"(?<!\w)(?:JPM|GS|MS|BAC|WFC|C|USB|PNC|COF|TFC)(?!\w)"),
+        ("", r"\b(AAPL|MSFT|GOOGL?|AMZN|FB|META|TSLA|NVDA|AMD)\b",
+         ["AAPL", "MSFT", "GOOG", "AMZN", "FB", "META", "TSLA", "NVDA", "AMD"], None),
+        ("i", r"\b(Big\s+(?:Tech|Four|Five)|FAANG|MAMAA)\b", ["big tech", "big four", "big five", "faang", "mamaa"], None),
     ]),
     "company_international": ("company_intl", 0.85, [
         ("", r"\b([A-Z][A-Za-z0-9\s\-]{1,30}(?:\s+(?:KK|K\.K\.|Co\.,Ltd\.|Corporation)))\b",
-         r"\s(?:KK|K\.K\.|Co\.,Ltd\.|Corporation)"),
-        ("", r"\b((?:Kabushiki\s*Kaisha|KK)\s*[A-Za-z0-9\s\-]{1,30})\b", r"Kaisha|KK"),
+         [" KK", " K.K.", " Co.,Ltd.", " Corporation"], None),
+        ("", r"\b((?:Kabushiki\s*Kaisha|KK)\s*[A-Za-z0-9\s\-]{1,30})\b", ["Kaisha", "KK"], None),
         ("", r"\b([A-Z][A-Za-z0-9\s\-]{1,30}(?:\s+(?:mbH|SARL|SpA|AB|AS|A\/S|Oy|BV)))\b",
-         r"\s(?:mbH|SARL|SpA|AB|AS|A/S|Oy|BV)"),
+         [" mbH", " SARL", " SpA", " AB", " AS", " A/S", " Oy", " BV"], r" (?:mbH|SARL|SpA|AB|AS|A/S|Oy|BV)(?!\w)"),
     ]),
     "context_indicators": ("company_context", 0.75, [
         ("i", r"(?:CEO|CFO|President|Chairman|founder)\s+(?:of|at)\s+([A-Z][A-Za-z0-9\s\&\-\.]{1,50})",
-         r"(?:CEO|CFO|President|Chairman|founder)\s"),
+         [w + " " + p + " " for w in ("ceo", "cfo", "president", "chairman", "founder") for p in ("of", "at")], None),
         ("i", r"([A-Z][A-Za-z0-9\s\&\-\.]{1,50})(?:'s|'s)\s+(?:CEO|CFO|president|earnings|revenue|stock)",
-         r"'s\s+(?:CEO|CFO|president|earnings|revenue|stock)"),
+         ["'s ceo", "'s cfo", "'s president", "'s earnings", "'s revenue", "'s stock"], None),
         ("i", r"(?:acquired|bought|merged with|purchased)\s+([A-Z][A-Za-z0-9\s\&\-\.]{1,50})",
-         r"(?:acquired|bought|merged with|purchased)\s"),
+         ["acquired ", "bought ", "merged with ", "purchased "], None),
     ]),
 }
 EXCLUDED_TICKERS = ["I", "O"]

@@ -20,8 +20,13 @@ NUMBER_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
 
 
 def regex(pattern: str, flags: str = "") -> str:
-    """A dictionary pattern in the form Spark's regex functions need."""
-    return ("(?i)" if "i" in flags else "") + pattern.replace(r"\b", BOUNDARY)
+    """A dictionary pattern in the form Spark's regex functions need.
+
+    Every pattern that starts with a boundary goes on with a word character, so
+    the boundary there is just "no word character before".
+    """
+    head, rest = ("(?<!\\w)(?=\\w)", pattern[2:]) if pattern.startswith(r"\b") else ("", pattern)
+    return ("(?i)" if "i" in flags else "") + head + rest.replace(r"\b", BOUNDARY)
 
 
 def literal_map(mapping: dict) -> Column:

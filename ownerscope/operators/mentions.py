@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ownerscope import dictionaries as D
 from ownerscope.functions import similarity as S
 from ownerscope.functions.text import (
-    company_suffixes, company_type, country_hints, has_company_context, is_ticker, mention_context,
+    company_suffixes, company_type, contains_any, country_hints, has_company_context, is_ticker, mention_context,
     normalize_company, normalize_mention, any_of, literal_map, regex, sanitize_nlp,
 )
 from ownerscope.operators.kb import scored_pairs, kb_candidates
@@ -29,7 +29,7 @@ class PatternFamily:
     name: str
     type: str
     confidence: float
-    patterns: list[tuple[str, str, str | None]] = field(hash=False)  # flags, regex, anchor
+    patterns: list[tuple[str, str, list[str], str | None]] = field(hash=False)  # flags, regex, parts, ending
     post_filter: Callable[[Column], Column] | None = None
 
 
@@ -38,11 +38,17 @@ def default_families() -> list[PatternFamily]:
             for name, (kind, conf, patterns) in D.MENTION_FAMILIES.items()]
 
 
-def match_positions(text: Column, pattern: str, anchor: str | None) -> Column:
+def may_match(text: Column, low: Column, flags: str, parts: list[str], ending: str | None) -> Column:
+    """Cheap necessary condition of a pattern: plain contains, then a short regex."""
+    gate = contains_any(low if "i" in flags else text, parts) if parts else F.lit(True)
+    return gate if ending is None else gate & text.rlike(ending)
+
+
+def match_positions(text: Column, pattern: str, gate: Column) -> Column:
     """All matches of a pattern as (group 1, offset of the whole match).
 
-    Offsets come from the pieces between matches. Texts without the anchor skip
-    the pattern altogether.
+    Offsets come from the pieces between matches. Texts failing the gate skip the
+    pattern altogether.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -58,7 +64,6 @@ def match_positions(text: Column, pattern: str, anchor: str | None) -> Column:
 
     zipped = F.arrays_zip(whole.alias("whole"), group.alias("grp"), between.alias("between"))
     hits = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
-    gate = text.rlike(anchor if anchor is not None else pattern)
     return F.when(gate, hits).otherwise(F.array().cast(RAW))
 
 
@@ -74,11 +79,11 @@ def _family_hits(fam: PatternFamily, hits: Column) -> Column:
     ))
 
 
-def _candidates(text: Column, families: list[PatternFamily]) -> Column:
+def _candidates(text: Column, low: Column, families: list[PatternFamily]) -> Column:
     found = []
     for fam in families:
-        for flags, pattern, anchor in fam.patterns:
-            gate = ("(?i)" if "i" in flags else "") + anchor if anchor is not None else None
+        for flags, pattern, parts, ending in fam.patterns:
+            gate = may_match(text, low, flags, parts, ending)
             found.append(_family_hits(fam, match_positions(text, regex(pattern, flags), gate)))
     return F.concat(*found)
 
@@ -93,7 +98,8 @@ def mention_arrays(docs: DataFrame, text: str = "text", families: list[PatternFa
     """
     families = families or default_families()
     out = docs.withColumn("clean_text", sanitize_nlp(F.col(text), max_chars))
-    out = computed_once(out, "_found", _candidates(F.col("clean_text"), families))
+    out = out.withColumn("_low", F.lower("clean_text"))
+    out = computed_once(out, "_found", _candidates(F.col("clean_text"), F.col("_low"), families)).drop("_low")
     # cheap test first: the context patterns only run where an ambiguous word was found
     out = out.withColumn("_context", F.when(
         F.exists("_found", lambda m: m["normalized"].isin(*D.AMBIGUOUS_WORDS)),

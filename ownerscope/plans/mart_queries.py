@@ -12,6 +12,7 @@ from ownerscope.operators import marts as R
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
+from ownerscope.session import spread
 from ownerscope.sources import feeds as S
 
 
@@ -275,7 +276,7 @@ art as (select *, {_relevance_sql()} as relevance,
 
 @query("scored_articles", f"{_ARTICLES} select doc_id, company_id, round(relevance, 9) as relevance, relevance > 0.3::double as relevant, sentiment, indicators from art")
 def scored_articles(spark, sf):
-    a = R.scored_articles(view(spark, sf, "v_article"))
+    a = R.scored_articles(spread(view(spark, sf, "v_article")))
     return a.select("doc_id", "company_id", F.round("relevance", 9).alias("relevance"),
                     (F.col("relevance") > 0.3).alias("relevant"), "sentiment", F.array_join("indicators", "|").alias("indicators"))
 
@@ -289,7 +290,7 @@ select company_id, n as articles, case when p > 0.6 then 'POSITIVE' when g > 0.6
   cast(floor(p * 100 + 0.5::double) as integer) as positive_pct, cast(floor(g * 100 + 0.5::double) as integer) as negative_pct,
   cast(floor(z * 100 + 0.5::double) as integer) as neutral_pct from n""")
 def news_sentiment(spark, sf):
-    return R.sentiment_summary(R.scored_articles(view(spark, sf, "v_article")), "company_id")
+    return R.sentiment_summary(R.scored_articles(spread(view(spark, sf, "v_article"))), "company_id")
 
 
 @query("ownership_triggers", f"""{_ARTICLES}, tr as (
@@ -300,7 +301,7 @@ def news_sentiment(spark, sf):
 select company_id, doc_id, title, type, confidence, cast(row_number() over (partition by company_id order by confidence desc, doc_id, sub) as integer) as rank from tr
 qualify row_number() over (partition by company_id order by confidence desc, doc_id, sub) <= 5""")
 def ownership_triggers(spark, sf):
-    a = R.scored_articles(view(spark, sf, "v_article")).filter(F.col("relevance") > 0.3)
+    a = R.scored_articles(spread(view(spark, sf, "v_article"))).filter(F.col("relevance") > 0.3)
     return R.ownership_triggers(a).select("company_id", "doc_id", "title", "type", "confidence", "rank")
 
 
@@ -329,7 +330,7 @@ def _merge(spark, sf):
     owners = view(spark, sf, "v_owner").select("company_id", F.col("owner_id").alias("ord"), "name", F.col("pct").alias("percent"), "shares")
     entities = view(spark, sf, "v_entity").select(F.col("group_id").alias("company_id"), F.col("entity_id").alias("ord"), "name", "jurisdiction", "status")
     contracts = view(spark, sf, "v_contract").select(F.col("recipient_id").alias("company_id"), F.col("award_id").alias("ord"), "award_id", "amount", "agency")
-    articles = R.scored_articles(view(spark, sf, "v_article")).select("company_id", F.col("doc_id").alias("ord"), "title", "sentiment")
+    articles = R.scored_articles(spread(view(spark, sf, "v_article"))).select("company_id", F.col("doc_id").alias("ord"), "title", "sentiment")
     market = table(spark, sf, "events").select(
         F.col("user_id").alias("company_id"), F.col("event_type").alias("field"), "value", F.col("event_id").alias("ord"))
     failed = view(spark, sf, "v_fetch").filter(~F.col("ok")).select(

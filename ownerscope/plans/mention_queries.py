@@ -15,6 +15,7 @@ from ownerscope.operators import mentions as M
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
+from ownerscope.session import spread
 
 _CTRL = r"'[\x00-\x1F\x7F-\x9F]'"
 _CLEAN = ("trim(regexp_replace(regexp_replace(translate({0}, '<>', ''), '[\\x{{0000}}-\\x{{001F}}\\x{{007F}}-\\x{{009F}}]', '', 'g'), "
@@ -40,7 +41,7 @@ def _extract_ctes() -> str:
     """All pattern hits with offsets, then first hit per text, checks and order."""
     parts, fam_ord = [], 0
     for name, (kind, conf, patterns) in D.MENTION_FAMILIES.items():
-        for re_ord, (flags, pattern, _) in enumerate(patterns):
+        for re_ord, (flags, pattern, *_) in enumerate(patterns):
             p = Q.rx(pattern, flags)
             parts.append(
                 f"select doc_id, {fam_ord} as fo, {re_ord} as ro, i, g[i] as text, {Q.s(kind)} as type, {conf}::double as confidence, "
@@ -69,7 +70,7 @@ _MENTIONS = f"{cte('v_text')}, {_extract_ctes()}"
 
 
 def _arrays(spark, sf):
-    return M.mention_arrays(view(spark, sf, "v_text"))
+    return M.mention_arrays(spread(view(spark, sf, "v_text")))
 
 
 @query("extracted_mentions", f"{_MENTIONS} select doc_id, ord, text, normalized, type, confidence, pattern, position from mention")

@@ -12,7 +12,7 @@ from ownerscope.operators import scoring as C
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
-from ownerscope.session import materialize
+from ownerscope.session import materialize, spread
 from ownerscope.sources import pages as P
 
 _PAGE = cte("v_page")
@@ -231,7 +231,7 @@ def deduplicated_detections(spark, sf):
 
 # --- the element tree --------------------------------------------------------------
 def _elements(spark, sf):
-    return P.page_elements(view(spark, sf, "v_page"))
+    return P.page_elements(spread(view(spark, sf, "v_page")))
 
 
 @query("page_element_counts", f"""{_PAGE} select page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>', '', 'g'), '<a[ >]')) as links,

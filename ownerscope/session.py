@@ -57,3 +57,13 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     repeating the expression; it does not do so through a generator.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores before per-row work.
+
+    A small input can be one row group and so one task. Inputs of a cluster's
+    size have more partitions than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
