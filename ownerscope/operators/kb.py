@@ -79,17 +79,24 @@ def lookup_exact(queries: DataFrame, kb: DataFrame, by: str, query: str = "query
 
 
 def exact_search(queries: DataFrame, kb: DataFrame, query: str = "query") -> DataFrame:
-    """Name, then ticker, then aliases; a company counts once, at its best tier."""
-    name = lookup_exact(queries, kb, "name", query).select(
-        "query", "company_id", F.lit(1.0).alias("score"), F.lit("name").alias("match_type"), "matched_text")
-    ticker = lookup_exact(queries, kb, "ticker", query).select(
-        "query", "company_id", F.lit(0.9).alias("score"), F.lit("ticker").alias("match_type"), "matched_text")
-    alias = lookup_exact(queries, kb, "alias", query).select(
-        "query", "company_id", F.lit(0.8).alias("score"), F.lit("alias").alias("match_type"),
-        F.col("query").alias("matched_text"))
-    hits = name.unionByName(ticker).unionByName(alias)
-    best = hits.groupBy("query", "company_id").agg(
-        F.max_by(F.struct("score", "match_type", "matched_text"), "score").alias("hit"))
+    """Name, then ticker, then aliases; a company counts once, at its best tier.
+
+    One equi-join: a query text carries its three keys, the indexes are one table.
+    """
+    tiers = [("name", name_index(kb), 1.0), ("ticker", ticker_index(kb), 0.9), ("alias", alias_index(kb), 0.8)]
+    index = None
+    for kind, rows, score in tiers:
+        text = F.col("matched_text") if "matched_text" in rows.columns else F.lit(None).cast("string")
+        part = rows.select(F.lit(kind).alias("match_type"), "key", "company_id", F.lit(score).alias("score"),
+                           text.alias("matched_text"))
+        index = part if index is None else index.unionByName(part)
+    texts = queries.select(F.col(query).alias("query")).distinct()
+    normalized = normalize_company(F.col("query"))
+    keys = F.array(*[F.struct(F.lit(kind).alias("match_type"), key.alias("key")) for kind, key in
+                     (("name", normalized), ("ticker", F.upper("query")), ("alias", normalized))])
+    hits = texts.select("query", F.explode(keys).alias("k")).select("query", "k.*").join(index, ["match_type", "key"])
+    best = hits.groupBy("query", "company_id").agg(F.max_by(
+        F.struct("score", "match_type", F.coalesce("matched_text", "query").alias("matched_text")), "score").alias("hit"))
     return best.select("query", "company_id", "hit.*")
 
 

@@ -15,7 +15,7 @@ from ownerscope.operators import mentions as M
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
-from ownerscope.session import spread
+from ownerscope.session import materialize, spread
 
 _CTRL = r"'[\x00-\x1F\x7F-\x9F]'"
 _CLEAN = ("trim(regexp_replace(regexp_replace(translate({0}, '<>', ''), '[\\x{{0000}}-\\x{{001F}}\\x{{007F}}-\\x{{009F}}]', '', 'g'), "
@@ -110,7 +110,8 @@ select company_id, count(*) as mentions, count(distinct doc_id) as documents, ro
 from mention join best on best.query = mention.normalized group by company_id""")
 def mentions_per_company(spark, sf):
     """Mentions resolved by the exact cascade, counted per company."""
-    per_doc = M.explode_mentions(_arrays(spark, sf), ["doc_id"]).groupBy("normalized", "doc_id").agg(F.count("*").alias("n"))
+    # read twice below, so the extraction is written once
+    per_doc = materialize(M.explode_mentions(_arrays(spark, sf), ["doc_id"]).groupBy("normalized", "doc_id").agg(F.count("*").alias("n")))
     hits = K.exact_search(per_doc, K.shipped_kb(spark), "normalized")
     return per_doc.join(hits, per_doc["normalized"] == hits["query"]).groupBy("company_id").agg(
         F.sum("n").alias("mentions"), F.countDistinct("doc_id").alias("documents"),

@@ -206,8 +206,7 @@ _COMPANY = ("select name_id as id, name, concat(name, ' Group') as alias_a, conc
 
 
 def part_kb(spark, sf):
-    view(spark, sf, "v_name").createOrReplaceTempView("v_name")
-    t = spark.sql(_COMPANY)
+    t = spark.sql(_COMPANY.replace("from v_name", "from {names}"), names=view(spark, sf, "v_name"))
     return K.with_normalized(t.select(
         F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), "name",
         F.array("alias_a", "alias_b").alias("aliases"), "ticker", F.lit("X").alias("exchange"),

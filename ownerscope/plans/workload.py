@@ -50,14 +50,15 @@ select p_partkey as query_id, concat(case p_partkey % 20
     case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then concat(' ', p_type)
     else concat(' ', p_brand) end) as query
 from part""",
+    # ownership shares: grouped first, so the total per company runs over its owners only
     "v_owner": """
-select l_partkey as company_id, l_suppkey as owner_id,
-       concat(case when l_suppkey % 29 = 0 then 'Test Fund ' when l_suppkey % 31 = 0 then 'Supplier/' else 'Supplier ' end,
-              cast(case when l_partkey % 11 = 0 then l_suppkey % 5 else l_suppkey end as varchar(20))) as name,
-       round(100.0 * sum(l_extendedprice) / max(tot), 2) as pct,
-       cast(sum(l_quantity) as bigint) as shares, max(l_shipdate) as seen_at
-from (select *, sum(l_extendedprice) over (partition by l_partkey) as tot from lineitem) t
-group by l_partkey, l_suppkey""",
+select company_id, owner_id,
+       concat(case when owner_id % 29 = 0 then 'Test Fund ' when owner_id % 31 = 0 then 'Supplier/' else 'Supplier ' end,
+              cast(case when company_id % 11 = 0 then owner_id % 5 else owner_id end as varchar(20))) as name,
+       round(100.0 * amount / sum(amount) over (partition by company_id), 2) as pct, shares, seen_at
+from (select l_partkey as company_id, l_suppkey as owner_id, sum(l_extendedprice) as amount,
+             cast(sum(l_quantity) as bigint) as shares, max(l_shipdate) as seen_at
+      from lineitem group by l_partkey, l_suppkey) t""",
     "v_contract": """
 select concat('AWD-', lpad(cast(o_orderkey as varchar(20)), 9, '0')) as award_id,
        o_custkey as recipient_id, concat('Customer ', cast(o_custkey as varchar(20))) as recipient_name,
