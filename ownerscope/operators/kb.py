@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ownerscope import dictionaries as D
 from ownerscope.functions import similarity as S
 from ownerscope.functions.text import normalize_company
-from ownerscope.session import computed_once
+from ownerscope.session import computed_once, materialize
 
 COMPANY_SCHEMA = (
     "id string, name string, aliases array<string>, ticker string, exchange string, "
@@ -201,7 +201,8 @@ def suggestions(partials: DataFrame, kb: DataFrame, query: str = "query") -> Dat
 def same_company(pairs: DataFrame, kb: DataFrame, a: str = "a", b: str = "b", threshold: float = 0.8) -> DataFrame:
     """Both names resolve (threshold 0.6) to one company, else the plain ratio decides."""
     names = pairs.select(F.col(a).alias("query")).union(pairs.select(F.col(b).alias("query")))
-    hit = fuzzy_search(names, kb, limit=1, threshold=0.6).select("query", "company_id")
+    # joined to both sides, so the search is written once
+    hit = materialize(fuzzy_search(names, kb, limit=1, threshold=0.6).select("query", "company_id"))
     ha = hit.select(F.col("query").alias(a), F.col("company_id").alias("id_a"))
     hb = hit.select(F.col("query").alias(b), F.col("company_id").alias("id_b"))
     joined = pairs.join(ha, a, "left").join(hb, b, "left")
