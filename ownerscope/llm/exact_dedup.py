@@ -98,7 +98,9 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     out_names = ["doc", "digest", "idx", "part", "rank", "is_edge", *edge_names]
     edge_types = ", ".join(f"{side}_{f.name} {f.dataType.simpleString()}" for f in key_fields for side in ("first", "last"))
     order = [*keys, "doc", "digest", "idx"]
-    ranked = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    # ranges are over a hash of the keys, so that the sampled splitters are small; the sort compares the keys themselves
+    dealt = rows.withColumn("_deal", F.xxhash64(*keys))
+    ranked = materialize(dealt.repartitionByRange("_deal", "doc", "idx").sortWithinPartitions("_deal", *order).drop("_deal").mapInArrow(
         rank, f"doc {id_type}, digest binary, idx long, part int, rank long, is_edge boolean, {edge_types}"))
     by_part = Window.orderBy("part")
     joined = F.lit(True)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ownerscope.llm import exact_dedup, licenses, packing, quality, token_file, toxicity
+from ownerscope.llm import (exact_dedup, jaccard_join, language_model, licenses, packing, quality, suffix_dedup, token_file,
+                            toxicity)
 from ownerscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -47,8 +52,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_toxicity, op3_license_scan, op4_token_file, op5_exact_dedup, op7_quality_rules, op8_packing)}
+    op1_toxicity, op3_license_scan, op4_token_file, op5_exact_dedup, op6_suffix_dedup, op7_quality_rules, op8_packing,
+    op9_jaccard_join, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
