@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ownerscope.llm.common import materialize, mix64, slices
+from ownerscope.llm.common import M64, materialize, mix64, slices
 from ownerscope.llm.shingles import shingle_set, word_hashes, words_of
 
 SEEDS = 64
@@ -80,7 +80,7 @@ def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
             lengths = sizes[[i for i, _ in part]]
             job = np.repeat(np.arange(len(part)), lengths)
             h = np.concatenate([sets[i] for i, _ in part])
-            dealt = mix64(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * seed + 1)) >> np.uint64(32)
+            dealt = mix64(h + np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) & M64)) >> np.uint64(32)
             block = ((dealt * counts[job].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(counts)])
             slot = first[job] + block

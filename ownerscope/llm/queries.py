@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ownerscope.llm import (exact_dedup, jaccard_join, language_model, licenses, packing, quality, suffix_dedup, token_file,
-                            toxicity)
+from ownerscope.llm import (exact_dedup, jaccard_join, language_model, licenses, packing, quality, sentencepieces, suffix_dedup,
+                            token_file, toxicity)
 from ownerscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    back = sentencepieces.decode(sentencepieces.encode(docs)).withColumnRenamed("text", "decoded")
+    # the digest of what comes back, next to that of the text, tells whether the round trip is exact
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -61,8 +68,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_toxicity, op3_license_scan, op4_token_file, op5_exact_dedup, op6_suffix_dedup, op7_quality_rules, op8_packing,
-    op9_jaccard_join, op10_lm_scoring)}
+    op1_toxicity, op2_sentencepiece, op3_license_scan, op4_token_file, op5_exact_dedup, op6_suffix_dedup,
+    op7_quality_rules, op8_packing, op9_jaccard_join, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
