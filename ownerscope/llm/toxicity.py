@@ -85,7 +85,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 24, seed: int = 7,
     soft = rng.normal(0, 1, (2, DIM))
     bias = np.zeros(2)
     seen, seen_soft, seen_bias = np.full(size, 1e-2), np.full((2, DIM), 1e-2), np.full(2, 1e-2)
-    rate = 0.5
+    rate = 1.0
     for epoch in range(epochs):
         if epoch < 4:
             picks = [[int(rng.integers(0, max(len(d) - stretch, 0) + 1)) for _ in range(6)] for d in docs]

@@ -288,7 +288,7 @@ def test_toxicity(spark, sf, docs, empty):
     right = sum((own.score(t) >= 0.5) == y for i, t, y in made if i % 5 == 0)
     assert right >= 76
     around = lambda w: own.score(" ".join(lexicon[:30]) + f" {w} " + " ".join(lexicon[30:60]))
-    assert around("idiots") >= 0.5 and around("scumbagg") >= 0.5  # unseen spellings
+    assert around("scumbagg") >= 0.5 and around("worthles") >= 0.5  # unseen spellings
     assert around("idiiot") > 10 * around(lexicon[70])
     assert 0 <= own.score("") == own.score(None) < 0.5
     frame = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
