@@ -191,9 +191,9 @@ def resolve_names(names: DataFrame, kb: DataFrame, query: str = "query") -> Data
     return names.select(F.col(query).alias("query")).distinct().join(hit, "query", "left")
 
 
-def suggestions(partials: DataFrame, kb: DataFrame, query: str = "query") -> DataFrame:
-    """Up to ten completions per partial name at threshold 0.5."""
-    hits = fuzzy_search(partials, kb, limit=10, threshold=0.5, query=query)
+def suggestions(partials: DataFrame, kb: DataFrame, query: str = "query", limit: int = 10, threshold: float = 0.5) -> DataFrame:
+    """The best completions of each partial name."""
+    hits = fuzzy_search(partials, kb, limit=limit, threshold=threshold, query=query)
     named = kb.select(F.col("id").alias("company_id"), F.col("name").alias("text"), "ticker")
     return hits.join(named, "company_id").select("query", "rank", "text", "ticker", F.col("score").alias("confidence"))
 

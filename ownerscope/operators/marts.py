@@ -15,11 +15,12 @@ from ownerscope.functions.text import (
 )
 
 
-def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per key. The rank limit also runs before the shuffle, so a hot
-    key sends at most k rows per task."""
+def top_k(df: DataFrame, key: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First k rows per key, or all ranked. The rank limit also runs before the
+    shuffle, so a hot key sends at most k rows per task."""
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def contract_scan(contracts: DataFrame, start, end, text: str | None = None, k: int = 50) -> DataFrame:
@@ -89,10 +90,11 @@ def gov_dependency(contracts: DataFrame, key: str, high: float = 100e6, medium:
     is_dod = F.coalesce(F.col("_dod") > total * defense, F.lit(False))
     is_one = (total > 0) & (F.try_divide(F.col("_top"), total) > concentration)
     reasons = F.filter(F.array(
-        F.when(total > high, F.lit("High total contract value")).when(total > medium, F.lit("Significant contract value")),
-        F.when(is_dod, F.lit("High defense dependency")),
+        F.when(total > high, F.lit(f"High total contract value (>${high / 1e6:g}M)")).when(
+            total > medium, F.lit(f"Significant contract value (>${medium / 1e6:g}M)")),
+        F.when(is_dod, F.lit(f"High defense dependency (>{100 * defense:g}%)")),
         F.when(F.col("classified_count") > 0, F.lit("Classified/sensitive contracts detected")),
-        F.when(is_one, F.lit("High agency concentration"))), lambda x: x.isNotNull())
+        F.when(is_one, F.lit(f"High agency concentration (>{100 * concentration:g}%)"))), lambda x: x.isNotNull())
     out = out.withColumn("reasons", reasons).withColumn(
         "risk", F.when(is_dod | (F.col("classified_count") > 0) | is_one, "HIGH").otherwise(by_value))
     return out.drop("_top", "_dod")
@@ -239,13 +241,14 @@ def lookup_ownership(names: DataFrame, name: str = "name") -> DataFrame:
 class SourceSpec:
     """A feed the merge can use: its rows per company and the field they fill.
 
-    ``limit`` is the number of rows per company the feed itself delivers.
+    ``limit`` cuts the rows per company to what the feed itself delivers; without
+    it the list is complete.
     """
     name: str
     field: str
     flatten: Callable[[DataFrame], DataFrame]
     order: str
-    limit: int
+    limit: int | None = None
 
 
 SOURCES: dict[str, SourceSpec] = {}
@@ -255,18 +258,18 @@ def register_source(spec: SourceSpec) -> None:
     SOURCES[spec.name] = spec
 
 
-register_source(SourceSpec("yahoo", "owners", lambda d: d.select("company_id", "ord", F.struct("name", "percent", "shares").alias("item")), "ord", 10))
-register_source(SourceSpec("opencorporates", "entities", lambda d: d.select("company_id", "ord", F.struct("name", "jurisdiction", "status").alias("item")), "ord", 5))
-register_source(SourceSpec("usaspending", "contracts", lambda d: d.select("company_id", "ord", F.struct("award_id", "amount", "agency").alias("item")), "ord", 10))
-register_source(SourceSpec("news", "articles", lambda d: d.select("company_id", "ord", F.struct("title", "sentiment").alias("item")), "ord", 8))
+register_source(SourceSpec("yahoo", "owners", lambda d: d.select("company_id", "ord", F.struct("name", "percent", "shares").alias("item")), "ord"))
+register_source(SourceSpec("opencorporates", "entities", lambda d: d.select("company_id", "ord", F.struct("name", "jurisdiction", "status").alias("item")), "ord"))
+register_source(SourceSpec("usaspending", "contracts", lambda d: d.select("company_id", "ord", F.struct("award_id", "amount", "agency").alias("item")), "ord"))
+register_source(SourceSpec("news", "articles", lambda d: d.select("company_id", "ord", F.struct("title", "sentiment").alias("item")), "ord"))
 
 
 def merge_sources(companies: DataFrame, feeds: dict[str, DataFrame],
                   failed: DataFrame | None = None, market: DataFrame | None = None) -> DataFrame:
     """One record per company: bounded arrays per source, sources, warnings, quality.
 
-    Each feed is cut to its own row limit per company before anything is
-    collected, so a hot company stays small; the records then join on the key.
+    A feed with a row limit is cut to it before anything is collected, so a hot
+    company stays small; the records then join on the key.
     """
     out = companies.select("company_id").distinct()
     for name, feed in feeds.items():
@@ -302,7 +305,7 @@ def quality_score(columns: list[str]) -> Column:
     return F.least(F.lit(100), score)
 
 
-def summary_card(merged: DataFrame) -> DataFrame:
-    """First five owners, three registry entities and three contracts."""
-    return merged.select("company_id", F.slice("owners", 1, 5).alias("owners"),
-                         F.slice("entities", 1, 3).alias("entities"), F.slice("contracts", 1, 3).alias("contracts"))
+def summary_card(merged: DataFrame, owners: int = 5, entities: int = 3, contracts: int = 3) -> DataFrame:
+    """The first owners, registry entities and contracts of each company."""
+    return merged.select("company_id", F.slice("owners", 1, owners).alias("owners"),
+                         F.slice("entities", 1, entities).alias("entities"), F.slice("contracts", 1, contracts).alias("contracts"))

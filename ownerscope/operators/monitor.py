@@ -20,12 +20,13 @@ def trailing_counts(df: DataFrame, key: str, ts: str, order: str, windows: dict[
 
     A key is cut into buckets as long as the widest window; each row also goes to
     the next bucket as context. Every window then lies inside one bucket, so a
-    hot key spreads over its buckets.
+    hot key spreads over its buckets. A request without a time has no earlier ones.
     """
     width = max(windows.values()) * MICRO
     rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     rows = rows.withColumn("_own", F.floor(F.col("_us") / width))
-    rows = rows.withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    rows = rows.withColumn("_bucket", F.explode(F.when(F.col("_us").isNull(), F.array(F.col("_own"))).otherwise(
+        F.array(F.col("_own"), F.col("_own") + 1))))
     part = Window.partitionBy(key, "_bucket")
     # peers that arrive later share the timestamp and must not count
     later = F.count("*").over(Window.partitionBy(key, "_bucket", "_us")) - F.row_number().over(
@@ -33,8 +34,8 @@ def trailing_counts(df: DataFrame, key: str, ts: str, order: str, windows: dict[
     rows = rows.withColumn("_later", later)
     for name, seconds in windows.items():
         frame = part.orderBy("_us").rangeBetween(-(seconds * MICRO - 1), Window.currentRow)
-        rows = rows.withColumn(name, F.count("*").over(frame) - F.col("_later") - 1)
-    return rows.filter(F.col("_bucket") == F.col("_own")).drop("_us", "_own", "_bucket", "_later")
+        rows = rows.withColumn(name, F.when(F.col("_us").isNull(), 0).otherwise(F.count("*").over(frame) - F.col("_later") - 1))
+    return rows.filter(F.col("_bucket").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_bucket", "_later")
 
 
 def timing_regularity(df: DataFrame, key: str, ts: str, order: str,
@@ -171,18 +172,29 @@ def _even_gaps(history: deque, max_cv: float) -> bool:
     return mean > 0 and (var ** 0.5) / mean < max_cv
 
 
+#: marks of decisions after which the requester is restricted or blacklisted
+RESTRICTS, BLACKLISTS = "+restrict", "+blacklist"
+
+
 def admission_step(limits=None, patterns=None, timing=(D.TIMING_MIN_REQUESTS, D.TIMING_MAX_CV)):
     """Decision function of tiered admission control.
 
     Order: blacklist, temporary restriction, suspicious patterns, tiered limits.
     Only admitted requests enter the history. A pattern found now restricts the
-    following requests; the request itself still meets the limits.
+    following requests; the request itself still meets the limits. A decision that
+    leaves the requester restricted or blacklisted carries that as a mark.
     """
     limits = limits or D.REQUEST_LIMITS
     patterns = patterns or D.PATTERN_LIMITS
     day = max(window for _, _, window, _ in limits)
 
     def decide(s: AdmissionState, now: float, row) -> tuple[AdmissionState, str]:
+        s, verdict = judged(s, now)
+        if verdict in ("blacklisted", "restricted"):
+            return s, verdict
+        return s, verdict + (RESTRICTS if now < s.restricted_until else "") + (BLACKLISTS if s.blacklisted else "")
+
+    def judged(s: AdmissionState, now: float) -> tuple[AdmissionState, str]:
         if s.blacklisted:
             return s, "blacklisted"
         if now < s.restricted_until:
@@ -211,7 +223,7 @@ def admission_step(limits=None, patterns=None, timing=(D.TIMING_MIN_REQUESTS, D.
                 s.restricted_until = now + penalty
                 return s, name
         s.history.append(now)
-        return s, "admitted+blacklist" if s.blacklisted else "admitted"
+        return s, "admitted"
 
     return decide
 
@@ -221,25 +233,27 @@ def admission(df: DataFrame, key: str, ts: str, order: str, limits=None, pattern
 
     All state but the blacklist is gone after an idle time longer than the widest
     window and the longest penalty, so requesters split there; a blacklisting
-    then overrides every later stretch of the requester.
+    then overrides every later stretch of the requester. ``restricts`` and
+    ``blacklists`` tell whether the request left the requester in that state.
     """
     limits = limits or D.REQUEST_LIMITS
     idle = max([max(w, p) for _, _, w, p in limits] + [600])
     rows = idle_sessions(df, [key], ts, [ts, order], idle)
     decided = ordered_fold(rows, [key], "session", ts, order, lambda g: AdmissionState(),
                            admission_step(limits, patterns))
-    black = F.when(F.col("decision").isin("blacklisted", "admitted+blacklist")
-                   | F.col("decision").endswith("+blacklist"), F.col("session"))
-    first = decided.groupBy(key).agg(F.min(black).alias("_from"))
-    out = decided.join(first, key)
-    return out.withColumn("decision", F.when(F.col("session") > F.col("_from"), "blacklisted")
-                          .otherwise(F.regexp_replace("decision", r"\+blacklist$", ""))).drop("_from", "session")
+    black = F.col("decision").endswith(BLACKLISTS)
+    first = decided.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(black, F.col("session"))).alias("_from"))
+    later = F.coalesce(F.col("session") > F.col("_from"), F.lit(False))
+    out = decided.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.withColumn("restricts", ~later & F.col("decision").contains(RESTRICTS)).withColumn("blacklists", ~later & black).withColumn(
+        "decision", F.when(later, "blacklisted").otherwise(F.regexp_replace("decision", r"\+.*$", ""))).drop("_from", "_key", "session")
 
 
 def limiter_stats(decided: DataFrame, key: str) -> DataFrame:
-    """Requesters seen, blacklisted, restricted at least once."""
+    """Requesters seen, blacklisted, restricted at least once (their last request may have done it)."""
     per = decided.groupBy(key).agg(
-        F.max(F.col("decision") == "blacklisted").alias("b"), F.max(F.col("decision") == "restricted").alias("g"),
+        F.max((F.col("decision") == "blacklisted") | F.col("blacklists")).alias("b"),
+        F.max((F.col("decision") == "restricted") | F.col("restricts")).alias("g"),
         F.max(F.col("decision") == "admitted").alias("a"))
     return per.agg(F.count_if("a").alias("active"), F.count_if("b").alias("blacklisted"),
                    F.count_if("g").alias("restricted"), F.count("*").alias("requesters"))

@@ -7,6 +7,9 @@ chunks of a key is the carry, and the ordered window only covers one chunk.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -16,7 +19,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     """Adds running sums (0 based) and maxima (null based) in order within each key.
 
     ``chunk`` must not decrease along ``order``; ``inclusive=False`` leaves the
-    current row out.
+    current row out. Rows without a key form a key of their own, and rows without
+    an order come first.
     """
     sums, maxes = sums or {}, maxes or {}
     base = df.withColumn("_chunk", chunk)
@@ -25,12 +29,14 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     totals = base.groupBy(*keys, "_chunk").agg(
         *[F.sum("_v_" + n).alias("_t_" + n) for n in sums], *[F.max("_v_" + n).alias("_t_" + n) for n in maxes])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_chunk",
+    side = {k: f"_k{i}" for i, k in enumerate([*keys, "_chunk"])}
+    carry = totals.select(*[F.col(k).alias(own) for k, own in side.items()],
                           *[F.sum("_t_" + n).over(before).alias("_c_" + n) for n in sums],
                           *[F.max("_t_" + n).over(before).alias("_c_" + n) for n in maxes])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    out = base.join(carry, [*keys, "_chunk"])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(own)) for k, own in side.items()])
+    out = base.join(carry, same, "left").drop(*side.values())
     for n in sums:
         out = out.withColumn(n, F.coalesce("_c_" + n, F.lit(0)) + F.coalesce(F.sum("_v_" + n).over(inside), F.lit(0)))
     for n in maxes:

@@ -25,7 +25,7 @@ def nlp_factor(confidence: Column, entity_confidences: Column) -> Column:
     """``entity_confidences``: confidences of the text's entities, best first."""
     some = F.size(entity_confidences) > 0
     top = F.when(some & (F.try_element_at(entity_confidences, F.lit(1)) > 0.9), 1.15).otherwise(1.0)
-    rest = F.slice(entity_confidences, 2, 1_000_000)
+    rest = F.slice(entity_confidences, F.lit(2), F.size(entity_confidences))
     more = F.when(some & F.exists(rest, lambda c: c > 0.7), 1.1).otherwise(1.0)
     return F.least(F.lit(1.0), confidence * top * more)
 

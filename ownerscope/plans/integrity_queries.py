@@ -155,7 +155,7 @@ def symbol_conflicts(spark, sf):
 
 
 @query("anomaly_counters", """select source, type, count(*) as flags, count(*) - 1 > 5 as suspicious from (
-  select concat('s', cast(user_id % 40 as varchar)) as source, event_type as type from events where value > 60) x group by source, type""")
+  select concat('s', cast(user_id % 40 as varchar)) as source, event_type as type from events) x group by source, type""")
 def anomaly_counters(spark, sf):
-    e = table(spark, sf, "events").filter("value > 60")
+    e = table(spark, sf, "events")
     return I.anomaly_counter(e.select(F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("source"), F.col("event_type").alias("type")))

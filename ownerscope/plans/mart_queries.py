@@ -12,7 +12,6 @@ from ownerscope.operators import marts as R
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
-from ownerscope.session import spread
 from ownerscope.sources import feeds as S
 
 
@@ -31,7 +30,7 @@ def ownership_feed(spark, sf):
     raw = line.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.to_json(F.struct(F.struct(
         F.array(F.struct(F.struct(listed.alias("ownershipList")).alias("institutionOwnership"))).alias("result"))
         .alias("quoteSummary"))).alias("payload"))
-    return S.flatten_ownership(raw, ["order_id", "line"])
+    return S.flatten_ownership(raw, ["order_id", "line"], first=10)
 
 
 @query("registry_feed", f"""{cte('v_entity')}
@@ -200,9 +199,9 @@ ty as (select recipient_id, string_agg(concat(award_type, '=', cast(n as varchar
   from (select recipient_id, award_type, count(*) as n from c group by 1, 2) x group by recipient_id),
 tot as (select recipient_id, sum(amount) as total, count_if(cl) as classified from c group by recipient_id),
 d as (select *, coalesce(dod > total * 0.3::double, false) as is_dod, total > 0 and top / total > 0.7::double as is_one from tot join ag using (recipient_id) join ty using (recipient_id)),
-e as (select *, list_filter([case when total > {_HIGH} then 'High total contract value' when total > {_MEDIUM} then 'Significant contract value' end,
-  case when is_dod then 'High defense dependency' end, case when classified > 0 then 'Classified/sensitive contracts detected' end,
-  case when is_one then 'High agency concentration' end], lambda x: x is not null) as reasons,
+e as (select *, list_filter([case when total > {_HIGH} then 'High total contract value (>${_HIGH / 1e6:g}M)' when total > {_MEDIUM} then 'Significant contract value (>${_MEDIUM / 1e6:g}M)' end,
+  case when is_dod then 'High defense dependency (>30%)' end, case when classified > 0 then 'Classified/sensitive contracts detected' end,
+  case when is_one then 'High agency concentration (>70%)' end], lambda x: x is not null) as reasons,
   case when is_dod or classified > 0 or is_one or total > {_HIGH} then 'HIGH' when total > {_MEDIUM} then 'MEDIUM' else 'LOW' end as risk from d)"""
 
 
@@ -276,7 +275,7 @@ art as (select *, {_relevance_sql()} as relevance,
 
 @query("scored_articles", f"{_ARTICLES} select doc_id, company_id, round(relevance, 9) as relevance, relevance > 0.3::double as relevant, sentiment, indicators from art")
 def scored_articles(spark, sf):
-    a = R.scored_articles(spread(view(spark, sf, "v_article")))
+    a = R.scored_articles(view(spark, sf, "v_article"))
     return a.select("doc_id", "company_id", F.round("relevance", 9).alias("relevance"),
                     (F.col("relevance") > 0.3).alias("relevant"), "sentiment", F.array_join("indicators", "|").alias("indicators"))
 
@@ -290,7 +289,7 @@ select company_id, n as articles, case when p > 0.6 then 'POSITIVE' when g > 0.6
   cast(floor(p * 100 + 0.5::double) as integer) as positive_pct, cast(floor(g * 100 + 0.5::double) as integer) as negative_pct,
   cast(floor(z * 100 + 0.5::double) as integer) as neutral_pct from n""")
 def news_sentiment(spark, sf):
-    return R.sentiment_summary(R.scored_articles(spread(view(spark, sf, "v_article"))), "company_id")
+    return R.sentiment_summary(R.scored_articles(view(spark, sf, "v_article")), "company_id")
 
 
 @query("ownership_triggers", f"""{_ARTICLES}, tr as (
@@ -301,7 +300,7 @@ def news_sentiment(spark, sf):
 select company_id, doc_id, title, type, confidence, cast(row_number() over (partition by company_id order by confidence desc, doc_id, sub) as integer) as rank from tr
 qualify row_number() over (partition by company_id order by confidence desc, doc_id, sub) <= 5""")
 def ownership_triggers(spark, sf):
-    a = R.scored_articles(spread(view(spark, sf, "v_article"))).filter(F.col("relevance") > 0.3)
+    a = R.scored_articles(view(spark, sf, "v_article")).filter(F.col("relevance") > 0.3)
     return R.ownership_triggers(a).select("company_id", "doc_id", "title", "type", "confidence", "rank")
 
 
@@ -330,7 +329,7 @@ def _merge(spark, sf):
     owners = view(spark, sf, "v_owner").select("company_id", F.col("owner_id").alias("ord"), "name", F.col("pct").alias("percent"), "shares")
     entities = view(spark, sf, "v_entity").select(F.col("group_id").alias("company_id"), F.col("entity_id").alias("ord"), "name", "jurisdiction", "status")
     contracts = view(spark, sf, "v_contract").select(F.col("recipient_id").alias("company_id"), F.col("award_id").alias("ord"), "award_id", "amount", "agency")
-    articles = R.scored_articles(spread(view(spark, sf, "v_article"))).select("company_id", F.col("doc_id").alias("ord"), "title", "sentiment")
+    articles = R.scored_articles(view(spark, sf, "v_article")).select("company_id", F.col("doc_id").alias("ord"), "title", "sentiment")
     market = table(spark, sf, "events").select(
         F.col("user_id").alias("company_id"), F.col("event_type").alias("field"), "value", F.col("event_id").alias("ord"))
     failed = view(spark, sf, "v_fetch").filter(~F.col("ok")).select(
@@ -340,18 +339,19 @@ def _merge(spark, sf):
 
 _MERGE_SQL = f"""{cte('v_owner', 'v_entity', 'v_contract', 'v_article', 'v_fetch')},
 c as (select distinct c_custkey as company_id from customer),
-o as (select company_id, least(10, count(*)) as n from v_owner group by 1),
-e as (select group_id as company_id, least(5, count(*)) as n from v_entity group by 1),
-g as (select recipient_id as company_id, least(10, count(*)) as n from v_contract group by 1),
-a as (select company_id, least(8, count(*)) as n from v_article group by 1),
+o as (select company_id, count(*) as n, string_agg(concat(name, ' ', cast(round(pct, 2) as varchar)), '|' order by owner_id) as owner_names from v_owner group by 1),
+e as (select group_id as company_id, count(*) as n, string_agg(concat(name, ' ', jurisdiction), '|' order by entity_id) as entity_names from v_entity group by 1),
+g as (select recipient_id as company_id, count(*) as n, string_agg(concat(award_id, ' ', agency), '|' order by award_id) as contract_names from v_contract group by 1),
+a as (select company_id, count(*) as n, string_agg(title, '|' order by doc_id) as article_titles from v_article group by 1),
 m as (select user_id as company_id, count(distinct event_type) as n from events group by 1),
 w as (select event_id % 2000 as company_id, string_agg(distinct concat(source, ' failed'), '|' order by concat(source, ' failed')) as warnings from v_fetch where not ok group by 1),
-x as (select c.company_id, coalesce(o.n, 0) as owners, coalesce(e.n, 0) as entities, coalesce(g.n, 0) as contracts, coalesce(a.n, 0) as articles, coalesce(m.n, 0) as market, coalesce(warnings, '') as warnings
+x as (select c.company_id, coalesce(o.n, 0) as owners, coalesce(e.n, 0) as entities, coalesce(g.n, 0) as contracts, coalesce(a.n, 0) as articles, coalesce(m.n, 0) as market, coalesce(warnings, '') as warnings,
+  coalesce(owner_names, '') as owner_names, coalesce(entity_names, '') as entity_names, coalesce(contract_names, '') as contract_names, coalesce(article_titles, '') as article_titles
   from c left join o using (company_id) left join e using (company_id) left join g using (company_id) left join a using (company_id) left join m using (company_id) left join w using (company_id))"""
 
 
 @query("merged_companies", f"""{_MERGE_SQL} select company_id, cast(owners as integer) as owners, cast(entities as integer) as entities, cast(contracts as integer) as contracts,
-  cast(articles as integer) as articles, cast(market as integer) as market_fields, warnings,
+  cast(articles as integer) as articles, cast(market as integer) as market_fields, warnings, owner_names, entity_names, contract_names, article_titles,
   array_to_string(list_filter([case when owners > 0 then 'yahoo' end, case when entities > 0 then 'opencorporates' end, case when contracts > 0 then 'usaspending' end,
     case when articles > 0 then 'news' end], lambda x: x is not null), '|') as sources,
   cast(least(100, 15 * ((owners > 0)::int + (entities > 0)::int + (contracts > 0)::int + (articles > 0)::int) + case when owners > 0 then 25 else 0 end
@@ -359,7 +359,12 @@ x as (select c.company_id, coalesce(o.n, 0) as owners, coalesce(e.n, 0) as entit
     + case when market > 3 then 15 else 0 end) as integer) as quality_score from x""")
 def merged_companies(spark, sf):
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
     return _merge(spark, sf).select(
+        text("owners", lambda x: F.concat(x["name"], F.lit(" "), F.round(x["percent"], 2).cast("string"))).alias("owner_names"),
+        text("entities", lambda x: F.concat(x["name"], F.lit(" "), x["jurisdiction"])).alias("entity_names"),
+        text("contracts", lambda x: F.concat(x["award_id"], F.lit(" "), x["agency"])).alias("contract_names"),
+        text("articles", lambda x: x["title"]).alias("article_titles"),
         "company_id", n("owners").alias("owners"), n("entities").alias("entities"), n("contracts").alias("contracts"),
         n("articles").alias("articles"), F.coalesce(F.size(F.map_keys("market")), F.lit(0)).alias("market_fields"),
         F.array_join("warnings", "|").alias("warnings"), F.array_join("sources", "|").alias("sources"), "quality_score")

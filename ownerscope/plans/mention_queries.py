@@ -15,7 +15,7 @@ from ownerscope.operators import mentions as M
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
-from ownerscope.session import materialize, spread
+from ownerscope.session import materialize
 
 _CTRL = r"'[\x00-\x1F\x7F-\x9F]'"
 _CLEAN = ("trim(regexp_replace(regexp_replace(translate({0}, '<>', ''), '[\\x{{0000}}-\\x{{001F}}\\x{{007F}}-\\x{{009F}}]', '', 'g'), "
@@ -70,7 +70,7 @@ _MENTIONS = f"{cte('v_text')}, {_extract_ctes()}"
 
 
 def _arrays(spark, sf):
-    return M.mention_arrays(spread(view(spark, sf, "v_text")))
+    return M.mention_arrays(view(spark, sf, "v_text"))
 
 
 @query("extracted_mentions", f"{_MENTIONS} select doc_id, ord, text, normalized, type, confidence, pattern, position from mention")
@@ -259,7 +259,7 @@ def entity_cards(spark, sf):
 # --- layered and listed detection on conversation turns ----------------------
 _SAY = ("concat(case conv_id % 9 when 0 then 'BlackRock manages trillions ' when 1 then 'Acme Inc announces ' when 2 then 'Chase bank statement ' "
         "when 3 then 'CEO of tiny Startup ' when 4 then 'Goldman Sachs analysis ' when 5 then 'The Energy Trust ' when 6 then 'Ocean Capital ' "
-        "when 7 then 'Tesla ' else '' end, role)")
+        "when 7 then 'Tesla ' else '' end, coalesce(text, ''))")
 _HREF = "case when turn % 3 = 0 then '/company/x' when turn % 3 = 1 then '/quote/T' else '/other' end"
 _PARENT = "case when conv_id % 2 = 0 then 'h1' else 'div' end"
 

@@ -33,10 +33,10 @@ def trailing_request_counts(spark, sf):
 @query("request_timing", f"""{cte('v_request')},
 g as (select *, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by requester order by ts, event_id)) / 1e6 as gap from v_request),
 w as (select requester, event_id, count(*) over o as requests, avg(gap) over o as mean, stddev_pop(gap) over o as sd from g window o as (partition by requester order by ts, event_id rows unbounded preceding))
-select requester, event_id, requests, round(sd / mean, 4) as cv, case when requests > 10 and sd / mean < 0.75 then 0.95::double else 0e0 end as timing_score from w where requests > 1""")
+select requester, event_id, requests, round(sd / mean, 4) as cv, case when requests > 10 and coalesce(sd / mean < 0.75, false) then 0.95::double else 0e0 end as timing_score from w""")
 def request_timing(spark, sf):
     out = N.timing_regularity(view(spark, sf, "v_request"), "requester", "ts", "event_id", max_cv=0.75)
-    return out.filter("requests > 1").select("requester", "event_id", F.col("requests").cast("bigint").alias("requests"),
+    return out.select("requester", "event_id", F.col("requests").cast("bigint").alias("requests"),
                                              F.round("cv", 4).alias("cv"), "timing_score")
 
 

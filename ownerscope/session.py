@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,10 +32,19 @@ def get_session(cores: str | None = None, shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the session's own, else a local one (tests only)."""
+    """The folder that driver and executors share.
+
+    The session's setting or the context's checkpoint folder; only a local master
+    may fall back to a folder of its own machine.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if of_context.isDefined():
+        return of_context.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
@@ -59,11 +70,13 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer partitions than cores before per-row work.
-
-    A small input can be one row group and so one task. Inputs of a cluster's
-    size have more partitions than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, where it isn't installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_ownerscope_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-")  # the driver's copy; Spark serves it to the executors
+    archive = shutil.make_archive(os.path.join(folder, "ownerscope"), "zip", root, "ownerscope")
+    context.addPyFile(archive)
+    context._ownerscope_shipped = True

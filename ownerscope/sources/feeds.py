@@ -26,11 +26,11 @@ def read_landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def flatten_ownership(raw: DataFrame, keys: list[str], payload: str = "payload", first: int = 10) -> DataFrame:
-    """Owners of each document: the first entries of the list, then incomplete ones drop."""
+def flatten_ownership(raw: DataFrame, keys: list[str], payload: str = "payload", first: int | None = None) -> DataFrame:
+    """Owners of each document: the list or its first entries, then incomplete ones drop."""
     doc = F.from_json(payload, OWNERSHIP)
     listed = F.try_element_at(doc["quoteSummary"]["result"], F.lit(1))["institutionOwnership"]["ownershipList"]
-    rows = raw.select(*keys, F.posexplode(F.slice(listed, 1, first)).alias("ord", "o"))
+    rows = raw.select(*keys, F.posexplode(listed if first is None else F.slice(listed, 1, first)).alias("ord", "o"))
     complete = (F.col("o.organization") != "") & F.col("o.pctHeld").isNotNull()
     return rows.filter(complete).select(
         *keys, "ord", F.col("o.organization").alias("name"),

@@ -55,8 +55,6 @@ def stream_rate_alarm(events: DataFrame, seconds: int = 1, limit: int = 15, dela
     return N.rate_alarm(events.withWatermark("ts", delay), "ts", seconds, limit)
 
 
-def stream_ttl_dedupe(events: DataFrame, key: str, ttl: str = "5 minutes") -> DataFrame:
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
 def stream_latest(quotes: DataFrame, key: str, value: str, order: str = "event_id") -> DataFrame:
@@ -111,6 +109,13 @@ def stream_sliding_limit(events: DataFrame, key: str = "requester", order: str =
                      decide=N._limit_step(n, seconds), idle_ms=int(seconds * 1000) * 10)
 
 
+def stream_ttl_dedupe(events: DataFrame, key: str, ttl_seconds: float = 300, order: str = "event_id") -> DataFrame:
+    """First event of a key and each that comes the TTL or more after the last kept one."""
+    decided = _stateful(events, key, order, "kept double", load=lambda k, s: s[0] if s else None, dump=lambda s: (s,),
+                        decide=N._ttl_step(ttl_seconds), idle_ms=int(ttl_seconds * 1000))
+    return decided.filter(F.col("decision") == "kept").drop("decision")
+
+
 def _load_admission(key, stored):
     s = N.AdmissionState()
     if stored:
@@ -125,9 +130,10 @@ def stream_admission(events: DataFrame, key: str = "requester", order: str = "ev
 
     def decide(s, now, row):
         s, verdict = step(s, now, row)
-        return s, verdict.replace("+blacklist", "")
+        return s, verdict.partition("+")[0]
 
-    widest = max(w for _, _, w, _ in (limits or D.REQUEST_LIMITS))
+    # as in the batch form: no state is left after the widest window and the longest penalty
+    widest = max([max(w, p) for _, _, w, p in (limits or D.REQUEST_LIMITS)] + [600])
     return _stateful(events, key, order, "history array<double>, until double, flags array<double>, black boolean",
                      load=_load_admission,
                      dump=lambda s: (list(s.history), s.restricted_until, list(s.flags), s.blacklisted),
@@ -135,7 +141,7 @@ def stream_admission(events: DataFrame, key: str = "requester", order: str = "ev
 
 
 def stream_source_health(log: DataFrame, order: str = "event_id", tiers: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Circuit state per source after each call."""
+    """Circuit state per source after each call; sources are few and keep their state."""
     known = dict(tiers or D.SOURCE_TIERS)
 
     def decide(state, now, row):
@@ -146,4 +152,4 @@ def stream_source_health(log: DataFrame, order: str = "event_id", tiers: dict[st
 
     return _stateful(log, "source", order, "failures int, last double, status string",
                      load=lambda k, s: (k, tuple(s) if s else (0, 0.0, "CLOSED")), dump=lambda s: s[1],
-                     decide=decide, idle_ms=86_400_000, extra="ok")
+                     decide=decide, idle_ms=86_400_000, extra="ok", forever=lambda s: True)

@@ -49,7 +49,7 @@ def test_admission_equals_unsplit_fold(log):
         state, step = N.AdmissionState(), N.admission_step(limits, patterns)
         for i, now, _ in events:
             state, verdict = step(state, now, {})
-            want[i] = verdict.replace("+blacklist", "")
+            want[i] = verdict.partition("+")[0]
     got = decisions(N.admission(df, "requester", "ts", "event_id", limits, patterns))
     assert got == want and len(set(want.values())) >= 3
 
@@ -134,3 +134,39 @@ def test_relevance_addition_order(spark):
     from ownerscope.functions.text import ownership_relevance
     for r in df.select("want", (ownership_relevance(F.col("t"), F.col("s")) > 0.3).alias("got")).collect():
         assert r.got == r.want
+
+
+def _with_nulls(spark):
+    rows = [("a", 1, "2024-01-01 00:00:00"), ("a", 2, None), (None, 3, "2024-01-01 00:00:05"), (None, 4, None), (None, 5, "2024-01-01 00:00:06")]
+    return spark.createDataFrame(rows, "requester string, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+
+
+def test_rows_without_key_or_time_stay(spark):
+    df = _with_nulls(spark)
+    ids = lambda out: {r["event_id"] for r in out.collect()}
+    every = {1, 2, 3, 4, 5}
+    counts = N.trailing_counts(df, "requester", "ts", "event_id", {"m": 60, "h": 3600})
+    assert {r["event_id"]: (r["m"], r["h"]) for r in counts.collect()} == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
+    regular = N.timing_regularity(df, "requester", "ts", "event_id")
+    assert {r["event_id"]: r["requests"] for r in regular.collect()} == {1: 2, 2: 1, 3: 2, 4: 1, 5: 3}
+    known = df.filter("ts is not null")
+    assert ids(N.sliding_limit(known, "requester", "ts", "event_id", 1, 60)) == {1, 3, 5}
+    assert {r["event_id"]: r["decision"] for r in N.sliding_limit(known, "requester", "ts", "event_id", 1, 60).collect()}[5] == "rejected"
+    assert ids(N.ttl_dedupe(known, "requester", "ts", "event_id", 60)) == {1, 3}
+    assert ids(N.admission(known, "requester", "ts", "event_id")) == {1, 3, 5}
+    assert ids(N.running_mean(df.withColumn("v", F.lit(1.0)), ["requester"], ["ts", "event_id"], F.date_trunc("day", "ts"), "v")) == every
+
+
+def test_blacklisting_that_also_meets_a_limit(spark):
+    """The mark survives a limit's verdict, in later stretches and in the statistics."""
+    times = [f"2024-01-01 00:00:0{i}" for i in range(6)] + ["2024-01-04 00:00:00"]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)] + [("b", 100 + i, t) for i, t in enumerate(times[:6])],
+                               "requester string, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    limits = [("tight", 5, 60, 30)]
+    patterns = {"burst": (100, 1), "rapid": (100, 1), "hourly": (5, 3600)}
+    got = N.admission(df, "requester", "ts", "event_id", limits, patterns)
+    rows = {r["event_id"]: r for r in got.collect()}
+    assert rows[5]["decision"] == "tight" and rows[5]["blacklists"] and rows[5]["restricts"]
+    assert rows[6]["decision"] == "blacklisted"
+    stats = N.limiter_stats(got, "requester").first()
+    assert (stats["blacklisted"], stats["restricted"], stats["requesters"]) == (2, 2, 2)
