@@ -47,23 +47,23 @@ def may_match(text: Column, low: Column, flags: str, parts: list[str], ending: s
 def match_positions(text: Column, pattern: str, gate: Column) -> Column:
     """All matches of a pattern as (group 1, offset of the whole match).
 
-    Offsets come from the pieces between matches. Texts failing the gate skip the
-    pattern altogether.
+    One pass marks each match and its group with control characters, which the
+    sanitised text cannot hold; offsets come from the pieces between the marks.
+    Texts failing the gate skip the pattern altogether.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(RAW).alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        start = (acc["at"] + F.length(z["between"])).cast("int")
-        hit = F.struct(z["grp"].alias("text"), start.alias("position"))
-        return F.when(z["whole"].isNull(), acc).otherwise(F.struct(
-            (start + F.length(z["whole"])).cast("int").alias("at"),
-            F.array_append(acc["out"], hit).alias("out")))
-
-    zipped = F.arrays_zip(whole.alias("whole"), group.alias("grp"), between.alias("between"))
-    hits = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\u0001$0\u0002$1\u0003")), "\u0001")
+    zero = F.struct(F.lit(-1).alias("at"), F.array().cast(RAW).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        whole = F.substring_index(piece, "\u0002", 1)
+        group = F.substring_index(F.substring_index(piece, "\u0003", 1), "\u0002", -1)
+        rest = F.substring_index(piece, "\u0003", -1)
+        hit = F.struct(group.alias("text"), acc["at"].alias("position"))
+        # the first piece stands before all matches
+        return F.when(acc["at"] < 0, F.struct(F.length(piece).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(
+            (acc["at"] + F.length(whole) + F.length(rest)).alias("at"), F.array_append(acc["out"], hit).alias("out")))
+
+    hits = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
     return F.when(gate, hits).otherwise(F.array().cast(RAW))
 
 
@@ -104,11 +104,11 @@ def mention_arrays(docs: DataFrame, text: str = "text", families: list[PatternFa
     out = out.withColumn("_context", F.when(
         F.exists("_found", lambda m: m["normalized"].isin(*D.AMBIGUOUS_WORDS)),
         has_company_context(F.col("clean_text"))).otherwise(F.lit(True)))
-    first = F.filter("_found", lambda m, i: (
-        F.array_position(F.transform("_found", lambda x: x["normalized"]), m["normalized"]) == i + 1)
+    out = computed_once(out, "_names", F.transform("_found", lambda x: x["normalized"]))
+    first = F.filter("_found", lambda m, i: (F.array_position("_names", m["normalized"]) == i + 1)
         & m["ok"] & (F.col("_context") | ~m["normalized"].isin(*D.AMBIGUOUS_WORDS)))
     kept = F.transform(first, lambda m: m.dropFields("ok"))
-    return computed_once(out, "mentions", kept if cap is None else F.slice(kept, 1, cap)).drop("_found", "_context")
+    return computed_once(out, "mentions", kept if cap is None else F.slice(kept, 1, cap)).drop("_found", "_names", "_context")
 
 
 def explode_mentions(df: DataFrame, keys: list[str], column: str = "mentions") -> DataFrame:
