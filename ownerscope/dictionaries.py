@@ -247,8 +247,6 @@ POSITION_WEIGHTS = {
 }
 POSITION_WEIGHT_OTHER = 0.5
 MIN_SCORE_ADAPTER = 0.45
-MIN_SCORE_SCAN = 0.3
-MIN_SCORE_CARD = 0.4
 MIN_SCORE_LAYERED = 0.7
 
 # --- layered and list detection ----------------------------------------------

@@ -59,10 +59,6 @@ def feature_columns(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}_{k}") for k in ("raw", "low", "sorted", "tokens")}
 
 
-def levenshtein(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b)
-
-
 def _edit_ratio(a: Column, b: Column) -> Column:
     """Ratio of two non-empty prepared texts."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -141,19 +137,6 @@ def name_ratio(fa: Column, fb: Column, weights: dict[str, float] | None = None)
     return score / total if total > 0 else F.lit(0.0)
 
 
-def name_ratio_at_least(fa: Column, fb: Column, floor: Column | float,
-                        weights: dict[str, float] | None = None) -> Column:
-    """``name_ratio`` where it can reach ``floor``, else null.
-
-    The windowed partial ratio is the costly part; it is skipped when the other
-    three parts cannot reach the floor even with a partial ratio of 1.
-    """
-    w = merged_weights(weights)
-    parts = part_ratios(fa, fb)
-    bound = sum((parts[k] * w[k] for k in ("ratio", "tokenSort", "tokenSet")), F.lit(w["partial"]))
-    return F.when(bound / sum(w.values()) >= F.lit(floor) - 1e-9, name_ratio(fa, fb, weights))
-
-
 def abbreviation_bonus(low_a: Column, low_b: Column) -> Column:
     crossed = any_of([
         (low_a.contains(s) & low_b.contains(f)) | (low_a.contains(f) & low_b.contains(s))
@@ -170,13 +153,6 @@ def enhanced_ratio(fa: Column, fb: Column, weights: dict[str, float] | None = No
     return F.least(F.lit(1.0), name_ratio(fa, fb, weights) + abbreviation_bonus(fa["low"], fb["low"]))
 
 
-def enhanced_ratio_at_least(fa: Column, fb: Column, floor: Column | float,
-                            weights: dict[str, float] | None = None) -> Column:
-    bonus = abbreviation_bonus(fa["low"], fb["low"])
-    base = name_ratio_at_least(fa, fb, F.lit(floor) - bonus, weights)
-    return F.least(F.when(base.isNotNull(), F.lit(1.0)), base + bonus)
-
-
 def company_name_ratio(a: Column, b: Column, weights: dict[str, float] | None = None) -> Column:
     return name_ratio(features(a), features(b), weights)
 

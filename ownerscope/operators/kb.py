@@ -117,7 +117,7 @@ def kb_candidates(kb: DataFrame, aliases: bool = True, tickers: bool = True) ->
                             F.array(entry(F.col("ticker"), F.upper("ticker"), "ticker",
                                           F.size("aliases") + 1))).otherwise(none))
     return (kb.select(F.col("id").alias("company_id"), "ord", F.explode(F.concat(*parts)).alias("c"))
-            .select("company_id", (F.col("ord") * 100000 + F.col("c.sub")).cast("bigint").alias("ord"), "c.*"))
+            .select("company_id", (F.shiftleft(F.col("ord").cast("bigint"), 32) + F.col("c.sub")).alias("ord"), "c.*"))
 
 
 Scorer = Callable[[Column, Column], Column]

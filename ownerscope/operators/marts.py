@@ -39,8 +39,16 @@ def series_scan(observations: DataFrame, newest: int = 12, keep: int = 6) -> Dat
     return top_k(recent.filter(F.col("value").isNotNull()), ["series_id"], [F.desc("date")], keep)
 
 
-def news_scan(articles: DataFrame, phrase: Column, k: int = 20) -> DataFrame:
-    """Articles with the phrase and an ownership keyword from leading sources."""
+def news_scan(articles: DataFrame, phrase: Column, k: int | None = 20, since=None, until=None) -> DataFrame:
+    """Articles with the phrase and an ownership keyword from leading sources.
+
+    ``since`` and ``until`` are days of ``published_at``, both included.
+    """
+    day = F.to_date("published_at") if since is not None or until is not None else None
+    if since is not None:
+        articles = articles.filter(day >= F.lit(since).cast("date"))
+    if until is not None:
+        articles = articles.filter(day <= F.lit(until).cast("date"))
     text = F.lower(F.concat_ws(" ", "title", "description"))
     words = D.OWNERSHIP_KEYWORDS[:5]
     hit = text.contains(F.lower(phrase)) & text.rlike("|".join(words))

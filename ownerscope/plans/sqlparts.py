@@ -48,7 +48,7 @@ def candidates_values() -> str:
     rows, ord_ = [], 0
     for company_ord, (cid, name, aliases, ticker, *_rest) in enumerate(D.KB_COMPANIES):
         for sub, (text, kind) in enumerate([(name, "name"), *[(a, "alias") for a in aliases], (ticker, "ticker")]):
-            rows.append(f"({s(cid)}, {s(text)}, {s(kind)}, {D.CANDIDATE_BOOST[kind]}::double, {company_ord * 100000 + sub})")
+            rows.append(f"({s(cid)}, {s(text)}, {s(kind)}, {D.CANDIDATE_BOOST[kind]}::double, {(company_ord << 32) + sub})")
     return "(select * from (values " + ", ".join(rows) + ") v(company_id, text, kind, boost, ord))"
 
 

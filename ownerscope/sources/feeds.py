@@ -85,6 +85,13 @@ def write_kb(kb: DataFrame, path: str) -> None:
               "previous_names").write.mode("overwrite").json(path)
 
 
+def write_kb_export(kb: DataFrame, path: str, export_date, version: str = "1.0") -> None:
+    """An export of a knowledge base of any size: ``companies`` as JSON lines, and ``metadata`` with their count."""
+    write_kb(kb, f"{path}/companies")
+    kb.agg(F.lit(version).alias("version"), F.lit(export_date).alias("exportDate"), F.count("*").alias("count")).write.mode(
+        "overwrite").json(f"{path}/metadata")
+
+
 def read_kb(spark: SparkSession, path: str) -> DataFrame:
     return with_normalized(spark.read.schema("ord bigint, " + COMPANY_SCHEMA).json(path))
 

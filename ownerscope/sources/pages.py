@@ -189,7 +189,8 @@ def site_candidates(elements: DataFrame, site: str) -> DataFrame:
         keys = [closest([(None, None, "data-ticker", ""), (None, "element--intraday", None, None), ("bg-quote", None, None, None)]),
                 closest([(None, "watchlist", None, None)]), false]
     else:
-        profile = self_matches(("h1", "profile-name", None, None)) | self_matches(("h1", "listuser-header__name", None, None))
+        profile = self_matches(("h1", "profile-name", None, None)) | self_matches(("h1", "listuser-header__name", None, None)) | (
+            (F.col("tag") == "h1") & closest([(None, "profile-heading", None, None)]))
         heads = rows.filter(url_path(F.col("url")).contains("/companies/") & profile & (F.trim("text") != ""))
         first = heads.groupBy("page_id").agg(F.min("elem_id").alias("_head"))
         rows = rows.join(first, "page_id", "left").filter(F.col("_head").isNull() | (F.col("_head") == F.col("elem_id"))).drop("_head")

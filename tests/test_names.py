@@ -103,3 +103,27 @@ def test_kb_files(spark, tmp_path):
     assert K.kb_candidates(back).count() == 59
     (tmp_path / "export.json").write_text('{"companies": [{"id": "a", "name": "Acme Inc", "aliases": ["Acme"]}], "metadata": {"count": 1}}')
     assert feeds.read_kb_export(spark, str(tmp_path / "export.json")).first().normalized_name == "Acme"
+
+
+def test_kb_export(spark, tmp_path):
+    from ownerscope.sources import feeds
+
+    kb = K.shipped_kb(spark)
+    feeds.write_kb_export(kb, str(tmp_path / "out"), "2026-01-02")
+    meta = spark.read.json(str(tmp_path / "out" / "metadata")).first()
+    assert (meta["version"], meta["exportDate"], meta["count"]) == ("1.0", "2026-01-02", kb.count())
+    again = feeds.read_kb(spark, str(tmp_path / "out" / "companies"))
+    assert sorted(r["id"] for r in again.collect()) == sorted(r["id"] for r in kb.collect())
+
+
+def test_news_days(spark):
+    from pyspark.sql import functions as F
+
+    from ownerscope import dictionaries as D
+    from ownerscope.operators import marts as R
+
+    word, source = D.OWNERSHIP_KEYWORDS[0], D.TIER1_SOURCES[0]
+    rows = [(1, i, f"Acme {word}", None, source, f"2024-03-0{i}T10:00:00Z") for i in range(1, 6)]
+    news = spark.createDataFrame(rows, "company_id int, doc_id int, title string, description string, source_id string, published_at string")
+    days = lambda **k: [r["doc_id"] for r in R.news_scan(news, F.lit("acme"), **k).orderBy("doc_id").collect()]
+    assert days(since="2024-03-02", until="2024-03-04") == [2, 3, 4] and days() == [1, 2, 3, 4, 5] and days(until="2024-03-01", k=None) == [1]
