@@ -120,7 +120,8 @@ def _bounds(x: np.ndarray) -> np.ndarray:
 def grouped_runs(rows: DataFrame) -> DataFrame:
     """Runs whose anchor occurs twice: with ``same`` (its content does) and ``mixed`` (the anchor has several contents).
 
-    Groups that touch a bucket's ends are marked ``edge``; their marks come from counts over all buckets.
+    A group that touches a bucket's ends may go on in the next one: its marks come from counts over all buckets. Only one row
+    per content and bucket takes part; a content met twice within a bucket is repeated whatever the others hold.
     """
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at_edge = None, True  # rows of the open group; whether it may have rows in what was passed on before
@@ -156,20 +157,20 @@ def grouped_runs(rows: DataFrame) -> DataFrame:
             edge |= group == group[-1]
         keep = pa.array(many | edge)
         out = table.append_column("same", pa.array(same)).append_column("mixed", pa.array(mixed)).append_column(
-            "lead", pa.array(fresh)).append_column("edge", pa.array(edge)).filter(keep)
+            "lead", pa.array(fresh)).append_column("edge", pa.array(edge)).append_column(
+            "n", pa.array(np.bincount(kind)[kind])).filter(keep)
         yield from out.combine_chunks().to_batches()
 
     order = ["anchor", "content", "doc", "tag", "place"]
     found = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        neighbours, RUN + ", same boolean, mixed boolean, lead boolean, edge boolean"))
-    edges = found.where("edge").select("anchor").distinct()
-    inner = found.join(edges, "anchor", "left_anti").select(*order, "same", "mixed", "lead")
-    outer = found.join(edges, "anchor", "left_semi").select(*order)
-    first = F.min(F.struct("doc", "tag", "place"))
-    by_content = outer.groupBy("anchor", "content").agg(F.count("*").alias("n"), first.alias("first"))
-    by_anchor = by_content.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    marked = outer.join(by_content, ["anchor", "content"]).join(by_anchor, "anchor").where("all > 1").select(
-        *order, (F.col("n") > 1).alias("same"), (F.col("kinds") > 1).alias("mixed"),
+        neighbours, RUN + ", same boolean, mixed boolean, lead boolean, edge boolean, n long"))
+    flags = ["same", "mixed", "lead"]
+    inner = found.where("not (edge and lead)").select(*order, *flags)  # of edge groups only rows that are repeated for certain
+    shared = found.where("edge and lead").select(*order, "n")
+    by_content = shared.groupBy("anchor", "content").agg(F.sum("n").alias("all"), F.min(F.struct("doc", "tag", "place")).alias("first"))
+    by_anchor = by_content.groupBy("anchor").agg(F.sum("all").alias("rows"), F.count("*").alias("kinds"))
+    marked = shared.join(by_content, ["anchor", "content"]).join(by_anchor, "anchor").where("rows > 1").select(
+        *order, (F.col("all") > 1).alias("same"), (F.col("kinds") > 1).alias("mixed"),
         F.struct("doc", "tag", "place").eqNullSafe(F.col("first")).alias("lead"))
     return inner.unionByName(marked)
 
