@@ -7,9 +7,13 @@ difference. A similarity threshold bounds that difference by d for the sizes of
 1 + e are equal (pigeonhole), and one of these is not empty unless both sides have more than e empty blocks; such documents are
 sketched again with another seed until they have not. Hence every link meets in a bucket (band, seed, block, word).
 
-In a bucket each class is compared with the smallest one; the pairs are verified on the whole sets, and links are joined to
-components. Only buckets in which that leaves more than one component are gone through again, with the pairs across
-components, so groups of mutually similar documents cost a star and not all pairs. A batch of documents sends one
+A second, dense sketch gives each class one bit per hash value, the parity of its shingles there; the Hamming distance of
+two is at most the symmetric difference too and rules out most pairs before their sets are looked at.
+
+In a bucket each class is compared with the smallest one; pairs whose dense sketches are close enough are verified on the
+whole sets, and links are joined to components. Only buckets in which that leaves more than one component are gone
+through again: their tasks compare the dense sketches of pairs across components and send on the close ones. So groups of
+mutually similar documents cost a star and not all pairs, and no row is made for a pair that the sketches rule out. A batch of documents sends one
 row per bucket to the shuffle, and the others as pairs, so that a bucket that a third of the documents share arrives
 pre-aggregated.
 
@@ -32,6 +36,7 @@ from ownerscope.llm.common import M64, materialize, mix64, slices
 from ownerscope.llm.shingles import shingle_set, word_hashes, words_of
 
 SEEDS = 64
+MOST_BITS = 14  # of a dense sketch, as a power of two: beyond it the sketch only rules out fewer pairs
 
 
 @lru_cache(maxsize=None)
@@ -107,20 +112,118 @@ def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return [shingle_set(store.of(words_of(t)), k) for t in texts]
 
 
+def dense_sketch(s: np.ndarray) -> bytes:
+    """Parities of the set by hash value, about two bits per shingle; the number of bits is a power of two."""
+    bits = 1 << min(MOST_BITS, max(6, (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches at the size of the shortest: the upper half is XORed onto the lower one, which keeps parities."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, raw in enumerate(sketches):
+        words = np.frombuffer(raw, np.uint64)
+        while len(words) > size // 8:
+            half = len(words) // 2
+            words = words[:half] ^ words[half:]
+        out[i] = words
+    return out
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc, n_shingles and digest of the shingle set."""
+    """doc, n_shingles, digest and dense sketch of the shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = _sets(batch.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())],
-                names=["doc", "n", "digest"])
+                [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
+                 pa.array([dense_sketch(s) for s in sets], pa.binary())],
+                names=["doc", "n", "digest", "sketch"])
+
+    return docs.mapInArrow(run, "doc long, n long, digest binary, sketch binary")
+
+
+def _differ_at_most(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest symmetric difference of linked sets with ``n`` elements in all."""
+    return n - 2 * -(-num * n // (num + den))
+
 
-    return docs.mapInArrow(run, "doc long, n long, digest binary")
+def close_pairs(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and dense sketches allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "sa"):
+            ok = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
+                if x is None or y is None:
+                    ok.append(True)
+                    continue
+                two = folded([x, y])
+                ok.append(int(np.bitwise_count(two[0] ^ two[1]).sum()) <= na + nb - 2 * -(-num * (na + nb) // (num + den)))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    fits = (den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))
+    return pairs.where(F.coalesce(fits, F.lit(True))).mapInArrow(run, "a long, b long")
+
+
+def close_across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components whose sizes and dense sketches allow a link.
+
+    ``members``: key, node, n, component, sketch. A bucket is held by one task, as are its comparisons; they make no rows.
+    """
+    def pairs(nodes, n, component, sketches) -> tuple[np.ndarray, np.ndarray]:
+        open_ = np.array([x is None for x in sketches])
+        known = [x for x in sketches if x is not None]
+        words = folded([known[0] if x is None else x for x in sketches]) if known else np.zeros((len(nodes), 1), np.uint64)
+        left, right = [], []
+        for i in range(len(nodes) - 1):
+            j = np.arange(i + 1, len(nodes))
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            j = j[(component[j] != component[i]) & (open_[i] | open_[j] | (den * low >= num * high))]
+            for at in range(0, len(j), 4096):
+                part = j[at:at + 4096]
+                far = np.bitwise_count(words[part] ^ words[i]).sum(1, dtype=np.int64)
+                part = part[open_[i] | open_[part] | (far <= _differ_at_most(n[part] + n[i], num, den))]
+                left.append(np.full(len(part), nodes[i]))
+                right.append(nodes[part])
+        if not left:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = np.concatenate(left), np.concatenate(right)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        now, sent = None, set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, sent
+            nodes, n, component = (np.array([v or 0 for v in x], np.int64) for x in held[:3])
+            if len(nodes) > 1 and (component != component[0]).any():
+                a, b = pairs(nodes, n, component, held[3])
+                fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in sent]
+                if len(sent) > 500_000:
+                    sent = set()
+                sent.update(fresh)
+                if fresh:
+                    x, y = zip(*fresh)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            held = [[], [], [], []]
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "component", "sketch"))):
+                if key != now:
+                    yield from flush()
+                    now = key
+                for x, v in zip(held, row):
+                    x.append(v)
+        yield from flush()
+
+    return members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def bucket_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -212,27 +315,50 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
         compare, "a long, b long").distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: each task joins the nodes it holds to the smallest of their component there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up.setdefault(y, y)
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                a, b = root(u), root(v)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = [x for x in list(up) if root(x) != x]
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links, the component being its smallest node.
 
-    Large-star and small-star steps in turn: each joins the neighbours of a node to the smallest of them, until the links
-    are stars. Every step is written, so that no plan grows.
+    Each round contracts the links within tasks and then takes a large-star and a small-star step across them, which join the
+    neighbours of a node to the smallest of them, until the links are stars. Every step is written, so that no plan grows.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = materialize(contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")).distinct())
     before = None
     while True:
+        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
+        # one edge per node and no root below another: the links are stars
+        if state == before or state[0] == state[2] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+        before = state
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small_least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before:
-            break
-        before = state
+        small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            small_least.select("u", F.col("m").alias("v")))
+        edges = materialize(contracted(small).distinct())
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -243,37 +369,35 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     # texts are read once for the classes and once for the sketches: parsing twice is cheaper than keeping the sets
     every = materialize(classes(rows, k))
     known = rows.where("doc is not null")
-    leaders = every.where("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("leader"))
-    of = materialize(every.where("n > 0 and doc is not null").join(leaders, "digest").select("doc", "n", "leader").distinct())
+    shown = every.where("n > 0 and doc is not null")
+    leaders = materialize(shown.groupBy("digest").agg(F.min("doc").alias("leader"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    of = materialize(shown.select("doc", "digest").join(leaders.select("digest", "leader"), "digest").select("doc", "leader").distinct())
+    # an id that leads several classes (its rows differ) has no one sketch: null, which rules nothing out
+    lead = leaders.groupBy("leader").agg(F.count("*").alias("k"), F.max(F.struct("n", "sketch")).alias("x")).select(
+        "leader", *[F.when(F.col("k") == 1, F.col(f"x.{c}")).alias(c) for c in ("n", "sketch")])
     met = materialize(bucket_pairs(bucket_rows(known, k, num, den)))
-    sized = of.select("doc", "leader", "n")
 
     def by_class(pairs: DataFrame, more: list[str]) -> DataFrame:
-        left = sized.select(F.col("doc").alias("a"), F.col("leader").alias("la"), F.col("n").alias("na"))
-        right = sized.select(F.col("doc").alias("b"), F.col("leader").alias("lb"), F.col("n").alias("nb"))
+        left = of.select(F.col("doc").alias("a"), F.col("leader").alias("la"))
+        right = of.select(F.col("doc").alias("b"), F.col("leader").alias("lb"))
         return pairs.join(left, "a").join(right, "b").select(
-            *more, F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "na", "nb").where("a <> b")
+            *more, F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct()
 
-    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    first = materialize(by_class(met.select("a", "b").distinct(), []).where(fits).select("a", "b").distinct())
-    links = materialize(verified(first, known, k, num, den))
+    first = materialize(by_class(met.select("a", "b").distinct(), []))
+    with_sketches = first.join(lead.select(F.col("leader").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
+        lead.select(F.col("leader").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    links = materialize(verified(materialize(close_pairs(with_sketches, num, den)), known, k, num, den))
     parts = components(links)
     # buckets that still hold several components: pairs across them that were not yet compared
-    in_class = materialize(by_class(met, ["key"]).select("key", "a", "b").distinct())
+    in_class = materialize(by_class(met, ["key"]))
     side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     split = in_class.join(side("a"), "a", "left").join(side("b"), "b", "left").where(
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("key").distinct()
     member = in_class.join(split, "key", "left_semi")
-    sizes = of.groupBy("leader").agg(F.max("n").alias("n"))
     member = member.select("key", F.col("a").alias("node")).unionByName(member.select("key", F.col("b").alias("node"))).distinct()
-    member = materialize(member.join(parts, "node", "left").join(sizes, F.col("node") == F.col("leader")).select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component")))
-    x, y = member.alias("x"), member.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                    & (F.col("x.component") != F.col("y.component"))
-                    & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    across = materialize(across)
+    member = member.join(parts, "node", "left").join(lead, F.col("node") == F.col("leader")).select(
+        "key", "node", "n", F.coalesce("component", "node").alias("component"), "sketch")
+    across = materialize(close_across(member, num, den).join(first, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         links = materialize(links.unionByName(verified(across, known, k, num, den)))
         parts = components(links)

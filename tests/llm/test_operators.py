@@ -83,6 +83,25 @@ def test_jaccard_edges(spark, docs, empty):
     assert got.where("doc_id is null").first()["component_id"] is None
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
+    base = " ".join(f"w{i}" for i in range(60))
+    same_id = [(5, "q r s t u v w x"), (5, base), (3, base + " end"), (2, "q r s t u v w x y"), (9, None)]
+    parts = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.join(
+        spark.createDataFrame(same_id, "doc_id long, text string"), 4, 80, 100).collect()}
+    assert parts == {(5, 5): 2, (5, 57): 2, (3, 58): 2, (2, 6): 2, (9, 0): 9}
+
+
+def test_components_of_a_loose_group(spark):
+    """Copies with several changes each: some pairs of a bucket link and some don't."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10 ** 6)}"
+        texts.append((i, " ".join(w)))
+    got = by_id(jaccard_join.join(spark.createDataFrame(texts, "doc_id long, text string"), 4, 85, 100), "n_shingles", "component_id")
+    assert got == brute.jaccard(texts)
 
 
 @pytest.mark.parametrize("num", [50, 80, 85, 95])
