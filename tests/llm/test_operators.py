@@ -254,6 +254,36 @@ def automaton(texts):
     return out
 
 
+def test_language_model_rare_words(spark, monkeypatch):
+    """In a text of many tokens, bigrams of rare words count as those of frequent words do."""
+    rng = random.Random(5)
+    texts = [(d, " ".join(f"w{int(rng.paretovariate(.6)) % 4000}" for _ in range(300)) + f" rare{d % 40} pair{d % 40}") for d in range(120)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(language_model, "SHARD_KEYS", 3_000)
+    got, plain = by_id(language_model.score(rows), "score"), bigrams(texts)
+    assert sum(len(t.split()) + 1 for d, t in texts if brute.crc(d, 10)) > 30_000
+    assert all(math.isclose(got[d], plain[d], rel_tol=1e-9) for d, _ in texts)
+
+
+def bigrams(texts):
+    """Scores by a dictionary of all training bigrams."""
+    toks = {d: [*t.split(), None] for d, t in texts}
+    train = [ts for d, ts in toks.items() if brute.crc(d, 10)]
+    c = collections.Counter(x for ts in train for x in ts)
+    arcs = collections.Counter(p for ts in train for p in zip([None, *ts], ts))
+    follow = collections.Counter(a for a, _ in arcs)
+    n, v, once, twice = sum(c.values()), len(c), *(sum(x == k for x in c.values()) for k in (1, 2))
+    disc = once / (once + 2 * twice)
+
+    def weight(a, b):
+        root = (c[b] - disc) / n if c[b] else disc * v / n
+        own = (arcs[a, b] - language_model.DISCOUNT) / c[a] if arcs[a, b] else 0
+        return own + language_model.DISCOUNT * follow[a] / c[a] * root if c[a] else root
+
+    return {d: sum(math.log10(weight(a, b)) for a, b in zip([None, *ts], ts)) for d, ts in toks.items()}
+
+
 def test_language_model_without_training(spark):
     alone = next(d for d in range(100) if brute.crc(d, 10) == 0)
     rows = spark.createDataFrame([(alone, "a b")], "doc_id long, text string")
