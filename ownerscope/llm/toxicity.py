@@ -4,7 +4,8 @@ A word is the bag of itself and its 3- to 5-byte n-grams, hashed to 2 ** BITS ve
 of its vectors with the spellings it resembles. A stretch of words is the mean of its units' vectors, and a softmax over
 two classes scores it. A document is as toxic as its most toxic stretch of STRETCH words: the mean over a long text would
 drown one insult. Training picks each document's stretch the same way (multiple-instance learning) after a start on
-random stretches. A word said several times on end counts once. Because the softmax is linear in the mean, a trained word is one number and a count, which workers keep.
+random stretches. A word said several times on end counts once.
+A run of more than LONGEST bytes without spaces is cut into overlapping pieces, each a word of the stretch, so none of its n-grams is lost. Because the softmax is linear in the mean, a trained word is one number and a count, which workers keep.
 
 The model is fitted on at most ``most`` rows of each label, the smallest by a hash of the id; all texts are scored whole.
 
@@ -27,18 +28,24 @@ from ownerscope.llm.common import slices
 BITS, DIM, STRETCH = 18, 8, 24
 PAD = 300  # units that a shorter stretch is filled up to with zero vectors
 REMEMBERED = 500_000
+LONGEST, PIECE, OVERLAP = 64, 16, 4  # bytes; pieces share all but one byte of the longest n-gram, so each n-gram is in one
 
 #: ASCII to lower case, other than letters and digits to spaces; bytes of other characters stay
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
+    """Words, and the pieces of those longer than LONGEST."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    step = PIECE - OVERLAP
+    return [x for w in words for x in ([w] if len(w) <= LONGEST else [w[i:i + PIECE] for i in range(0, len(w) - OVERLAP, step)])]
 
 
 def units(word: bytes) -> list[int]:
     """Hashed units of a word: the whole and its n-grams with ends marked."""
-    marked, mask = b"<" + word[:64] + b">", (1 << BITS) - 1
+    marked, mask = b"<" + word + b">", (1 << BITS) - 1
     n = len(marked)
     out = [zlib.crc32(marked) & mask]
     for size in (3, 4, 5):

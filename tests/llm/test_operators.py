@@ -347,3 +347,23 @@ def test_toxicity(spark, sf, docs, empty):
     assert toxicity.scores(docs, fitted).count() == docs.count() and toxicity.scores(empty, fitted).count() == 0
     nothing = toxicity.fit(frame, labels.limit(0))
     assert max(by_id(toxicity.scores(docs, nothing), "score").values()) < 1e-9
+
+
+def test_toxicity_long_runs():
+    """Every n-gram of a run without spaces is in a piece, and what is said late in it reaches the score."""
+    rng = random.Random(6)
+    run = bytes(rng.randrange(97, 123) for _ in range(1003))
+    assert toxicity.words_of("a" * 64) == [b"a" * 64]
+    for k in range(60, 130):
+        grams = {p[i:i + 5] for p in toxicity.words_of(run[:k].decode()) for i in range(len(p) - 4)}
+        assert grams == {run[i:i + 5] for i in range(k - 4)}
+    signs = [chr(0x4E00 + k) for k in range(200)]
+    bad = "".join(chr(0x7000 + k) for k in range(6))
+
+    def sentence(toxic):
+        s = "".join(rng.choice(signs) for _ in range(150))
+        return s[:90] + bad + s[90:] if toxic else s
+
+    labels = [int(k % 4 == 0) for k in range(240)]
+    own = toxicity.Scorer(toxicity.train([sentence(y) for y in labels], labels))
+    assert sum((own.score(sentence(y)) >= 0.5) == y for y in labels[:60]) >= 57
