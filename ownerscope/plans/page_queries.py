@@ -246,11 +246,7 @@ def page_element_counts(spark, sf):
 def site_candidate_elements(spark, sf):
     """Candidate elements of each site in their processing order."""
     e = materialize(_elements(spark, sf).withColumn("site", P.site_of(F.col("url"))).filter(F.col("site").isNotNull()))
-    parts = [P.site_candidates(e.filter(F.col("site") == s), s).select("page_id", "site", "elem_id", "tag", "priority")
-             for s in D.SITE_CANDIDATES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = P.all_site_candidates(e).select("page_id", "site", "elem_id", "tag", "priority")
     order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("priority"), "elem_id"))
     return out.withColumn("position", order)
 
@@ -313,8 +309,7 @@ def structural_positions(spark, sf):
 
 
 def _entities(spark, sf):
-    e = _clued(spark, sf).filter(F.col("tag").isin("h1", "h2", "h3", "p", "span", "a", "div", "bg-quote"))
-    return X.page_entities(e, C.known_entities(spark))
+    return X.page_entities(P.all_site_candidates(_clued(spark, sf)), C.known_entities(spark))
 
 
 @query("page_entities")
@@ -325,6 +320,4 @@ def page_entities(spark, sf):
 
 @query("best_entity_per_element")
 def best_entity_per_element(spark, sf):
-    found = materialize(_entities(spark, sf))
-    e = _elements(spark, sf).filter(F.col("tag").isin("h1", "h2", "h3", "p", "span", "a"))
-    return X.best_entity(e, found)
+    return X.best_entity(_elements(spark, sf), materialize(_entities(spark, sf)))

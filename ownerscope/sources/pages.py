@@ -198,6 +198,15 @@ def site_candidates(elements: DataFrame, site: str) -> DataFrame:
     return rows.withColumn("priority", F.array(*[k.cast("int") for k in keys]))
 
 
+def all_site_candidates(elements: DataFrame) -> DataFrame:
+    """Candidate elements of every page with a ``site``, each by the selectors of its own, of any tag."""
+    parts = [site_candidates(elements.filter(F.col("site") == s), s) for s in D.SITE_CANDIDATES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # --- URLs --------------------------------------------------------------------
 def url_path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))

@@ -102,3 +102,19 @@ def test_surrounding_clues_brute_force(spark):
                 want += [(r.elem_id, c.type, round(c.confidence * 0.7, 9)) for c in s.clues]
     got = [(r.elem_id, r.type, round(r.confidence, 9)) for r in X.surrounding_clues(e).collect()]
     assert sorted(got) == sorted(want) and want
+
+
+def test_candidates_of_any_tag_are_scored(spark, monkeypatch):
+    """Elements picked by class or attribute on list items, cells and headings of lower order reach both page queries."""
+    from ownerscope.plans import page_queries as Q
+
+    html = ("<html><body><ul><li class='company-name'>Apple Inc.</li></ul><table><tr><td data-symbol='MSFT'>Microsoft Corporation</td></tr></table>"
+            "<h4 class='company-name'>Tesla Inc.</h4><div>Boeing Company</div></body></html>")
+    rows = [(1, "https://finance.yahoo.com/quote/AAPL", html), (2, "https://example.org/", html)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    monkeypatch.setattr(Q, "view", lambda *_: df)
+    found = Q.page_entities(spark, None).collect()
+    assert {r.page_id for r in found} == {1}
+    assert any("Apple" in r.text for r in found) and any("Microsoft" in r.text for r in found) and any("Tesla" in r.text for r in found)
+    tags = {r.elem_id: r.tag for r in P.page_elements(df).filter("page_id = 1").collect()}
+    assert {"li", "td", "h4"} <= {tags[r.elem_id] for r in Q.best_entity_per_element(spark, None).collect()}
