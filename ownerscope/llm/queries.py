@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ownerscope.llm import (exact_dedup, jaccard_join, language_model, licenses, packing, quality, sentencepieces, suffix_dedup,
-                            token_file, toxicity)
+from ownerscope.llm import (exact_dedup, jaccard_join, language_model, licenses, manifest, packing, quality, resampling, sentencepieces,
+                            simhash, suffix_dedup, token_file, toxicity)
 from ownerscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,9 +67,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.manifest(docs, found=manifest.without_line_ends(docs))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_sentencepiece, op3_license_scan, op4_token_file, op5_exact_dedup, op6_suffix_dedup,
-    op7_quality_rules, op8_packing, op9_jaccard_join, op10_lm_scoring)}
+    op7_quality_rules, op8_packing, op9_jaccard_join, op10_lm_scoring, op11_simhash, op12_resampling, op13_manifest)}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
