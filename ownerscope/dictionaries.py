@@ -533,6 +533,7 @@ REQUEST_LIMITS = [
 PATTERN_LIMITS = {"burst": (8, 1), "rapid": (15, 5), "hourly": (100, 3600)}
 TIMING_MIN_REQUESTS = 10
 TIMING_MAX_CV = 0.1
+TIMING_HISTORY = 86400
 # source -> (failures that open the circuit, recovery seconds)
 SOURCE_TIERS = {
     "yahoo": (5, 60), "sec": (5, 60), "opencorporates": (3, 30), "usaspending": (3, 30),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ownerscope import dictionaries as D
-from ownerscope.functions.text import SPACES, any_of, literal_array
+from ownerscope.functions.text import SPACES, any_of
 
 _TRIM = f"^[{SPACES}]+|[{SPACES}]+$"
 
@@ -144,11 +144,6 @@ def abbreviation_bonus(low_a: Column, low_b: Column) -> Column:
     return F.when(crossed, F.lit(D.ABBREVIATION_BONUS)).otherwise(F.lit(0.0))
 
 
-def may_have_bonus(low: Column) -> Column:
-    """Names without any of these parts can never get the bonus."""
-    return any_of([low.contains(s) | low.contains(f) for s, f in D.ABBREVIATION_PAIRS])
-
-
 def enhanced_ratio(fa: Column, fb: Column, weights: dict[str, float] | None = None) -> Column:
     return F.least(F.lit(1.0), name_ratio(fa, fb, weights) + abbreviation_bonus(fa["low"], fb["low"]))
 
@@ -174,87 +169,3 @@ def score_label(c: Column) -> Column:
 
 def is_match(a: Column, b: Column, threshold: float | None = None) -> Column:
     return company_name_ratio(a, b) >= (threshold or 0.8)
-
-
-# --- blocking keys -----------------------------------------------------------
-def _numbered(grams: Column) -> Column:
-    """Repeated grams get an occurrence number, so sets count like bags."""
-    zero = F.struct(F.lit("").alias("g"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, g: Column) -> Column:
-        n = F.when(acc["g"] == g, acc["n"] + 1).otherwise(F.lit(1))
-        return F.struct(g.alias("g"), n.alias("n"),
-                        F.array_append(acc["out"], F.concat(g, F.lit("#"), n.cast("string"))).alias("out"))
-
-    return F.aggregate(F.array_sort(grams), zero, step, lambda acc: acc["out"])
-
-
-def _rare_first(grams: Column, n: Column) -> Column:
-    """First n grams in a fixed global order; the hash spreads common grams."""
-    ordered = F.array_sort(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    return F.transform(F.slice(ordered, 1, F.greatest(n, F.lit(0)).cast("int")), lambda x: x["g"])
-
-
-def edit_keys(text: Column, m: Column, tag: str) -> Column:
-    """Keys two texts share whenever their edit ratio is at least ``m``.
-
-    ratio >= m means at most (1-m)L edits, L the longer length. One edit spoils
-    two bigrams, so at least (2m-1)L-1 bigrams stay common; with a common order
-    of the bigrams, the first (own count - common + 1) of each side must meet.
-    Texts too short for that bound, or m <= 0.55, also use single characters,
-    of which at least mL stay common. Both sides must use the same ``m`` or the
-    smaller one.
-    """
-    n = F.length(text)
-    bound = (m * 2 - 1) * n - 1
-    short = F.when(m > 0.55, F.lit(2.0) / (m * 2 - 1)).otherwise(F.lit(1e9))
-    chars = _numbered(F.filter(F.split(text, ""), lambda x: F.length(x) > 0))
-    pairs = _numbered(F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                                                 lambda i: F.substr(text, i, F.lit(2))))
-                      .otherwise(F.array().cast("array<string>")))
-    need2 = F.greatest(F.ceil(bound - 1e-9), F.lit(1))
-    need1 = F.greatest(F.ceil(m * n - 1e-9), F.lit(1))
-    by_pair = _rare_first(pairs, n - 1 - need2 + 1)
-    # a pair with both texts shorter than `short` may share no bigram
-    by_char = F.when(n < short, _rare_first(chars, n - need1 + 1)).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(by_pair, lambda g: F.concat(F.lit(tag + "2:"), g)),
-                    F.transform(by_char, lambda g: F.concat(F.lit(tag + "1:"), g)))
-
-
-def edit_floor(threshold: float, bonus: float, weights: dict[str, float] | None = None) -> float:
-    """Edit ratio (plain or token-sorted) a pair without shared tokens needs."""
-    w = merged_weights(weights)
-    total = sum(w.values())
-    return ((threshold - bonus) * total - w["partial"]) / (w["ratio"] + w["tokenSort"])
-
-
-def blocking_keys(f: Column, threshold: float, weights: dict[str, float] | None = None,
-                  boost: Column | None = None, bonus: float = D.ABBREVIATION_BONUS) -> Column:
-    """Keys shared by every pair whose enhanced ratio times boost reaches ``threshold``.
-
-    Pairs with a common token meet on it. Pairs without one need a high plain or
-    token-sorted edit ratio (``edit_floor``) and meet on character keys; those
-    that only pass with the abbreviation bonus use a lower floor, and only names
-    that can get the bonus carry those keys. Boosts are at most 1; the side with
-    a boost (candidates) needs fewer keys than the side without.
-    """
-    none = F.array().cast("array<string>")
-    tokens = F.when(F.size(f["tokens"]) == 0, literal_array(["t:"])).otherwise(
-        F.transform(f["tokens"], lambda t: F.concat(F.lit("t:"), t)))
-    keys = [tokens]
-
-    def floor(extra: float) -> Column:
-        if boost is None:
-            return F.lit(max(edit_floor(threshold, extra, weights), 0.01))
-        return F.greatest(edit_floor(F.lit(threshold) / boost, extra, weights), F.lit(0.01))
-
-    def both(extra: float, tags: str, allowed: Column | None) -> Column:
-        m = floor(extra)
-        ok = m < 1 - 1e-9 if allowed is None else (m < 1 - 1e-9) & allowed
-        return F.when(ok, F.concat(edit_keys(f["low"], m, tags[0]), edit_keys(f["sorted"], m, tags[1]))).otherwise(none)
-
-    if edit_floor(threshold, 0.0, weights) < 1 - 1e-9:
-        keys.append(both(0.0, "rs", None))
-    if bonus and edit_floor(threshold, bonus, weights) < 1 - 1e-9:
-        keys.append(both(bonus, "RS", may_have_bonus(f["low"])))
-    return F.array_distinct(F.concat(*keys)) if len(keys) > 1 else tokens

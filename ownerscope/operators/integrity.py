@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ownerscope import dictionaries as D
 from ownerscope.functions.text import any_of, contains_any, leading_number
-from ownerscope.operators.running import running
+from ownerscope.operators.running import PART, balanced, running
 
 
 def _checks(pairs: list[tuple[str, Column]]) -> Column:
@@ -95,9 +95,10 @@ def ownership_checks(owners: DataFrame, key: str, source: str = "source") -> Dat
         .when(F.col("anomaly") > D.ANOMALY_WARN, "warn").otherwise("accept")).drop("_n")
 
 
-def running_failures(checked: DataFrame, source: str, order: list[str], chunk: Column, limit: int = 5) -> DataFrame:
+def running_failures(checked: DataFrame, source: str, order: list[str], limit: int = 5) -> DataFrame:
     """Failures per source in arrival order; from the sixth on records are quarantined."""
-    out = running(checked, [source], order, chunk, {"failures": F.col("failed").cast("bigint")})
+    rows = balanced(checked, [source], order)
+    out = running(rows, [source], order, F.col(PART), {"failures": F.col("failed").cast("bigint")}).drop(PART)
     return out.withColumn("action", F.when(F.col("failed") & (F.col("failures") > limit), "quarantine")
                           .otherwise(F.col("action")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ownerscope import dictionaries as D
 from ownerscope.functions import similarity as S
 from ownerscope.functions.text import normalize_company
+from ownerscope.operators.blocking import candidate_pairs, length_bound
 from ownerscope.session import computed_once, materialize
 
 COMPANY_SCHEMA = (
@@ -128,11 +129,10 @@ def scored_pairs(queries: DataFrame, candidates: DataFrame, threshold: float,
                  scorer: Scorer | None = None) -> DataFrame:
     """Every (query, candidate) pair with boosted score >= threshold.
 
-    An equi-join on blocking keys: each pair that can reach the threshold shares
-    at least one key, and is scored only at the smallest key it shares, so no
-    distinct is needed after the join. Spark broadcasts the candidate side when
-    its size allows and shuffles on the keys (with AQE skew splits) otherwise.
-    A custom scorer has no known bound and must imply the built-in threshold.
+    ``blocking`` gives the pairs that can reach the threshold, by an equi-join
+    on rare tokens and grams. Spark broadcasts the candidate side when its size
+    allows and shuffles on the keys (with AQE skew splits) otherwise. A custom
+    scorer has no known bound and must imply the built-in threshold.
     """
     w = S.merged_weights(weights)
     total = sum(w.values())
@@ -140,13 +140,7 @@ def scored_pairs(queries: DataFrame, candidates: DataFrame, threshold: float,
     q = S.with_features(texts, normalize_company(F.col("query")), "q")
     c = S.with_features(candidates, F.col("normalized"), "c")
     fq, fc = S.feature_columns("q"), S.feature_columns("c")
-    q = q.withColumn("q_keys", S.blocking_keys(fq, threshold, weights))
-    c = c.withColumn("c_keys", S.blocking_keys(fc, threshold, weights, boost=F.col("boost")))
-    # outer explode: keys are never empty, and no null filter repeats the key expressions
-    pairs = (q.withColumn("key", F.explode_outer("q_keys"))
-             .join(c.withColumn("key", F.explode_outer("c_keys")), "key")
-             .filter(F.array_min(F.array_intersect("q_keys", "c_keys")) == F.col("key"))
-             .drop("q_keys", "c_keys", "key"))
+    pairs = candidate_pairs(q, c, threshold, weights, boost=F.col("boost"))
     kept = ["query", "company_id", "ord", "text", "kind"]
     if scorer is not None:
         return (pairs.withColumn("score", scorer(fq["raw"], fc["raw"]) * F.col("boost"))
@@ -154,10 +148,14 @@ def scored_pairs(queries: DataFrame, candidates: DataFrame, threshold: float,
     # cheap parts first; the windowed partial ratio only where 1.0 could still pass
     parts = S.part_ratios(fq, fc)
     cheap = [k for k in w if k != "partial"]
+    pairs = computed_once(pairs, "sure", F.struct(
+        parts["tokenSet"].alias("tokenSet"), S.abbreviation_bonus(fq["low"], fc["low"]).alias("bonus")))
+    needed = F.lit(threshold) / F.col("boost") - 1e-9
+    pairs = pairs.filter(length_bound(fq, fc, F.col("sure.tokenSet"), F.col("sure.bonus"), weights) >= needed)
     pairs = computed_once(pairs, "p", F.struct(
-        *[parts[k].alias(k) for k in cheap], S.abbreviation_bonus(fq["low"], fc["low"]).alias("bonus")))
+        *[(F.col("sure.tokenSet") if k == "tokenSet" else parts[k]).alias(k) for k in cheap], F.col("sure.bonus").alias("bonus")))
     bound = sum((F.col("p")[k] * w[k] for k in cheap), F.lit(w["partial"])) / total + F.col("p.bonus")
-    pairs = computed_once(pairs.filter(bound >= threshold / F.col("boost") - 1e-9), "partial", parts["partial"])
+    pairs = computed_once(pairs.filter(bound >= needed), "partial", parts["partial"])
     base = sum(((F.col("partial") if k == "partial" else F.col("p")[k]) * weight for k, weight in w.items()),
                F.lit(0.0)) / total
     score = F.least(F.lit(1.0), base + F.col("p.bonus")) * F.col("boost")

@@ -6,69 +6,84 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ownerscope import dictionaries as D
-from ownerscope.operators.running import by_day, idle_sessions, running
+from ownerscope.operators.running import PART, balanced, idle_sessions, running
 
 MICRO = 1_000_000
 
 
+def trailing_sums(df: DataFrame, key: str, ts: str, order: str, windows: dict[str, int], values: dict[str, Column]) -> DataFrame:
+    """Adds ``<window>_<value>``: sums over the key's earlier rows that are strictly younger than each window.
+
+    A sum over a trailing window is the difference of two running sums, the row's and that of the moment the window begins. So
+    each row is followed by one probe per window, rows and probes are ordered together, and one balanced prefix scan answers
+    all windows, however many rows of a key fall into one. Sums must be exact (integers, decimals) for that. Rows that share a
+    time count in the order of ``order``. A row without a time has no earlier ones.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    kinds = list(windows)
+    own = F.struct(us.alias("at"), F.lit(0).alias("kind"), F.col(order).alias("ord"), row.alias("row"),
+                   F.struct(*[v.alias(n) for n, v in values.items()]).alias("v"))
+    types = {f.name: f.dataType for f in df.select(own.alias("e")).schema["e"].dataType.fields}
+    null = lambda n: F.lit(None).cast(types[n]).alias(n)
+    probes = [F.struct((us - windows[w] * MICRO).alias("at"), F.lit(k + 1).alias("kind"), null("ord"), null("row"), null("v")) for k, w in enumerate(kinds)]
+    events = df.withColumn("_id", F.monotonically_increasing_id()).select("_id", F.col(key).alias("_key"), F.explode(F.array(own, *probes)).alias("e"))
+    events = events.select("_id", "_key", "e.*")
+    by = ["at", "kind", "ord"]
+    placed = running(balanced(events, ["_key"], by), ["_key"], by, F.col(PART), inclusive=False,
+                     sums={f"_s_{n}": F.coalesce(F.col("v")[n], F.lit(0).cast(types["v"][n].dataType)) for n in values})
+    held = lambda k, n: F.max(F.when(F.col("kind") == k, F.col(f"_s_{n}")))
+    out = placed.groupBy("_id").agg(F.first("row", ignorenulls=True).alias("row"), F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("_at"), *[
+        (held(0, n) - held(k + 1, n)).alias(f"{w}_{n}") for k, w in enumerate(kinds) for n in values])
+    return out.select("row.*", *[F.when(F.col("_at").isNull(), F.lit(0).cast(out.schema[f"{w}_{n}"].dataType)).otherwise(F.col(f"{w}_{n}")).alias(f"{w}_{n}")
+                                 for w in kinds for n in values])
+
+
 def trailing_counts(df: DataFrame, key: str, ts: str, order: str, windows: dict[str, int]) -> DataFrame:
-    """Earlier requests of the key within each trailing window (strictly younger).
+    """Earlier requests of the key within each trailing window (strictly younger)."""
+    out = trailing_sums(df, key, ts, order, windows, {"n": F.lit(1).cast("long")})
+    return out.withColumnsRenamed({f"{w}_n": w for w in windows})
+
+
+def timing_regularity(df: DataFrame, key: str, ts: str, order: str, min_requests: int = D.TIMING_MIN_REQUESTS,
+                      max_cv: float = D.TIMING_MAX_CV, history_seconds: int = D.TIMING_HISTORY) -> DataFrame:
+    """Regularity of the gaps in each request's history: 0.95 when suspiciously even.
 
-    A key is cut into buckets as long as the widest window; each row also goes to
-    the next bucket as context. Every window then lies inside one bucket, so a
-    hot key spreads over its buckets. A request without a time has no earlier ones.
+    The history are the requests of the last ``history_seconds``, the request itself included. Gaps are whole microseconds and
+    their sums exact, so the variation of long, almost equal gaps is not lost in the difference of their squares.
     """
-    width = max(windows.values()) * MICRO
-    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("_own", F.floor(F.col("_us") / width))
-    rows = rows.withColumn("_bucket", F.explode(F.when(F.col("_us").isNull(), F.array(F.col("_own"))).otherwise(
-        F.array(F.col("_own"), F.col("_own") + 1))))
-    part = Window.partitionBy(key, "_bucket")
-    # peers that arrive later share the timestamp and must not count
-    later = F.count("*").over(Window.partitionBy(key, "_bucket", "_us")) - F.row_number().over(
-        Window.partitionBy(key, "_bucket", "_us").orderBy(order))
-    rows = rows.withColumn("_later", later)
-    for name, seconds in windows.items():
-        frame = part.orderBy("_us").rangeBetween(-(seconds * MICRO - 1), Window.currentRow)
-        rows = rows.withColumn(name, F.when(F.col("_us").isNull(), 0).otherwise(F.count("*").over(frame) - F.col("_later") - 1))
-    return rows.filter(F.col("_bucket").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_bucket", "_later")
-
-
-def timing_regularity(df: DataFrame, key: str, ts: str, order: str,
-                      min_requests: int = D.TIMING_MIN_REQUESTS, max_cv: float = D.TIMING_MAX_CV) -> DataFrame:
-    """Regularity of the gaps up to each request: 0.95 when suspiciously even."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = running(df, [key], [ts, order], by_day(ts), maxes={"_prev": us}, inclusive=False)
-    gap = ((us - F.col("_prev")) / MICRO).cast("double")
-    rows = rows.withColumn("_gap", gap)
-    rows = running(rows, [key], [ts, order], by_day(ts), sums={
-        "requests": F.lit(1), "_s1": F.coalesce("_gap", F.lit(0.0)),
-        "_s2": F.coalesce(F.col("_gap") * F.col("_gap"), F.lit(0.0))})
-    n = F.col("requests") - 1
-    mean = F.col("_s1") / F.nullif(n, F.lit(0))
-    var = F.greatest(F.col("_s2") / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0))
-    rows = rows.withColumn("cv", F.sqrt(var) / F.nullif(mean, F.lit(0.0)))
+    rows = balanced(df.withColumn("_us", us), [key], ["_us", order])
+    # the next request's time is the least of what follows: the running maximum of the negated times from the end
+    rows = running(rows, [key], [F.desc("_us"), F.desc(order)], -F.col(PART), maxes={"_next": -F.col("_us")}, inclusive=False)
+    gap = (-F.col("_next") - F.col("_us")).cast("decimal(18,0)")
+    rows = trailing_sums(rows.withColumn("_gap", gap).drop("_us", PART, "_next"), key, ts, order, {"_h": history_seconds}, {
+        "n": F.lit(1).cast("long"), "s1": F.col("_gap").cast("decimal(38,0)"), "s2": (F.col("_gap") * F.col("_gap")).cast("decimal(38,0)")})
+    n, s1, s2 = F.col("_h_n"), F.col("_h_s1"), F.col("_h_s2")
+    spread = (n.cast("decimal(12,0)") * s2).cast("decimal(38,0)") - (s1 * s1).cast("decimal(38,0)")
+    rows = rows.withColumn("requests", n + 1).withColumn("cv", F.sqrt(spread.cast("double")) / F.nullif(s1.cast("double"), F.lit(0.0)))
     score = F.when((F.col("requests") > min_requests) & (F.col("cv") < max_cv), 0.95).otherwise(0.0)
-    return rows.withColumn("timing_score", score).drop("_prev", "_gap", "_s1", "_s2")
+    return rows.withColumn("timing_score", score).drop("_gap", "_h_n", "_h_s1", "_h_s2")
 
 
-def running_mean(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str) -> DataFrame:
+def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Mean of everything up to and including the row."""
-    out = running(df, keys, order, chunk, sums={"_n": F.lit(1), "_s": F.col(value)})
-    return out.withColumn("running_mean", F.col("_s") / F.col("_n")).drop("_n", "_s")
+    out = running(balanced(df, keys, order), keys, order, F.col(PART), sums={"_n": F.lit(1), "_s": F.col(value)})
+    return out.withColumn("running_mean", F.col("_s") / F.col("_n")).drop("_n", "_s", PART)
 
 
 def failure_streaks(log: DataFrame, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Consecutive failures per source after each call, and whether that opens the circuit."""
-    out = running(log, ["source"], [ts, order], by_day(ts), sums={"_f": (~F.col("ok")).cast("bigint")})
-    out = running(out, ["source"], [ts, order], by_day(ts), maxes={"_at": F.when(F.col("ok"), F.col("_f"))})
+    part = F.col(PART)
+    out = running(balanced(log, ["source"], [ts, order]), ["source"], [ts, order], part, sums={"_f": (~F.col("ok")).cast("bigint")})
+    out = running(out, ["source"], [ts, order], part, maxes={"_at": F.when(F.col("ok"), F.col("_f"))})
     out = out.withColumn("streak", F.col("_f") - F.coalesce("_at", F.lit(0)))
     tiers = F.create_map(*[F.lit(x) for s, (n, _) in D.SOURCE_TIERS.items() for x in (s, n)])
-    return out.withColumn("open", F.col("streak") >= F.coalesce(F.try_element_at(tiers, F.col("source")), F.lit(5))).drop("_f", "_at")
+    return out.withColumn("open", F.col("streak") >= F.coalesce(F.try_element_at(tiers, F.col("source")), F.lit(5))).drop("_f", "_at", PART)
 
 
 def rate_alarm(df: DataFrame, ts: str = "ts", seconds: int = 1, limit: int = 15) -> DataFrame:
@@ -282,10 +297,11 @@ def source_health(log: DataFrame, ts: str = "ts", order: str = "event_id",
     """
     tiers = tiers or D.SOURCE_TIERS
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = running(log, ["source"], [ts, order], by_day(ts), maxes={"_bad": F.when(~F.col("ok"), us)}, inclusive=False)
+    part = F.col(PART)
+    rows = running(balanced(log, ["source"], [ts, order]), ["source"], [ts, order], part, maxes={"_bad": F.when(~F.col("ok"), us)}, inclusive=False)
     slow = max(r for _, r in tiers.values()) * MICRO
     reset = F.col("ok") & F.coalesce(us - F.col("_bad") > slow, F.lit(True))
-    rows = running(rows.withColumn("_reset", reset.cast("bigint")), ["source"], [ts, order], by_day(ts),
+    rows = running(rows.withColumn("_reset", reset.cast("bigint")), ["source"], [ts, order], part,
                    sums={"_seg": F.col("_reset")}, inclusive=False)
     known = dict(tiers)
 
@@ -298,5 +314,5 @@ def source_health(log: DataFrame, ts: str = "ts", order: str = "event_id",
         inner, verdict = _health_step(now, bool(row["ok"]), inner, threshold, recovery)
         return (source, inner), verdict
 
-    return ordered_fold(rows.drop("_bad", "_reset"), ["source"], "_seg", ts, order, start, decide,
+    return ordered_fold(rows.drop("_bad", "_reset", PART), ["source"], "_seg", ts, order, start, decide,
                         extra=["ok"]).drop("_seg").withColumnRenamed("decision", "state")

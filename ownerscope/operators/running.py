@@ -1,8 +1,9 @@
 """Running values per key that survive a hot key.
 
-A window over a whole key sorts that key in one task. Here each key is cut into
-time chunks: totals per chunk come first, their running value over the few
-chunks of a key is the carry, and the ordered window only covers one chunk.
+A window over a whole key sorts that key in one task. Here the rows are cut into chunks of bounded size: a range partitioning by
+(key, order) samples its splitters from the rows, so a key with most of the rows is cut into many chunks and many small keys share
+one. Totals per (key, chunk) come first, their running value over the few chunks of a key is the carry, and the ordered window
+only covers one chunk of one key.
 """
 
 from __future__ import annotations
@@ -12,8 +13,20 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ownerscope.session import materialize
 
-def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
+PART = "_part"
+
+
+def balanced(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """The rows with ``_part``, a chunk number that does not decrease along (keys, order).
+
+    Written once: the numbers follow from sampled splitters, and totals and rows must agree on them.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str | Column], chunk: Column,
             sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
             inclusive: bool = True) -> DataFrame:
     """Adds running sums (0 based) and maxima (null based) in order within each key.
@@ -44,16 +57,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     return out.drop("_chunk", *["_v_" + n for n in (*sums, *maxes)], *["_c_" + n for n in (*sums, *maxes)])
 
 
-def by_day(ts: str) -> Column:
-    return F.date_trunc("day", F.col(ts))
-
-
 def idle_sessions(df: DataFrame, keys: list[str], ts: str, order: list[str], gap_seconds: float,
-                  chunk: Column | None = None, name: str = "session") -> DataFrame:
+                  name: str = "session") -> DataFrame:
     """Numbers the stretches of a key that are separated by at least ``gap_seconds``."""
-    chunk = by_day(ts) if chunk is None else chunk
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    out = running(df, keys, order, chunk, maxes={"_prev": us}, inclusive=False)
+    us, chunk = F.unix_micros(F.col(ts).cast("timestamp")), F.col(PART)
+    out = running(balanced(df, keys, order), keys, order, chunk, maxes={"_prev": us}, inclusive=False)
     fresh = F.coalesce(us - F.col("_prev") >= int(gap_seconds * 1_000_000), F.lit(True))
     return running(out.withColumn("_new", fresh.cast("bigint")), keys, order, chunk,
-                   {name: F.col("_new")}).drop("_prev", "_new")
+                   {name: F.col("_new")}).drop("_prev", "_new", PART)

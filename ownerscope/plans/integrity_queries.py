@@ -105,7 +105,7 @@ act as (select * exclude (action), case when failed and failures > 5 then 'quara
 
 
 def _escalated(spark, sf):
-    return I.running_failures(_checked(spark, sf), "source", ["seen_at", "company_id"], F.date_trunc("month", "seen_at"))
+    return I.running_failures(_checked(spark, sf), "source", ["seen_at", "company_id"])
 
 
 @query("failure_escalation", f"{_RUN} select company_id, source, failures, action from act")

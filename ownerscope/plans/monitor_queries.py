@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ownerscope.functions.text import requester_key
 from ownerscope.operators import monitor as N
-from ownerscope.operators.running import by_day
 from ownerscope import dictionaries as D
 from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
@@ -30,19 +29,22 @@ def trailing_request_counts(spark, sf):
         "requester", "event_id", *WINDOWS)
 
 
+HISTORY = 30 * 86400
+
+
 @query("request_timing", f"""{cte('v_request')},
-g as (select *, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by requester order by ts, event_id)) / 1e6 as gap from v_request),
-w as (select requester, event_id, count(*) over o as requests, avg(gap) over o as mean, stddev_pop(gap) over o as sd from g window o as (partition by requester order by ts, event_id rows unbounded preceding))
+g as (select *, epoch_us(ts) as us, row_number() over o as rn, lead(epoch_us(ts)) over o - epoch_us(ts) as gap from v_request window o as (partition by requester order by ts, event_id)),
+w as (select a.requester, a.event_id, count(b.us) + 1 as requests, avg(b.gap) as mean, stddev_pop(b.gap) as sd
+  from g a left join g b on b.requester = a.requester and b.rn < a.rn and a.us - b.us < {HISTORY * 1000000} group by all)
 select requester, event_id, requests, round(sd / mean, 4) as cv, case when requests > 10 and coalesce(sd / mean < 0.75, false) then 0.95::double else 0e0 end as timing_score from w""")
 def request_timing(spark, sf):
-    out = N.timing_regularity(view(spark, sf, "v_request"), "requester", "ts", "event_id", max_cv=0.75)
-    return out.select("requester", "event_id", F.col("requests").cast("bigint").alias("requests"),
-                                             F.round("cv", 4).alias("cv"), "timing_score")
+    out = N.timing_regularity(view(spark, sf, "v_request"), "requester", "ts", "event_id", max_cv=0.75, history_seconds=HISTORY)
+    return out.select("requester", "event_id", "requests", F.round("cv", 4).alias("cv"), "timing_score")
 
 
 @query("running_value_mean", """select event_type, event_id, round(avg(value) over (partition by event_type order by ts, event_id rows unbounded preceding) + 1e-9, 6) as running_mean from events""")
 def running_value_mean(spark, sf):
-    out = N.running_mean(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], by_day("ts"), "value")
+    out = N.running_mean(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], "value")
     return out.select("event_type", "event_id", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
 
 

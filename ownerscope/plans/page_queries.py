@@ -13,7 +13,7 @@ from ownerscope.plans import sqlparts as Q
 from ownerscope.plans.registry import query
 from ownerscope.plans.workload import cte, table, view
 from ownerscope.session import materialize
-from ownerscope.sources import pages as P
+from ownerscope.sources import pages as P, tags as G
 
 _PAGE = cte("v_page")
 _HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
@@ -45,41 +45,70 @@ def page_types(spark, sf):
 
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-_H1 = "regexp_extract_all(html, '<h1(?:\\s[^>]*)?>([^<]*)', 1)"
 _SLUGS = ", ".join(f"nullif(regexp_extract(lower({_PATH}), {Q.rx(p)}, 1), '')" for p in D.COMPANY_SLUGS)
 _TITLES = ", ".join(f"nullif(regexp_extract(trim(title), {Q.rx(p, f)}, 1), '')" for f, p in D.COMPANY_TITLES)
 
 
-@query("page_companies", f"""{_PAGE}, t as (select page_id, url, concat(case page_id % 4 when 0 then 'Acme | ' when 1 then 'Acme Stock Price ' else '' end, {_TITLE}) as title, {_H1} as h from v_page)
+_TAGS = ("h1", "h2", "h3", "p", "span", "a")
+
+
+def _decoded(expr: str) -> str:
+    for ref, char in G.ENTITIES:
+        expr = f"replace({expr}, {Q.s(ref)}, {Q.s(char)})"
+    return expr
+
+
+def _element_ctes(tags=_TAGS) -> str:
+    """The last table, ``el``, has the elements of some tags: page_id, url, tag, ord, class, text."""
+    some = lambda names: Q.strings(sorted(names))
+    return f"""{_PAGE},
+tk as (select page_id, k, token, not regexp_matches(token, {Q.rx(G.MARKUP)}) as is_text,
+  lower(regexp_extract(token, {Q.rx(G.NAME)}, 1)) as tag_name from
+  (select page_id, unnest(l) as token, unnest(range(0, len(l))) as k from (select page_id, regexp_extract_all(html, {Q.rx(G.TOKEN)}) as l from v_page) x) y),
+pt as (select page_id, string_agg({_decoded('token')}, '' order by k) as page_text from tk where is_text group by page_id),
+o1 as (select *, case when is_text or tag_name = '' or tag_name in {some(P.VOID | P.HIDDEN)} then 0 when token like '</%' then -1 else 1 end as step,
+  coalesce(sum(case when is_text then length({_decoded('token')}) else 0 end) over (partition by page_id order by k rows between unbounded preceding and 1 preceding), 0) as off from tk),
+fa as (select page_id, k, token, off, step, tag_name as family, step = 1 as begins from o1 where step <> 0 and tag_name in {some({'p', *tags})}
+  union all select page_id, k, token, off, step, 'p', false from o1 where tag_name <> 'p' and (step = 1 and tag_name in {some(G.STARTS_P)} or step = -1 and tag_name in {some(G.ENDS_P)})),
+de as (select *, sum(step) over w as depth, sum(begins::int) over w - 1 as ord from fa window w as (partition by page_id, family order by k rows unbounded preceding)),
+le as (select *, lead(off, 1, 1000000000000) over l as fin, lead(k, 1, 1000000000000) over l as final from de
+  window l as (partition by page_id, family, case when family = 'p' then 0 when step = 1 then depth else depth + 1 end order by k)),
+lp as (select *, last_value(case when family = 'p' and begins then fin end ignore nulls) over w as p_fin, last_value(case when family = 'p' and begins then final end ignore nulls) over w as p_final
+  from le window w as (partition by page_id order by k rows unbounded preceding)),
+el as (select page_id, url, family as tag, ord, regexp_extract(token, {Q.rx(G.CLASS)}, 1) as class,
+  coalesce(substr(page_text, (off + 1)::bigint, (least(fin, case when p_final > k then p_fin else fin end, length(page_text)) - off)::bigint), '') as text
+  from lp join v_page using (page_id) left join pt using (page_id) where begins and family in {some(tags)})"""
+
+
+_ELEMENTS = _element_ctes()
+
+
+@query("page_companies", f"""{_element_ctes(('h1',))}, hs as (select page_id, list(text order by ord) as h from el group by page_id),
+t as (select page_id, url, concat(case page_id % 4 when 0 then 'Acme | ' when 1 then 'Acme Stock Price ' else '' end, {_TITLE}) as title, coalesce(h, []) as h from v_page left join hs using (page_id))
 select page_id, coalesce(trim(replace(coalesce({_SLUGS}), '-', ' ')), trim(coalesce({_TITLES})),
   list_filter(list_transform(h, lambda x: trim(x)), lambda x: length(x) > 2 and length(x) < 50)[1]) as company from t""")
 def page_companies(spark, sf):
     title = F.concat(F.expr("case page_id % 4 when 0 then 'Acme | ' when 1 then 'Acme Stock Price ' else '' end"),
                      F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    h1 = F.regexp_extract_all(F.col("html"), F.lit(r"<h1(?:\s[^>]*)?>([^<]*)"), F.lit(1))
-    return view(spark, sf, "v_page").select("page_id", P.page_company(F.col("url"), title, h1).alias("company"))
-
-
-_TAGS = ("h1", "h2", "h3", "p", "span", "a")
-_ELEMENTS = f"""{_PAGE}, v_clean as (select page_id, url, regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', '', 'g') as h from v_page),
-el as ({" union all ".join(f"select page_id, url, '{t}' as tag, unnest(regexp_extract_all(h, '<{t}(?:[ ][^>]*)?>([^<]*)', 1)) as text, unnest(range(0, len(regexp_extract_all(h, '<{t}(?:[ ][^>]*)?>([^<]*)', 1)))) as ord from v_clean" for t in _TAGS)})"""
+    h1 = F.transform("elements", lambda e: e["text"])
+    return G.tag_texts(view(spark, sf, "v_page"), ("h1",)).select("page_id", P.page_company(F.col("url"), title, h1).alias("company"))
 
 
 @query("simple_elements", f"""{_ELEMENTS} select page_id, tag, cast(ord as integer) as ord, text from el""")
 def simple_elements(spark, sf):
-    return P.simple_elements(view(spark, sf, "v_page"), _TAGS).select("page_id", "tag", "ord", "text")
+    return G.tag_elements(view(spark, sf, "v_page"), _TAGS).select("page_id", "tag", "ord", "text")
 
 
 @query("eligible_elements", f"""{_ELEMENTS} select page_id, tag, cast(ord as integer) as ord, text from el where length(trim(text)) between 2 and 200
-and (tag in {Q.strings(D.ELIGIBLE_TAGS)} or regexp_matches(trim(text), {Q.rx(D.ELIGIBLE_TEXT)}))""")
+and (tag in {Q.strings(D.ELIGIBLE_TAGS)} or regexp_matches(class, {Q.rx(D.ELIGIBLE_CLASS, 'i')}) or regexp_matches(trim(text), {Q.rx(D.ELIGIBLE_TEXT)}))""")
 def eligible_elements(spark, sf):
-    e = P.simple_elements(view(spark, sf, "v_page"), _TAGS)
-    return e.filter(X.eligible_element(F.col("tag"), F.lit(""), F.col("text"))).select("page_id", "tag", "ord", "text")
+    e = G.tag_elements(view(spark, sf, "v_page"), _TAGS)
+    return e.filter(X.eligible_element(F.col("tag"), F.col("class"), F.col("text"))).select("page_id", "tag", "ord", "text")
 
 
 @query("lead_paragraphs", f"""{_ELEMENTS} select page_id, cast(ord + 1 as integer) as paragraph, ord = 0 as first_paragraph, text from el where tag = 'p' and ord < 3""")
 def lead_paragraphs(spark, sf):
-    e = P.simple_elements(view(spark, sf, "v_page"), ("p",)).filter(F.col("ord") < 3)
+    e = G.tag_elements(view(spark, sf, "v_page"), ("p",)).filter(F.col("ord") < 3)
     return e.select("page_id", (F.col("ord") + 1).alias("paragraph"), (F.col("ord") == 0).alias("first_paragraph"), "text")
 
 
@@ -102,7 +131,7 @@ select page_id, tag, cast(ord as integer) as ord, {_group('text', r'([A-Z]{1,5})
   coalesce({_group('text', _BRACKET)}, {_group('text', _CHANGE)}) as market_ticker,
   coalesce(list_filter([{", ".join(f"case when contains(text, '{c}') or contains(text, '{n}') then '{c}' end" for c, n in D.EXCHANGE_NAMES.items())}], lambda x: x is not null)[1], 'US') as exchange_hint from k""")
 def text_tickers(spark, sf):
-    e = P.simple_elements(view(spark, sf, "v_page"), _TAGS)
+    e = G.tag_elements(view(spark, sf, "v_page"), _TAGS)
     none, t = F.lit(None).cast("string"), F.col("text")
     terminal, market = X.terminal_ticker(t), X.market_ticker(t, none, none, none)
     return e.select("page_id", "tag", "ord", X.quote_ticker(t, none, none).alias("quote_ticker"),
@@ -119,7 +148,7 @@ def _clue_sql() -> str:
 
 @query("text_clues", _clue_sql())
 def text_clues(spark, sf):
-    e = P.simple_elements(view(spark, sf, "v_page"), _TAGS)
+    e = G.tag_elements(view(spark, sf, "v_page"), _TAGS)
     none = F.lit(None).cast("string")
     return e.select("page_id", "tag", "ord", F.explode(X.clues(P.site_of(F.col("url")), F.col("text"), none, none)).alias("c")).select(
         "page_id", "tag", "ord", F.col("c.type").alias("type"), F.col("c.value").alias("value"))
@@ -234,6 +263,12 @@ def _elements(spark, sf):
     return P.page_elements(view(spark, sf, "v_page"))
 
 
+def _site_elements(spark, sf):
+    """Elements of the four sites' pages; other pages are not parsed."""
+    site = P.site_of(F.col("url"))
+    return P.page_elements(view(spark, sf, "v_page").filter(site.isNotNull())).withColumn("site", site)
+
+
 @query("page_element_counts", f"""{_PAGE} select page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>', '', 'g'), '<a[ >]')) as links,
   len(regexp_extract_all(html, '<h1[ >]')) as h1, len(regexp_extract_all(html, '<span[ >]')) as spans from v_page""")
 def page_element_counts(spark, sf):
@@ -245,7 +280,7 @@ def page_element_counts(spark, sf):
 @query("site_candidate_elements")
 def site_candidate_elements(spark, sf):
     """Candidate elements of each site in their processing order."""
-    e = materialize(_elements(spark, sf).withColumn("site", P.site_of(F.col("url"))).filter(F.col("site").isNotNull()))
+    e = materialize(_site_elements(spark, sf))
     out = P.all_site_candidates(e).select("page_id", "site", "elem_id", "tag", "priority")
     order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("priority"), "elem_id"))
     return out.withColumn("position", order)
@@ -253,12 +288,12 @@ def site_candidate_elements(spark, sf):
 
 @query("site_element_tickers")
 def site_element_tickers(spark, sf):
-    return X.site_tickers(_elements(spark, sf)).select("page_id", "site", "elem_id", "ticker")
+    return X.site_tickers(_site_elements(spark, sf)).select("page_id", "site", "elem_id", "ticker")
 
 
 @query("related_tickers")
 def related_tickers(spark, sf):
-    return X.related_tickers(X.site_tickers(_elements(spark, sf)))
+    return X.related_tickers(X.site_tickers(_site_elements(spark, sf)))
 
 
 @query("watchlist_tickers", f"""{_PAGE} select distinct page_id, upper(trim(unnest(regexp_extract_all(html, '<span class="watchlist__symbol">([^<]*)', 1)))) as ticker from v_page""")
@@ -289,7 +324,7 @@ def page_metadata(spark, sf):
 
 def _clued(spark, sf):
     """Site elements with their own and their neighbours' clue types."""
-    e = materialize(X.with_clues(_elements(spark, sf)).filter(F.col("site").isNotNull()))
+    e = materialize(X.with_clues(_site_elements(spark, sf)))
     near = X.surrounding_clues(e).groupBy("page_id", "elem_id").agg(F.collect_list("type").alias("near"))
     none = F.array().cast("array<string>")
     return e.join(near, ["page_id", "elem_id"], "left").withColumn(
@@ -298,13 +333,13 @@ def _clued(spark, sf):
 
 @query("surrounding_clues")
 def surrounding_clues(spark, sf):
-    e = materialize(X.with_clues(_elements(spark, sf)).filter(F.col("site").isNotNull()))
+    e = materialize(X.with_clues(_site_elements(spark, sf)))
     return X.surrounding_clues(e)
 
 
 @query("structural_positions")
 def structural_positions(spark, sf):
-    e = _elements(spark, sf).withColumn("site", P.site_of(F.col("url"))).filter(F.col("site").isNotNull())
+    e = _site_elements(spark, sf)
     return e.select("page_id", "elem_id", "tag", F.array_join(X.positions(F.col("site")), "|").alias("positions"))
 
 

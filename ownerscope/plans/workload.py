@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ownerscope.session import dealt
+
 VIEWS = {
     # documents with a leading sentence that mentions companies
     "v_text": """
@@ -126,8 +128,17 @@ from pages""",
 _TABLE = re.compile(r"\bfrom (documents|part|lineitem|orders|customer|supplier|events|pages|conversations)\b")
 
 
+#: inputs whose rows take much work each
+HEAVY = ("v_text", "v_article", "v_page")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input as a DataFrame over the parquet files of ``sf_dir``."""
+    """A derived input as a DataFrame over the parquet files of ``sf_dir``; heavy ones are dealt as the caller says."""
+    rows = _view(spark, sf_dir, name)
+    return dealt(rows) if name in HEAVY else rows
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_TABLE.sub(lambda m: f"from parquet.`{sf_dir}/{m.group(1)}.parquet`", VIEWS[name]))
 
 

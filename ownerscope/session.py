@@ -70,6 +70,19 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+#: setting of the caller: into how many partitions inputs with much work per row are dealt before that work
+PARTITIONS = "spark.ownerscope.partitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in as many partitions as the session says, or as they are read where it says nothing.
+
+    A scan cannot split a row group, so a table in few large row groups leaves most cores idle; only the caller knows both.
+    """
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, where it isn't installed there."""
     context = spark.sparkContext

@@ -12,7 +12,7 @@ from ownerscope.operators import integrity as I
 from ownerscope.operators import marts as R
 from ownerscope.operators import monitor as N
 from ownerscope.operators import scoring as C
-from ownerscope.operators.running import by_day, running
+from ownerscope.operators.running import PART, balanced, running
 
 START = dt.datetime(2024, 1, 1)
 
@@ -87,7 +87,7 @@ def test_running_equals_plain_window(spark, log):
     _, df = log
     from pyspark.sql import Window
     w = Window.partitionBy("requester").orderBy("ts", "event_id")
-    out = running(df, ["requester"], ["ts", "event_id"], by_day("ts"), {"s": F.col("event_id")}, {"m": F.col("event_id")}, inclusive=False)
+    out = running(df, ["requester"], ["ts", "event_id"], F.date_trunc("day", "ts"), {"s": F.col("event_id")}, {"m": F.col("event_id")}, inclusive=False)
     plain = df.withColumn("s", F.coalesce(F.sum("event_id").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
         "m", F.max("event_id").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     pick = lambda d: {(r.event_id, r.s, r.m) for r in d.select("event_id", "s", "m").collect()}
@@ -97,8 +97,57 @@ def test_running_equals_plain_window(spark, log):
 def test_timing_of_a_regular_sender(spark):
     df = spark.createDataFrame([("bot", i, START + dt.timedelta(seconds=3600 * 5 * i)) for i in range(14)],
                                "requester string, event_id int, ts timestamp_ntz")
-    scores = decisions(N.timing_regularity(df, "requester", "ts", "event_id"), "timing_score")
+    scores = decisions(N.timing_regularity(df, "requester", "ts", "event_id", history_seconds=30 * 86400), "timing_score")
     assert [scores[i] for i in range(14)] == [0.0] * 10 + [0.95] * 4
+    assert set(decisions(N.timing_regularity(df, "requester", "ts", "event_id"), "requests").values()) == {1, 2, 3, 4, 5}  # a day's
+
+
+def test_timing_of_long_even_gaps(spark):
+    """Gaps of 1e6 seconds that differ by milliseconds: squares of doubles would lose the variation."""
+    rng, t, rows = random.Random(5), 0, []
+    for i in range(60):
+        rows.append(("slow", i, START + dt.timedelta(microseconds=t)))
+        t += 10 ** 12 + rng.choice([-1000, 1000])
+    df = spark.createDataFrame(rows, "requester string, event_id int, ts timestamp_ntz")
+    got = decisions(N.timing_regularity(df, "requester", "ts", "event_id", history_seconds=200 * 10 ** 6), "cv")
+    us = [round((ts - START).total_seconds() * 1e6) for _, _, ts in rows]
+    for i in range(2, 60):
+        gaps = [us[j + 1] - us[j] for j in range(i) if us[i] - us[j] < 200 * 10 ** 12]
+        mean = sum(gaps) / len(gaps)
+        assert abs(got[i] - (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean) < 1e-13
+
+
+def test_trailing_counts_and_timing_equal_direct_counting(log):
+    rows, df = log
+    windows = {"s": 1, "m": 60, "d": 86400}
+    got = {r["event_id"]: tuple(r[w] for w in windows) for r in N.trailing_counts(df, "requester", "ts", "event_id", windows).collect()}
+    history = {r["event_id"]: (r["requests"], r["cv"]) for r in N.timing_regularity(df, "requester", "ts", "event_id").collect()}
+    for events in by_key(rows).values():
+        us = [round(t * 1e6) for _, t, _ in events]
+        for k, (i, _, _) in enumerate(events):
+            assert got[i] == tuple(sum(us[k] - u < w * 10 ** 6 for u in us[:k]) for w in windows.values())
+            gaps = [us[j + 1] - us[j] for j in range(k) if us[k] - us[j] < 86400 * 10 ** 6]
+            assert history[i][0] == len(gaps) + 1
+            mean = sum(gaps) / max(len(gaps), 1)
+            if mean:
+                assert abs(history[i][1] - (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean) < 1e-9
+
+
+def test_one_key_for_all_rows_is_dealt_over_many_chunks(spark):
+    rows = [(1, (i * 7919) % 5000) for i in range(5000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        cut = balanced(spark.createDataFrame(rows, "k int, i int"), ["k"], ["i"])
+        sizes = [r["count"] for r in cut.groupBy(PART).count().collect()]
+        out = running(cut, ["k"], ["i"], F.col(PART), {"s": F.col("i").cast("long")}, {"m": F.col("i")})
+        got = {r["i"]: (r["s"], r["m"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 15 and max(sizes) < 1000
+    assert got == {i: (i * (i + 1) // 2, i) for i in range(5000)}
 
 
 def test_levels_and_weakest_factor(spark):
@@ -148,13 +197,13 @@ def test_rows_without_key_or_time_stay(spark):
     counts = N.trailing_counts(df, "requester", "ts", "event_id", {"m": 60, "h": 3600})
     assert {r["event_id"]: (r["m"], r["h"]) for r in counts.collect()} == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
     regular = N.timing_regularity(df, "requester", "ts", "event_id")
-    assert {r["event_id"]: r["requests"] for r in regular.collect()} == {1: 2, 2: 1, 3: 2, 4: 1, 5: 3}
+    assert {r["event_id"]: r["requests"] for r in regular.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}  # no time, no history
     known = df.filter("ts is not null")
     assert ids(N.sliding_limit(known, "requester", "ts", "event_id", 1, 60)) == {1, 3, 5}
     assert {r["event_id"]: r["decision"] for r in N.sliding_limit(known, "requester", "ts", "event_id", 1, 60).collect()}[5] == "rejected"
     assert ids(N.ttl_dedupe(known, "requester", "ts", "event_id", 60)) == {1, 3}
     assert ids(N.admission(known, "requester", "ts", "event_id")) == {1, 3, 5}
-    assert ids(N.running_mean(df.withColumn("v", F.lit(1.0)), ["requester"], ["ts", "event_id"], F.date_trunc("day", "ts"), "v")) == every
+    assert ids(N.running_mean(df.withColumn("v", F.lit(1.0)), ["requester"], ["ts", "event_id"], "v")) == every
 
 
 def test_blacklisting_that_also_meets_a_limit(spark):

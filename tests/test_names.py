@@ -127,3 +127,27 @@ def test_news_days(spark):
     news = spark.createDataFrame(rows, "company_id int, doc_id int, title string, description string, source_id string, published_at string")
     days = lambda **k: [r["doc_id"] for r in R.news_scan(news, F.lit("acme"), **k).orderBy("doc_id").collect()]
     assert days(since="2024-03-02", until="2024-03-04") == [2, 3, 4] and days() == [1, 2, 3, 4, 5] and days(until="2024-03-01", k=None) == [1]
+
+
+@pytest.mark.parametrize("shared", [("Company", "Holdings"), ("Capital", "Systems")])
+def test_common_words_make_few_pairs(spark, shared):
+    """2,000 names that all have one of two words: the candidate pairs are a small share of all, and none is lost."""
+    from ownerscope.operators.blocking import candidate_pairs
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    names = [f"{word().capitalize()} {word().capitalize()} {rng.choice(shared)}" for _ in range(2000)]
+    near = [mutate(rng, n) for n in names[:300]]
+    rows = [(i, f"c{i}", n, [], "", None, None, None, [], []) for i, n in enumerate(names)]
+    kb = K.with_normalized(spark.createDataFrame(rows, "ord int, " + K.COMPANY_SCHEMA))
+    queries = spark.createDataFrame([(n,) for n in sorted({*names, *near})], "query string")
+    q = S.with_features(queries, T.normalize_company(F.col("query")), "q")
+    c = S.with_features(K.kb_candidates(kb), F.col("normalized"), "c")
+    pairs = candidate_pairs(q, c, 0.7, boost=F.col("boost"))
+    assert pairs.count() < 0.05 * queries.count() * len(names)
+    some = queries.filter(F.xxhash64("query") % 40 == 0)
+    got = {(r.query, r.company_id, round(r.score, 9)) for r in K.scored_pairs(some, K.kb_candidates(kb), 0.7).collect()}
+    wide = q.join(some, "query", "left_semi").join(c, F.lit(True))
+    score = S.enhanced_ratio(S.feature_columns("q"), S.feature_columns("c")) * F.col("boost")
+    want = {(r.query, r.company_id, round(r.score, 9)) for r in wide.withColumn("score", score).filter(F.col("score") >= 0.7).collect()}
+    assert got == want and len(want) > 40
