@@ -247,16 +247,15 @@ def lookup_ownership(names: DataFrame, name: str = "name") -> DataFrame:
 # --- multi-source merge ------------------------------------------------------
 @dataclass(frozen=True)
 class SourceSpec:
-    """A feed the merge can use: its rows per company and the field they fill.
+    """A feed the merge can use: its rows per company, (company_id, ord, item), and the field they fill.
 
-    ``limit`` cuts the rows per company to what the feed itself delivers; without
-    it the list is complete.
+    Items of a list field are appended, source by source and in order; items (key, value) of a map field are assigned, so the
+    last one of a key wins. Sources that fill the same field share its item type.
     """
     name: str
     field: str
     flatten: Callable[[DataFrame], DataFrame]
-    order: str
-    limit: int | None = None
+    assigned: bool = False
 
 
 SOURCES: dict[str, SourceSpec] = {}
@@ -266,47 +265,105 @@ def register_source(spec: SourceSpec) -> None:
     SOURCES[spec.name] = spec
 
 
-register_source(SourceSpec("yahoo", "owners", lambda d: d.select("company_id", "ord", F.struct("name", "percent", "shares").alias("item")), "ord"))
-register_source(SourceSpec("opencorporates", "entities", lambda d: d.select("company_id", "ord", F.struct("name", "jurisdiction", "status").alias("item")), "ord"))
-register_source(SourceSpec("usaspending", "contracts", lambda d: d.select("company_id", "ord", F.struct("award_id", "amount", "agency").alias("item")), "ord"))
-register_source(SourceSpec("news", "articles", lambda d: d.select("company_id", "ord", F.struct("title", "sentiment").alias("item")), "ord"))
+def _items(*fields: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda d: d.select("company_id", "ord", F.struct(*fields).alias("item"))
 
 
-def merge_sources(companies: DataFrame, feeds: dict[str, DataFrame],
-                  failed: DataFrame | None = None, market: DataFrame | None = None) -> DataFrame:
-    """One record per company: bounded arrays per source, sources, warnings, quality.
+def _pairs(d: DataFrame) -> DataFrame:
+    return d.select("company_id", "ord", F.struct(F.col("field").alias("key"), F.col("value").cast("double").alias("value")).alias("item"))
 
-    A feed with a row limit is cut to it before anything is collected, so a hot
-    company stays small; the records then join on the key.
+
+# in the order in which their answers are merged
+register_source(SourceSpec("yahoo", "owners", _items("name", "percent", "shares")))
+register_source(SourceSpec("sec", "owners", _items("name", "percent", "shares")))
+register_source(SourceSpec("opencorporates", "entities", _items("name", "jurisdiction", "status")))
+register_source(SourceSpec("usaspending", "contracts", _items("award_id", "amount", "agency")))
+register_source(SourceSpec("fred", "indicators", _pairs, assigned=True))
+register_source(SourceSpec("news", "articles", _items("title", "sentiment")))
+
+MARKET = SourceSpec("", "market", _pairs, assigned=True)  # market fields come with the owners of one source and count with it
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``ord`` as a pair that compares numbers as numbers and texts as texts, whatever the feed has."""
+    text = rows.schema["ord"].dataType.typeName() in ("string", "varchar", "char")
+    number = F.lit(None).cast("decimal(38,6)") if text else F.col("ord").cast("decimal(38,6)")
+    return rows.withColumn("ord", F.struct(number.alias("n"), (F.col("ord") if text else F.lit(None)).cast("string").alias("s")))
+
+
+def tagged_rows(feeds: dict[str, DataFrame], market: DataFrame | None = None) -> DataFrame:
+    """All feeds as one table: company_id, source, src (its place), ord, and a typed item column per field, null but for the row's own.
+
+    This is the merge without lists: a company with any number of rows stays rows. Of a map field only the last item of a key is here.
+    """
+    order = {name: k for k, name in enumerate(SOURCES)}
+    parts = [(SOURCES[name], feed) for name, feed in feeds.items()] + ([(MARKET, market)] if market is not None else [])
+    rows, kinds = [], {}
+    for spec, feed in parts:
+        own = _placed(spec.flatten(feed))
+        if spec.assigned:
+            last = own.groupBy("company_id", F.col("item.key").alias("key")).agg(F.max_by(F.struct("ord", "item"), "ord").alias("x"))
+            own = last.select("company_id", "x.ord", "x.item")
+        kind = own.schema["item"].dataType.simpleString()
+        if kinds.setdefault(spec.field, kind) != kind:
+            raise ValueError(f"{spec.name}: items of {spec.field} are {kinds[spec.field]}, not {kind}")
+        rows.append((spec, own))
+    out = None
+    for spec, own in rows:
+        part = own.select("company_id", F.lit(spec.name).alias("source"), F.lit(order.get(spec.name, -1)).alias("src"), "ord", *[
+            (F.col("item") if field == spec.field else F.lit(None).cast(kind)).alias(field) for field, kind in kinds.items()])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def merge_sources(companies: DataFrame, feeds: dict[str, DataFrame], failed: DataFrame | None = None, market: DataFrame | None = None,
+                  symbols: DataFrame | None = None, answered: DataFrame | None = None) -> DataFrame:
+    """One record per company: lists and maps per field, symbol, sources, warnings, quality.
+
+    The feeds, the answers, the failures and the companies themselves are one tagged table with one aggregation by company, so
+    the rows of all sources travel once. A source counts when it has rows or is in ``answered`` (company_id, source): an empty list is
+    an answer too. ``failed``: company_id, reason. ``symbols``: company_id, symbol, ord; the last one wins. Lists are complete; where
+    a company may have more rows than a record should hold, use ``tagged_rows``.
     """
-    out = companies.select("company_id").distinct()
-    for name, feed in feeds.items():
-        spec = SOURCES[name]
-        rows = top_k(spec.flatten(feed), ["company_id"], [F.asc(spec.order)], spec.limit)
-        agg = rows.groupBy("company_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias(spec.field),
-            F.lit(True).alias("ok_" + name))
-        out = out.join(agg, "company_id", "left")
-    if market is not None:
-        fields = market.groupBy("company_id", "field").agg(F.max_by("value", "ord").alias("value"))
-        out = out.join(fields.groupBy("company_id").agg(F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("field", "value")))).alias("market")), "company_id", "left")
+    order = {name: k for k, name in enumerate(SOURCES)}
+    rows = tagged_rows(feeds, market)
+    fields = rows.columns[4:]
+    extra = [("known", F.lit(True), companies.select("company_id"))]
     if failed is not None:
-        bad = failed.groupBy("company_id").agg(F.array_sort(F.collect_set("reason")).alias("warnings"))
-        out = out.join(bad, "company_id", "left")
-    else:
-        out = out.withColumn("warnings", F.array().cast("array<string>"))
-    out = out.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
-    out = out.withColumn("sources", F.filter(
-        F.array(*[F.when(F.col("ok_" + n), F.lit(n)) for n in feeds]), lambda x: x.isNotNull()))
-    return out.withColumn("quality_score", quality_score(out.columns)).drop(*["ok_" + n for n in feeds])
+        extra.append(("reason", F.col("reason"), failed))
+    if symbols is not None:
+        symbols = _placed(symbols)
+        extra.append(("symbol", F.struct("ord", "symbol"), symbols))
+    if answered is not None:
+        extra.append(("answer", F.col("source"), answered.filter(F.col("source").isin(*feeds))))
+    for name, value, table in extra:
+        rows = rows.unionByName(table.select("company_id", value.alias(name)), allowMissingColumns=True)
+    maps = {SOURCES[n].field for n in feeds if SOURCES[n].assigned} | {MARKET.field}
+
+    def gathered(field: str) -> Column:
+        every = F.array_sort(F.collect_list(F.when(F.col(field).isNotNull(), F.struct("src", "ord", F.col(field).alias("item")))))
+        items = F.transform(every, lambda x: x["item"])
+        # several sources may assign a key: the last one stays
+        return F.map_from_entries(F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda y: y["key"] == x["key"]))) \
+            if field in maps else items
+
+    has = lambda name: name in rows.columns
+    out = rows.groupBy("company_id").agg(
+        F.max("known").alias("_known"), *[gathered(f).alias(f) for f in fields],
+        F.collect_set(F.when(F.col("source") != "", F.col("source"))).alias("_with_rows"),
+        (F.collect_set("answer") if has("answer") else F.array().cast("array<string>")).alias("_answers"),
+        (F.array_sort(F.collect_set("reason")) if has("reason") else F.array().cast("array<string>")).alias("warnings"),
+        (F.max("symbol")["symbol"] if has("symbol") else F.lit(None).cast("string")).alias("symbol")).filter("_known")
+    named = F.filter(literal_array(list(order)), lambda n: F.array_contains("_with_rows", n) | F.array_contains("_answers", n))
+    out = out.withColumn("sources", named)
+    return out.withColumn("quality_score", quality_score(out.columns)).drop("_known", "_with_rows", "_answers")
 
 
 def quality_score(columns: list[str]) -> Column:
     def n(field: str) -> Column:
         return F.coalesce(F.size(field), F.lit(0)) if field in columns else F.lit(0)
 
-    market = F.coalesce(F.size(F.map_keys("market")), F.lit(0)) if "market" in columns else F.lit(0)
+    market = F.coalesce(F.size("market"), F.lit(0)) if "market" in columns else F.lit(0)
     score = (F.size("sources") * 15 + F.when(n("owners") > 0, 25).otherwise(0) + F.when(n("owners") > 5, 15).otherwise(0)
              + F.when(n("entities") > 0, 20).otherwise(0) + F.when(n("contracts") > 0, 20).otherwise(0)
              + F.when(market > 3, 15).otherwise(0))

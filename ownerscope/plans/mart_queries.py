@@ -334,29 +334,47 @@ def _merge(spark, sf):
         F.col("user_id").alias("company_id"), F.col("event_type").alias("field"), "value", F.col("event_id").alias("ord"))
     failed = view(spark, sf, "v_fetch").filter(~F.col("ok")).select(
         (F.col("event_id") % 2000).alias("company_id"), F.concat("source", F.lit(" failed")).alias("reason"))
-    return R.merge_sources(customers, {"yahoo": owners, "opencorporates": entities, "usaspending": contracts, "news": articles}, failed, market)
+    filed = spark.sql(_SEC.replace("from supplier", f"from parquet.`{sf}/supplier.parquet`"))
+    economy = table(spark, sf, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderpriority").alias("field"),
+                                                F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("ord"))
+    symbols = customers.filter("company_id % 3 = 0").select(
+        "company_id", F.concat(F.lit("C"), F.col("company_id").cast("string")).alias("symbol"), F.lit(0).alias("ord"))
+    answered = view(spark, sf, "v_fetch").filter("ok").select((F.col("event_id") % 2000).alias("company_id"), "source")
+    feeds = {"yahoo": owners, "sec": filed, "opencorporates": entities, "usaspending": contracts, "fred": economy, "news": articles}
+    return R.merge_sources(customers, feeds, failed, market, symbols, answered)
 
 
-_MERGE_SQL = f"""{cte('v_owner', 'v_entity', 'v_contract', 'v_article', 'v_fetch')},
+_SEC = "select s_suppkey % 97 + 1 as company_id, s_suppkey as ord, concat('Filer ', s_name) as name, round(abs(s_acctbal) / 100, 2) as percent, cast(s_nationkey as bigint) as shares from supplier"
+
+_MERGE_SQL = f"""{cte('v_owner', 'v_entity', 'v_contract', 'v_article', 'v_fetch')}, v_filed as ({_SEC}),
 c as (select distinct c_custkey as company_id from customer),
-o as (select company_id, count(*) as n, string_agg(concat(name, ' ', cast(round(pct, 2) as varchar)), '|' order by owner_id) as owner_names from v_owner group by 1),
+ow as (select company_id, 0 as src, owner_id as ord, name, pct from v_owner union all select company_id, 1, ord, name, percent from v_filed),
+o as (select company_id, count(*) as n, count_if(src = 0) as n_yahoo, count_if(src = 1) as n_sec,
+  string_agg(concat(name, ' ', cast(round(pct, 2) as varchar)), '|' order by src, ord) as owner_names from ow group by 1),
+i as (select o_custkey as company_id, string_agg(concat(o_orderpriority, ' ', cast(o_totalprice as varchar)), '|' order by o_orderpriority) as indicators from
+  (select * from orders qualify row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey desc) = 1) z group by 1),
+an as (select event_id % 2000 as company_id, list(distinct source) as answers from v_fetch where ok group by 1),
 e as (select group_id as company_id, count(*) as n, string_agg(concat(name, ' ', jurisdiction), '|' order by entity_id) as entity_names from v_entity group by 1),
 g as (select recipient_id as company_id, count(*) as n, string_agg(concat(award_id, ' ', agency), '|' order by award_id) as contract_names from v_contract group by 1),
 a as (select company_id, count(*) as n, string_agg(title, '|' order by doc_id) as article_titles from v_article group by 1),
 m as (select user_id as company_id, count(distinct event_type) as n from events group by 1),
 w as (select event_id % 2000 as company_id, string_agg(distinct concat(source, ' failed'), '|' order by concat(source, ' failed')) as warnings from v_fetch where not ok group by 1),
-x as (select c.company_id, coalesce(o.n, 0) as owners, coalesce(e.n, 0) as entities, coalesce(g.n, 0) as contracts, coalesce(a.n, 0) as articles, coalesce(m.n, 0) as market, coalesce(warnings, '') as warnings,
+x as (select c.company_id, coalesce(o.n, 0) as owners, coalesce(n_yahoo, 0) as n_yahoo, coalesce(n_sec, 0) as n_sec, coalesce(indicators, '') as indicators, coalesce(answers, []) as answers,
+  case when c.company_id % 3 = 0 then concat('C', cast(c.company_id as varchar)) end as symbol, coalesce(e.n, 0) as entities, coalesce(g.n, 0) as contracts, coalesce(a.n, 0) as articles, coalesce(m.n, 0) as market, coalesce(warnings, '') as warnings,
   coalesce(owner_names, '') as owner_names, coalesce(entity_names, '') as entity_names, coalesce(contract_names, '') as contract_names, coalesce(article_titles, '') as article_titles
-  from c left join o using (company_id) left join e using (company_id) left join g using (company_id) left join a using (company_id) left join m using (company_id) left join w using (company_id))"""
+  from c left join o using (company_id) left join e using (company_id) left join g using (company_id) left join a using (company_id) left join m using (company_id) left join w using (company_id)
+  left join i using (company_id) left join an using (company_id)),
+y as (select *, list_filter([case when n_yahoo > 0 or list_contains(answers, 'yahoo') then 'yahoo' end, case when n_sec > 0 or list_contains(answers, 'sec') then 'sec' end,
+    case when entities > 0 or list_contains(answers, 'opencorporates') then 'opencorporates' end, case when contracts > 0 or list_contains(answers, 'usaspending') then 'usaspending' end,
+    case when indicators <> '' or list_contains(answers, 'fred') then 'fred' end, case when articles > 0 or list_contains(answers, 'news') then 'news' end], lambda z: z is not null) as source_list from x)"""
 
 
 @query("merged_companies", f"""{_MERGE_SQL} select company_id, cast(owners as integer) as owners, cast(entities as integer) as entities, cast(contracts as integer) as contracts,
   cast(articles as integer) as articles, cast(market as integer) as market_fields, warnings, owner_names, entity_names, contract_names, article_titles,
-  array_to_string(list_filter([case when owners > 0 then 'yahoo' end, case when entities > 0 then 'opencorporates' end, case when contracts > 0 then 'usaspending' end,
-    case when articles > 0 then 'news' end], lambda x: x is not null), '|') as sources,
-  cast(least(100, 15 * ((owners > 0)::int + (entities > 0)::int + (contracts > 0)::int + (articles > 0)::int) + case when owners > 0 then 25 else 0 end
+  symbol, indicators, array_to_string(source_list, '|') as sources,
+  cast(least(100, 15 * len(source_list) + case when owners > 0 then 25 else 0 end
     + case when owners > 5 then 15 else 0 end + case when entities > 0 then 20 else 0 end + case when contracts > 0 then 20 else 0 end
-    + case when market > 3 then 15 else 0 end) as integer) as quality_score from x""")
+    + case when market > 3 then 15 else 0 end) as integer) as quality_score from y""")
 def merged_companies(spark, sf):
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
@@ -365,13 +383,15 @@ def merged_companies(spark, sf):
         text("entities", lambda x: F.concat(x["name"], F.lit(" "), x["jurisdiction"])).alias("entity_names"),
         text("contracts", lambda x: F.concat(x["award_id"], F.lit(" "), x["agency"])).alias("contract_names"),
         text("articles", lambda x: x["title"]).alias("article_titles"),
-        "company_id", n("owners").alias("owners"), n("entities").alias("entities"), n("contracts").alias("contracts"),
-        n("articles").alias("articles"), F.coalesce(F.size(F.map_keys("market")), F.lit(0)).alias("market_fields"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("indicators")), lambda x: F.concat(x["key"], F.lit(" "), x["value"].cast("string"))), "|").alias("indicators"),
+        "symbol", "company_id", n("owners").alias("owners"), n("entities").alias("entities"), n("contracts").alias("contracts"),
+        n("articles").alias("articles"), n("market").alias("market_fields"),
         F.array_join("warnings", "|").alias("warnings"), F.array_join("sources", "|").alias("sources"), "quality_score")
 
 
-@query("company_summary_cards", f"""{cte('v_owner', 'v_entity', 'v_contract')},
-o as (select company_id, string_agg(name, '|' order by owner_id) as owners from (select * from v_owner qualify row_number() over (partition by company_id order by owner_id) <= 5) z group by 1),
+@query("company_summary_cards", f"""{cte('v_owner', 'v_entity', 'v_contract')}, v_filed as ({_SEC}),
+ow as (select company_id, 0 as src, owner_id as ord, name from v_owner union all select company_id, 1, ord, name from v_filed),
+o as (select company_id, string_agg(name, '|' order by src, ord) as owners from (select * from ow qualify row_number() over (partition by company_id order by src, ord) <= 5) z group by 1),
 e as (select group_id as company_id, string_agg(name, '|' order by entity_id) as entities from (select * from v_entity qualify row_number() over (partition by group_id order by entity_id) <= 3) z group by 1),
 g as (select recipient_id as company_id, string_agg(award_id, '|' order by award_id) as contracts from (select * from v_contract qualify row_number() over (partition by recipient_id order by award_id) <= 3) z group by 1)
 select c_custkey as company_id, coalesce(owners, '') as owners, coalesce(entities, '') as entities, coalesce(contracts, '') as contracts
