@@ -5,17 +5,20 @@ size band, a class's shingles are dealt by hash to B blocks and each block's cod
 Each differing shingle changes one block, so the number of differing blocks is at most the size of the symmetric
 difference. A similarity threshold bounds that difference by d for the sizes of a band, so of B = d + 1 + e blocks at least
 1 + e are equal (pigeonhole), and one of these is not empty unless both sides have more than e empty blocks; such documents are
-sketched again with another seed until they have not. Hence every link meets in a bucket (band, seed, block, word).
+sketched again with another seed until they have not. What still has after ``SEEDS`` of them (at low thresholds, where differences
+are nearly as large as sets) meets on its least shingle hashes instead, the prefix filter. Hence every link meets in a bucket.
 
 A second, dense sketch gives each class one bit per hash value, the parity of its shingles there; the Hamming distance of
 two is at most the symmetric difference too and rules out most pairs before their sets are looked at.
 
-In a bucket each class is compared with the smallest one; pairs whose dense sketches are close enough are verified on the
-whole sets, and links are joined to components. Only buckets in which that leaves more than one component are gone
-through again: their tasks compare the dense sketches of pairs across components and send on the close ones. So groups of
-mutually similar documents cost a star and not all pairs, and no row is made for a pair that the sketches rule out. A batch of documents sends one
-row per bucket to the shuffle, and the others as pairs, so that a bucket that a third of the documents share arrives
-pre-aggregated.
+In a bucket each class is compared with the smallest one, its lead; pairs whose dense sketches are close enough are verified on the
+whole sets, and links are joined to components. Only leads whose members then lie in more than one component are gone through again:
+tasks compare the dense sketches of members across components and name the members that are close to another one. For
+these, the difference between their set and their lead's is gathered; two such differences give the difference of any two members,
+so a task verifies the close pairs exactly where it finds them and sends on links between components only. A pair is never a row:
+rows follow the members, groups of mutually similar documents cost a star and not all pairs, and a large group is cut into blocks whose pairs
+are compared in separate tasks. A batch of documents sends one row per bucket to the shuffle, and the others as pairs, so that a bucket that a
+third of the documents share arrives pre-aggregated.
 
 Defined results: null and empty texts and texts without words have an empty set, are linked with nothing and are their own
 component. Rows with the same id count as linked. Rows with a null id have no component. An empty table gives no rows.
@@ -36,6 +39,7 @@ from ownerscope.llm.common import M64, materialize, mix64, slices
 from ownerscope.llm.shingles import shingle_set, word_hashes, words_of
 
 SEEDS = 64
+BLOCK = 32 << 20  # bytes of a lead's members that a task compares with as many others
 MOST_BITS = 14  # of a dense sketch, as a power of two: beyond it the sketch only rules out fewer pairs
 
 
@@ -102,6 +106,10 @@ def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
             empty = counts - np.bincount(owner, minlength=len(part))
             again += [part[j] for j in np.flatnonzero(empty > spare)]
         jobs = again
+    for i, _ in jobs:  # sketches cannot tell these apart: two of them meet on one of the least hashes that similar sets share
+        least = sets[i][:sizes[i] - -(-num * sizes[i] // den) + 1]
+        keys.append(mix64(least ^ np.uint64(0xA0761D6478BD642F)))
+        owners.append(np.full(len(least), i, np.int64))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(owners), np.concatenate(keys)
@@ -159,71 +167,133 @@ def close_pairs(pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in slices(batches, "sa"):
             ok = []
             for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
-                if x is None or y is None:
-                    ok.append(True)
-                    continue
                 two = folded([x, y])
                 ok.append(int(np.bitwise_count(two[0] ^ two[1]).sum()) <= na + nb - 2 * -(-num * (na + nb) // (num + den)))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     fits = (den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))
-    return pairs.where(F.coalesce(fits, F.lit(True))).mapInArrow(run, "a long, b long")
-
+    return pairs.where(fits).mapInArrow(run, "a binary, b binary")
+
+
+def outsiders_first(component: np.ndarray) -> tuple[np.ndarray, int]:
+    """An order of the members in which those of the largest component are last, and the number of the others."""
+    names, kind, counts = np.unique(component, return_inverse=True, return_counts=True)
+    largest = kind == counts.argmax()
+    return np.argsort(largest, kind="stable"), int((~largest).sum())
+
+
+class Group:
+    """Members of one lead (or of two of its blocks), to be compared across components."""
+
+    def __init__(self, members: list[bytes], n: list[int], component: list[int], sketch: list[bytes], side: list[int], both: bool):
+        component_ = np.array(component, np.int64)
+        order, self.outsiders = outsiders_first(component_)
+        self.members = [members[k] for k in order.tolist()]
+        self.order, self.n, self.component = order, np.array(n, np.int64)[order], component_[order]
+        self.words = folded([sketch[k] for k in order.tolist()])
+        self.side, self.both = np.array(side, np.int64)[order], both
+
+    def close(self, i: int, num: int, den: int) -> np.ndarray:
+        """Members after the i-th, of other components, whose sizes and sketches allow a link with it."""
+        j = np.arange(i + 1, len(self.n))
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        keep = (self.component[j] != self.component[i]) & (den * low >= num * high)
+        if not self.both:  # members of one block meet elsewhere
+            keep &= self.side[j] != self.side[i]
+        j = j[keep]
+        found = []
+        for at in range(0, len(j), 4096):
+            part = j[at:at + 4096]
+            far = np.bitwise_count(self.words[part] ^ self.words[i]).sum(1, dtype=np.int64)
+            found.append(part[far <= _differ_at_most(self.n[part] + self.n[i], num, den)])
+        return np.concatenate(found) if found else j
+
+
+def grouped(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of split leads with the pairs of blocks (p, q) that they are compared in, those of a pair together and in order."""
+    held = sum((F.length(c) for c in ("sketch", "far") if c in columns), F.lit(200))
+    sizes = members.groupBy("lead").agg(F.sum(held).alias("_bytes"))
+    cut = members.join(sizes, "lead").withColumn("_blocks", F.ceil(F.col("_bytes") / BLOCK).cast("int")).withColumn(
+        "side", F.pmod(F.xxhash64("member"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    cut = cut.select("lead", "side", other.alias("_q"), *columns)
+    cut = cut.select("lead", F.least("side", "_q").alias("p"), F.greatest("side", "_q").alias("q"), "side", *columns)
+    return cut.repartition("lead", "p", "q").sortWithinPartitions("lead", "p", "q", "member")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[bytes, bool, dict[str, list]]]:
+    """(lead, whether the group is one block, its columns), one group after the other."""
+    now, held = None, {c: [] for c in columns}
+    for batch in batches:
+        for lead, p, q, *row in zip(*(batch.column(c).to_pylist() for c in ("lead", "p", "q", *columns))):
+            if (lead, p, q) != now:
+                if now is not None:
+                    yield now[0], now[1] == now[2], held
+                now, held = (lead, p, q), {c: [] for c in columns}
+            for c, v in zip(columns, row):
+                held[c].append(v)
+    if now is not None:
+        yield now[0], now[1] == now[2], held
+
+
+MEMBER = ["member", "n", "component", "sketch"]
+
+
+def close_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(lead, member) of the members that may link with one of another component under the same lead."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lead, both, held in _by_group(batches, ["side", *MEMBER]):
+            group = Group(held["member"], held["n"], held["component"], held["sketch"], held["side"], both)
+            hit = np.zeros(len(group.members), bool)
+            for i in range(group.outsiders):
+                j = group.close(i, num, den)
+                hit[j] = True
+                hit[i] |= len(j) > 0
+            found = [group.members[k] for k in np.flatnonzero(hit).tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([lead] * len(found), pa.binary()), pa.array(found, pa.binary())], names=["lead", "member"])
+
+    return grouped(members, MEMBER).mapInArrow(run, "lead binary, member binary").distinct()
+
+
+def with_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with ``far``, the packed symmetric difference of their set and their lead's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "sm"):
+            far = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes()
+                   for x, y in zip(batch.column("sl").to_pylist(), batch.column("sm").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("member"), pa.array(far, pa.binary())], names=["lead", "member", "far"])
 
-def close_across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components whose sizes and dense sketches allow a link.
+    both = members.select("lead", "member").join(sets.select(F.col("digest").alias("lead"), F.col("s").alias("sl")), "lead").join(
+        sets.select(F.col("digest").alias("member"), F.col("s").alias("sm")), "member").select("lead", "member", "sl", "sm")
+    far = both.mapInArrow(run, "lead binary, member binary, far binary")
+    return members.join(far, ["lead", "member"])
 
-    ``members``: key, node, n, component, sketch. A bucket is held by one task, as are its comparisons; they make no rows.
-    """
-    def pairs(nodes, n, component, sketches) -> tuple[np.ndarray, np.ndarray]:
-        open_ = np.array([x is None for x in sketches])
-        known = [x for x in sketches if x is not None]
-        words = folded([known[0] if x is None else x for x in sketches]) if known else np.zeros((len(nodes), 1), np.uint64)
-        left, right = [], []
-        for i in range(len(nodes) - 1):
-            j = np.arange(i + 1, len(nodes))
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(component[j] != component[i]) & (open_[i] | open_[j] | (den * low >= num * high))]
-            for at in range(0, len(j), 4096):
-                part = j[at:at + 4096]
-                far = np.bitwise_count(words[part] ^ words[i]).sum(1, dtype=np.int64)
-                part = part[open_[i] | open_[part] | (far <= _differ_at_most(n[part] + n[i], num, den))]
-                left.append(np.full(len(part), nodes[i]))
-                right.append(nodes[part])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = np.concatenate(left), np.concatenate(right)
-        return np.minimum(a, b), np.maximum(a, b)
 
+def links_across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components that members of a lead link, at most one less than there are in a group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        now, sent = None, set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, sent
-            nodes, n, component = (np.array([v or 0 for v in x], np.int64) for x in held[:3])
-            if len(nodes) > 1 and (component != component[0]).any():
-                a, b = pairs(nodes, n, component, held[3])
-                fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in sent]
-                if len(sent) > 500_000:
-                    sent = set()
-                sent.update(fresh)
-                if fresh:
-                    x, y = zip(*fresh)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-            held = [[], [], [], []]
-
-        for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "component", "sketch"))):
-                if key != now:
-                    yield from flush()
-                    now = key
-                for x, v in zip(held, row):
-                    x.append(v)
-        yield from flush()
-
-    return members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+        for _, both, held in _by_group(batches, ["side", *MEMBER, "far"]):
+            group = Group(held["member"], held["n"], held["component"], held["sketch"], held["side"], both)
+            far = [np.frombuffer(held["far"][k], np.uint64) for k in group.order.tolist()]
+            most = np.array([len(x) for x in far])
+            found = []
+            for i in range(group.outsiders):
+                for j in group.close(i, num, den).tolist():
+                    if group.component[i] == group.component[j]:
+                        continue  # joined meanwhile
+                    allowed = int(_differ_at_most(group.n[i] + group.n[j], num, den))
+                    if abs(int(most[i]) - int(most[j])) > allowed:
+                        continue
+                    all_ = np.sort(np.concatenate([far[i], far[j]]))
+                    if len(all_) - 2 * int((all_[1:] == all_[:-1]).sum()) <= allowed:
+                        found.append((group.members[i], group.members[j]))
+                        group.component[group.component == group.component[j]] = group.component[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["a", "b"])
+
+    return grouped(members, [*MEMBER, "far"]).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def bucket_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -256,7 +326,7 @@ def bucket_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """(key, a, b) with a < b: each document of a bucket with the bucket's smallest one."""
+    """(a, b): each document of a bucket (b) with the bucket's smallest one, its lead (a)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, lead = None, None
         for batch in batches:
@@ -266,7 +336,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
             a = batch.column("a").to_numpy(zero_copy_only=False)
             b = batch.column("b")
             local = b.is_valid().to_numpy(zero_copy_only=False)
-            other = b.fill_null(0).to_numpy(zero_copy_only=False)
+            other = np.where(local, b.fill_null(0).to_numpy(zero_copy_only=False), a)
             new = np.append(True, key[1:] != key[:-1])
             new[0] = key[0] != last_key
             leads = np.empty(len(key), np.int64)
@@ -276,29 +346,28 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
             if len(at):
                 leads[at[0]:] = a[at][np.cumsum(new[at[0]:]) - 1]
             last_key, lead = int(key[-1]), int(leads[-1])
-            # a row that joins its bucket's lead, and the pairs found within a batch of documents
-            joins = (a != leads) & ~local
-            out_key = np.concatenate([key[joins], key[local]])
-            out_a = np.concatenate([leads[joins], a[local]])
-            out_b = np.concatenate([a[joins], other[local]])
-            if len(out_key):
-                yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(np.minimum(out_a, out_b)), pa.array(np.maximum(out_a, out_b))],
-                                                 names=["key", "a", "b"])
+            joins = other != leads
+            if joins.any():
+                yield pa.RecordBatch.from_arrays([pa.array(leads[joins]), pa.array(other[joins])], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(run, "key long, a long, b long").where("a <> b")
+    return rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Sets travel once per document and once per pair."""
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+def sets_of(digests: DataFrame, leaders: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(digest, s): the whole packed shingle sets of some classes, computed from their leaders' texts."""
+    ids = leaders.join(digests.distinct(), "digest", "left_semi").select(F.col("leader").alias("doc")).distinct()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = _sets(batch.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["digest", "s"])
+
+    return docs.join(ids, "doc", "left_semi").mapInArrow(hashes, "digest binary, s binary").dropDuplicates(["digest"])
 
-    sets = materialize(docs.join(ids, "doc", "left_semi").mapInArrow(hashes, "doc long, s binary"))
 
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "sa"):
             ok = []
@@ -310,9 +379,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(
-        compare, "a long, b long").distinct()
+    return pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(
+        compare, "a binary, b binary")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -371,38 +440,38 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     known = rows.where("doc is not null")
     shown = every.where("n > 0 and doc is not null")
     leaders = materialize(shown.groupBy("digest").agg(F.min("doc").alias("leader"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    of = materialize(shown.select("doc", "digest").join(leaders.select("digest", "leader"), "digest").select("doc", "leader").distinct())
-    # an id that leads several classes (its rows differ) has no one sketch: null, which rules nothing out
-    lead = leaders.groupBy("leader").agg(F.count("*").alias("k"), F.max(F.struct("n", "sketch")).alias("x")).select(
-        "leader", *[F.when(F.col("k") == 1, F.col(f"x.{c}")).alias(c) for c in ("n", "sketch")])
-    met = materialize(bucket_pairs(bucket_rows(known, k, num, den)))
-
-    def by_class(pairs: DataFrame, more: list[str]) -> DataFrame:
-        left = of.select(F.col("doc").alias("a"), F.col("leader").alias("la"))
-        right = of.select(F.col("doc").alias("b"), F.col("leader").alias("lb"))
-        return pairs.join(left, "a").join(right, "b").select(
-            *more, F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct()
-
-    first = materialize(by_class(met.select("a", "b").distinct(), []))
-    with_sketches = first.join(lead.select(F.col("leader").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
-        lead.select(F.col("leader").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    links = materialize(verified(materialize(close_pairs(with_sketches, num, den)), known, k, num, den))
+    of = materialize(shown.select("doc", "digest").distinct())
+    met = bucket_pairs(bucket_rows(known, k, num, den))
+    first = materialize(met.join(of.select(F.col("doc").alias("a"), F.col("digest").alias("da")), "a").join(
+        of.select(F.col("doc").alias("b"), F.col("digest").alias("db")), "b").where("da <> db").select(
+        F.col("da").alias("a"), F.col("db").alias("b")).distinct())
+    side = lambda c: leaders.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    close = materialize(close_pairs(first.join(side("a"), "a").join(side("b"), "b"), num, den))
+    sets = materialize(sets_of(close.select(F.col("a").alias("digest")).unionByName(close.select(F.col("b").alias("digest"))), leaders, known, k))
+
+    def by_leader(found: DataFrame) -> DataFrame:
+        name = lambda c: leaders.select(F.col("digest").alias(c), F.col("leader").alias(f"l{c}"))
+        return found.join(name("a"), "a").join(name("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+
+    links = materialize(by_leader(verified(close, sets, num, den)))
     parts = components(links)
-    # buckets that still hold several components: pairs across them that were not yet compared
-    in_class = materialize(by_class(met, ["key"]))
-    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    split = in_class.join(side("a"), "a", "left").join(side("b"), "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("key").distinct()
-    member = in_class.join(split, "key", "left_semi")
-    member = member.select("key", F.col("a").alias("node")).unionByName(member.select("key", F.col("b").alias("node"))).distinct()
-    member = member.join(parts, "node", "left").join(lead, F.col("node") == F.col("leader")).select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component"), "sketch")
-    across = materialize(close_across(member, num, den).join(first, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = materialize(links.unionByName(verified(across, known, k, num, den)))
+    # leads whose members still lie in several components: members across them that were not yet compared
+    placed = materialize(leaders.join(parts, F.col("leader") == F.col("node"), "left").select(
+        F.col("digest").alias("member"), "n", F.coalesce("component", "leader").alias("component"), "sketch"))
+    members = first.select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    members = members.unionByName(members.select("lead", F.col("lead").alias("member")).distinct()).join(placed, "member")
+    split = members.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("z")).where("x <> y and z > 2")
+    members = members.join(split.select("lead"), "lead", "left_semi")
+    near = materialize(close_members(members, num, den))
+    if not near.isEmpty():
+        near = near.join(placed, "member")
+        wanted = near.select(F.col("lead").alias("digest")).unionByName(near.select(F.col("member").alias("digest")))
+        far = with_differences(near, materialize(sets_of(wanted, leaders, known, k)))
+        links = materialize(links.unionByName(by_leader(links_across(materialize(far), num, den))))
         parts = components(links)
+    found = of.join(leaders.select("digest", "leader"), "digest").select("doc", "leader")
     # rows that share an id are one node: the component of a document is the least over its classes
-    found = of.join(parts.withColumnRenamed("node", "leader"), "leader", "left").groupBy("doc").agg(
+    found = found.join(parts.withColumnRenamed("node", "leader"), "leader", "left").groupBy("doc").agg(
         F.min(F.least(F.coalesce("component", "leader"), "doc")).alias("component_id"))
     return every.join(found, "doc", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
