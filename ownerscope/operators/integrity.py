@@ -95,10 +95,17 @@ def ownership_checks(owners: DataFrame, key: str, source: str = "source") -> Dat
         .when(F.col("anomaly") > D.ANOMALY_WARN, "warn").otherwise("accept")).drop("_n")
 
 
-def running_failures(checked: DataFrame, source: str, order: list[str], limit: int = 5) -> DataFrame:
-    """Failures per source in arrival order; from the sixth on records are quarantined."""
+def running_failures(checked: DataFrame, source: str, order: list[str], limit: int = 5, before: DataFrame | None = None) -> DataFrame:
+    """Failures per source in arrival order; from the sixth on records are quarantined.
+
+    ``before`` (source, _before) are failures that were counted earlier.
+    """
     rows = balanced(checked, [source], order)
     out = running(rows, [source], order, F.col(PART), {"failures": F.col("failed").cast("bigint")}).drop(PART)
+    if before is not None:
+        earlier = before.select(F.col(source).alias("_source"), "_before")
+        out = out.join(earlier, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn(
+            "failures", F.col("failures") + F.coalesce("_before", F.lit(0))).drop("_source", "_before")
     return out.withColumn("action", F.when(F.col("failed") & (F.col("failures") > limit), "quarantine")
                           .otherwise(F.col("action")))
 

@@ -25,4 +25,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from ownerscope.plans import (  # noqa: F401
         integrity_queries, mart_queries, mention_queries, monitor_queries, name_queries, page_queries,
+        stream_queries,
     )

@@ -23,9 +23,10 @@ from ownerscope.operators import monitor as N
 from ownerscope.sources.pages import site_of
 
 
-def read_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int = 64) -> DataFrame:
-    """Parquet landing folder as a stream; ``ts`` becomes a timestamp for watermarks."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int = 64, only: str | None = None) -> DataFrame:
+    """Parquet landing folder (of its files, ``only`` those of a name pattern) as a stream; ``ts`` becomes a timestamp for watermarks."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    raw = (reader.option("pathGlobFilter", only) if only else reader).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in raw.columns else raw
 
 
@@ -55,8 +56,6 @@ def stream_rate_alarm(events: DataFrame, seconds: int = 1, limit: int = 15, dela
     return N.rate_alarm(events.withWatermark("ts", delay), "ts", seconds, limit)
 
 
-
-
 def stream_latest(quotes: DataFrame, key: str, value: str, order: str = "event_id") -> DataFrame:
     """Latest value per key (update mode)."""
     return quotes.groupBy(key).agg(F.max_by(value, F.struct("ts", order)).alias(value), F.max("ts").alias("ts"))

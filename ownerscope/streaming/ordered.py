@@ -112,7 +112,7 @@ class Decisions(StatefulProcessor):
 def _plain(value: Any) -> Any:
     """A value of a frame as the state store takes it."""
     if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
+        return value.floor("us").to_pydatetime()
     return value.item() if hasattr(value, "item") else value
 
 
