@@ -222,14 +222,18 @@ def repeated_strings(leads: DataFrame) -> DataFrame:
     """(anchor, content, hits): for each run content, which of its strings start elsewhere too (one byte per string).
 
     Strings that are equal have the same anchor. Buckets are ranges of anchors; strings equal within a bucket are found by
-    sorting it. Strings of the first and last anchor of a bucket may be equal to ones in another bucket: those are
-    counted across buckets.
+    sorting it. Only an anchor that ends one bucket and begins another has strings that may be equal to ones elsewhere: those
+    are compared across buckets, one of each that its bucket already has twice. They travel packed by ranges of their
+    hashes, so a batch sends one row per range whatever it holds.
     """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         held: list[tuple[int, int, np.ndarray]] = []
-        first, kept = None, 0
+        first, kept, flushed = None, 0, 0
 
-        def resolve(edge_anchors: set[int], inner_only: bool):
+        def resolve(edge_anchors: set[int]):
             lengths = np.array([len(s) for _, _, s in held], np.int64)
             flat = np.concatenate([s for _, _, s in held]) if held else np.zeros(0, np.uint64)
             order = np.argsort(flat, kind="stable")
@@ -243,41 +247,81 @@ def repeated_strings(leads: DataFrame) -> DataFrame:
                     for (a, c, s), t in zip(held, parts)]
             columns = list(zip(*rows))
             types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types)],
-                                              names=["anchor", "content", "hits", "strings"])
+            parts_of = pa.array(np.full(len(rows), 1 << 20, np.int64) * task + flushed)  # a task's flushes are compared like tasks
+            return pa.RecordBatch.from_arrays([*(pa.array(list(x), t) for x, t in zip(columns, types)), parts_of],
+                                              names=["anchor", "content", "hits", "strings", "part"])
 
         for batch in batches:
             for a, c, s in zip(*(batch.column(k).to_pylist() for k in ("anchor", "content", "strings"))):
                 if first is None:
                     first = a
                 if held and a != held[-1][0] and kept > 2_000_000:
-                    yield resolve({first}, True)
-                    held, kept = [], 0
+                    yield resolve({first})
+                    held, kept, flushed = [], 0, flushed + 1
                 elif held and kept > 8_000_000:  # one anchor fills the bucket: its strings are counted across buckets anyway
-                    yield resolve({first, a}, False)
-                    held, kept, first = [], 0, a
+                    yield resolve({first, a})
+                    held, kept, first, flushed = [], 0, a, flushed + 1
                 held.append((a, c, np.frombuffer(s, np.uint64)))
                 kept += len(held[-1][2])
         if held:
-            yield resolve({first, held[-1][0]}, False)
+            yield resolve({first, held[-1][0]})
 
     found = materialize(leads.repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content").mapInArrow(
-        local, "anchor long, content long, hits binary, strings binary"))
+        local, "anchor long, content long, hits binary, strings binary, part long"))
+    ranges = 4 * int(leads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, c, s in zip(*(batch.column(k).to_pylist() for k in ("anchor", "content", "strings"))):
-                s = np.frombuffer(s, np.int64)
-                n = len(s)
+            strings = [np.frombuffer(x, np.uint64) for x in batch.column("strings").to_pylist()]
+            flat = np.concatenate(strings) if strings else np.zeros(0, np.uint64)
+            if not len(flat):
+                continue
+            lengths = np.array([len(x) for x in strings])
+            hit = np.concatenate([np.frombuffer(x, np.uint8) for x in batch.column("hits").to_pylist()]).astype(bool)
+            owner = np.repeat(np.arange(len(strings)), lengths)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            anchor, content = (batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("anchor", "content"))
+            _, one = np.unique(flat[hit], return_index=True)  # those that are repeated anyway: one of each, for the others' sake
+            rows = np.stack([flat.view(np.int64), anchor, content, place], 1)
+            rows = np.concatenate([rows[~hit], np.stack([rows[hit][one][:, 0], *[np.full(len(one), -1)] * 3], 1)])
+            into = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(into, kind="stable")
+            rows, into = rows[order], into[order]
+            starts = np.flatnonzero(_bounds(into))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(into[starts]), pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())], names=["range", "rows"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            new = _bounds(rows[:, 0])
+            group = np.cumsum(new) - 1
+            rows = rows[(np.bincount(group)[group] > 1) & (rows[:, 3] >= 0)]
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1]))]
+            if len(rows):
+                starts = np.flatnonzero(_bounds(rows[:, 1]) | _bounds(rows[:, 2]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, a, np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(s)],
-                    names=["anchor", "content", "place", "string"])
-
-    # only an anchor that ends one bucket and begins another is open
-    ends = found.where("strings is not null").select("anchor", "content", "strings")
-    single = materialize(ends.mapInArrow(explode, "anchor long, content long, place int, string long"))
-    twice = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    across = single.join(twice, "string", "left_semi").groupBy("anchor", "content").agg(F.collect_list("place").alias("more"))
+                    [pa.array(rows[starts, 1]), pa.array(rows[starts, 2]), pa.array([x.tolist() for x in np.split(rows[:, 3], starts[1:])], pa.list_(pa.int32()))],
+                    names=["anchor", "content", "places"])
+
+        for batch in batches:
+            for range_, raw in zip(batch.column("range").to_pylist(), batch.column("rows").to_pylist()):
+                if range_ != now:
+                    if held:
+                        yield from flush()
+                    now, held = range_, []
+                held.append(np.frombuffer(raw, np.int64).reshape(-1, 4))
+        if held:
+            yield from flush()
+
+    ends = found.where("strings is not null")
+    shared = ends.groupBy("anchor").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("anchor")
+    packed = ends.join(shared, "anchor", "left_semi").select("anchor", "content", "hits", "strings").mapInArrow(pack, "range long, rows binary")
+    met = packed.repartition("range").sortWithinPartitions("range").mapInArrow(meet, "anchor long, content long, places array<int>")
+    across = met.groupBy("anchor", "content").agg(F.flatten(F.collect_list("places")).alias("more"))
     return found.select("anchor", "content", "hits").join(across, ["anchor", "content"], "left")
 
 
