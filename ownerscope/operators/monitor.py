@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ownerscope import dictionaries as D
 from ownerscope.operators.running import PART, balanced, idle_sessions, running
+from ownerscope.session import materialize
 
 MICRO = 1_000_000
 
@@ -18,12 +23,99 @@ MICRO = 1_000_000
 def trailing_sums(df: DataFrame, key: str, ts: str, order: str, windows: dict[str, int], values: dict[str, Column]) -> DataFrame:
     """Adds ``<window>_<value>``: sums over the key's earlier rows that are strictly younger than each window.
 
-    A sum over a trailing window is the difference of two running sums, the row's and that of the moment the window begins. So
-    each row is followed by one probe per window, rows and probes are ordered together, and one balanced prefix scan answers
-    all windows, however many rows of a key fall into one. Sums must be exact (integers, decimals) for that. Rows that share a
+    A sum over a trailing window is the difference of two running sums, the row's and that of the moment the window begins, so
+    sums must be exact (integers, decimals). Rows are cut into chunks of bounded size by a range partitioning over (key, time); a
+    key that lies within a chunk is answered where it lies, by a search among its times. Only a chunk's first and last key can go
+    on in others: for those, at most one for each boundary, ``_across`` orders rows and moments together. Rows that share a
     time count in the order of ``order``. A row without a time has no earlier ones.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
+    names = [f"{w}_{n}" for w in windows for n in values]
+    types = {n: "bigint" if df.select(v).schema[0].dataType.typeName() in ("byte", "short", "integer", "long") else "decimal(38,0)" for n, v in values.items()}
+    rows = df.select("*", us.alias("_us"), *[F.coalesce(v, F.lit(0)).cast(types[n]).alias(f"_v_{n}") for n, v in values.items()])
+    schema = StructType([*rows.schema.fields, *[StructField(f"{w}_{n}", rows.schema[f"_v_{n}"].dataType) for w in windows for n in values],
+                         StructField(PART, IntegerType()), StructField("_edge", BooleanType())])
+    fields = list(values)
+    # a value of a key's rows before each, whole numbers of any size
+    plain = {n: t == "bigint" for n, t in types.items()}
+
+    def sums(table: pa.Table) -> dict[str, np.ndarray]:
+        """Of the rows of whole keys, in order."""
+        at = table.column("_us")
+        none = at.null_count and at.is_null().to_numpy()
+        times = at.fill_null(0).to_numpy()
+        keys = table.column(key)
+        starts = _starts(keys)
+        out = {}
+        before = {}
+        for n in fields:
+            v = table.column(f"_v_{n}")
+            v = v.to_numpy() if plain[n] else np.array([int(x) for x in v.to_pylist()], object)
+            before[n] = np.concatenate([np.zeros(1, v.dtype), np.cumsum(v)])
+        ends = [*starts[1:], len(times)]
+        begins = starts if not at.null_count else [a + int(none[a:b].sum()) for a, b in zip(starts, ends)]  # rows without a time come first
+        for w, seconds in windows.items():
+            first = np.concatenate([np.zeros(0, np.int64), *[
+                np.concatenate([np.arange(a, m), m + np.searchsorted(times[m:b], times[m:b] - seconds * MICRO, side="right")]) for a, m, b in zip(starts, begins, ends)]])
+            for n in fields:
+                out[f"{w}_{n}"] = before[n][:-1] - before[n][first]
+        return out
+
+    def answered(table: pa.Table, part: int, edge: bool) -> Iterator[pa.RecordBatch]:
+        found = sums(table)
+        for w in names:
+            n = next(v for v in fields if w.endswith(f"_{v}"))
+            column = pa.array(found[w]) if plain[n] else pa.array([Decimal(int(x)) for x in found[w]], pa.decimal128(38, 0))
+            table = table.append_column(w, column)
+        table = table.append_column(PART, pa.array(np.full(len(table), part, np.int32))).append_column("_edge", pa.array(np.full(len(table), edge)))
+        yield from table.combine_chunks().to_batches()
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, first = TaskContext.get().partitionId(), [], True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            starts = _starts(pa.chunked_array([x.column(key) for x in held]))
+            if len(starts) == 1:
+                continue  # one key, perhaps with more rows to come
+            table = pa.Table.from_batches(held).combine_chunks()
+            cuts = [0, starts[1], starts[-1]] if first else [0, starts[-1]]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin < end:
+                    yield from answered(table.slice(begin, end - begin).combine_chunks(), part, first)
+                first = False
+            held = table.slice(starts[-1]).combine_chunks().to_batches()
+        if held:
+            yield from answered(pa.Table.from_batches(held).combine_chunks(), part, True)
+
+    by = [key, "_us", order]
+    placed = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(local, schema))
+    across = placed.where("_edge").groupBy(F.col(key).alias("_key")).agg(F.min(PART).alias("_a"), F.max(PART).alias("_b")).where("_a < _b").select("_key")
+    inner = placed.select(*df.columns, *names)
+    if across.isEmpty():
+        return inner
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    wide = placed.join(across, same, "left_semi")
+    more = _across(wide.select(*df.columns, *[f"_v_{n}" for n in values]), key, ts, order, windows, {n: F.col(f"_v_{n}") for n in values})
+    return inner.join(across, same, "left_anti").unionByName(more.select(*inner.columns))
+
+
+def _starts(keys: pa.ChunkedArray) -> list[int]:
+    """Where a new key begins in a sorted column; nulls are equal to each other."""
+    keys = keys.combine_chunks()
+    if isinstance(keys, pa.ChunkedArray):
+        keys = keys.chunk(0)
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+    return [0, *(np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1).tolist()]
+
+
+def _across(df: DataFrame, key: str, ts: str, order: str, windows: dict[str, int], values: dict[str, Column]) -> DataFrame:
+    """``trailing_sums`` by one balanced prefix scan over rows and, for each window of a row, a probe at the moment it begins."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
     row = F.struct(*[F.col(c) for c in df.columns])
     kinds = list(windows)
     own = F.struct(us.alias("at"), F.lit(0).alias("kind"), F.col(order).alias("ord"), row.alias("row"),

@@ -117,7 +117,20 @@ def test_timing_of_long_even_gaps(spark):
         assert abs(got[i] - (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean) < 1e-13
 
 
-def test_trailing_counts_and_timing_equal_direct_counting(log):
+@pytest.mark.parametrize("chunks", [1, 20])
+def test_trailing_counts_and_timing_equal_direct_counting(spark, log, chunks):
+    """In one chunk, and in so many that the hot requester lies in most of them."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(chunks))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        counted(log)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def counted(log):
     rows, df = log
     windows = {"s": 1, "m": 60, "d": 86400}
     got = {r["event_id"]: tuple(r[w] for w in windows) for r in N.trailing_counts(df, "requester", "ts", "event_id", windows).collect()}
