@@ -253,13 +253,14 @@ def ttl_dedupe(df: DataFrame, key: str, ts: str, order: str, ttl_seconds: float
 class AdmissionState:
     """What admission control remembers about one requester."""
 
-    __slots__ = ("history", "restricted_until", "flags", "blacklisted")
+    __slots__ = ("history", "restricted_until", "flags", "blacklisted", "flagged")
 
     def __init__(self):
         self.history: deque = deque()
         self.restricted_until = float("-inf")
         self.flags: deque = deque()
         self.blacklisted = False
+        self.flagged = False  # by the last decision
 
 
 def _recent(history: deque, now: float, seconds: float) -> int:
@@ -279,8 +280,8 @@ def _even_gaps(history: deque, max_cv: float) -> bool:
     return mean > 0 and (var ** 0.5) / mean < max_cv
 
 
-#: marks of decisions after which the requester is restricted or blacklisted
-RESTRICTS, BLACKLISTS = "+restrict", "+blacklist"
+#: marks of decisions that found a suspicious pattern, or after which the requester is restricted or blacklisted
+FLAGS, RESTRICTS, BLACKLISTS = "+flag", "+restrict", "+blacklist"
 
 
 def admission_step(limits=None, patterns=None, timing=(D.TIMING_MIN_REQUESTS, D.TIMING_MAX_CV)):
@@ -299,13 +300,14 @@ def admission_step(limits=None, patterns=None, timing=(D.TIMING_MIN_REQUESTS, D.
         s, verdict = judged(s, now)
         if verdict in ("blacklisted", "restricted"):
             return s, verdict
-        return s, verdict + (RESTRICTS if now < s.restricted_until else "") + (BLACKLISTS if s.blacklisted else "")
+        return s, verdict + (FLAGS if s.flagged else "") + (RESTRICTS if now < s.restricted_until else "") + (BLACKLISTS if s.blacklisted else "")
 
     def judged(s: AdmissionState, now: float) -> tuple[AdmissionState, str]:
         if s.blacklisted:
             return s, "blacklisted"
         if now < s.restricted_until:
             return s, "restricted"
+        s.flagged = False
         while s.history and now - s.history[0] >= day:
             s.history.popleft()
         while s.flags and now - s.flags[0] >= 300:
@@ -313,6 +315,7 @@ def admission_step(limits=None, patterns=None, timing=(D.TIMING_MIN_REQUESTS, D.
 
         def flag(penalty: float, needed: int) -> None:
             s.flags.append(now)
+            s.flagged = True
             if len(s.flags) >= needed:
                 s.restricted_until = now + penalty
 
@@ -324,7 +327,7 @@ def admission_step(limits=None, patterns=None, timing=(D.TIMING_MIN_REQUESTS, D.
             flag(600, 3)
         if _recent(s.history, now, patterns["hourly"][1]) >= patterns["hourly"][0]:
             s.flags.append(now)
-            s.blacklisted = True
+            s.flagged = s.blacklisted = True
         for name, requests, window, penalty in limits:
             if _recent(s.history, now, window) >= requests:
                 s.restricted_until = now + penalty
@@ -340,8 +343,9 @@ def admission(df: DataFrame, key: str, ts: str, order: str, limits=None, pattern
 
     All state but the blacklist is gone after an idle time longer than the widest
     window and the longest penalty, so requesters split there; a blacklisting
-    then overrides every later stretch of the requester. ``restricts`` and
-    ``blacklists`` tell whether the request left the requester in that state.
+    then overrides every later stretch of the requester. ``flags`` tells whether the
+    request showed a suspicious pattern, ``restricts`` and ``blacklists`` whether it
+    left the requester in that state.
     """
     limits = limits or D.REQUEST_LIMITS
     idle = max([max(w, p) for _, _, w, p in limits] + [600])
@@ -352,17 +356,17 @@ def admission(df: DataFrame, key: str, ts: str, order: str, limits=None, pattern
     first = decided.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(black, F.col("session"))).alias("_from"))
     later = F.coalesce(F.col("session") > F.col("_from"), F.lit(False))
     out = decided.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return out.withColumn("restricts", ~later & F.col("decision").contains(RESTRICTS)).withColumn("blacklists", ~later & black).withColumn(
+    return out.withColumn("flags", ~later & F.col("decision").contains(FLAGS)).withColumn("restricts", ~later & F.col("decision").contains(RESTRICTS)).withColumn("blacklists", ~later & black).withColumn(
         "decision", F.when(later, "blacklisted").otherwise(F.regexp_replace("decision", r"\+.*$", ""))).drop("_from", "_key", "session")
 
 
 def limiter_stats(decided: DataFrame, key: str) -> DataFrame:
-    """Requesters seen, blacklisted, restricted at least once (their last request may have done it)."""
+    """Requesters seen, blacklisted, restricted and suspicious at least once (their last request may have done it)."""
     per = decided.groupBy(key).agg(
         F.max((F.col("decision") == "blacklisted") | F.col("blacklists")).alias("b"),
         F.max((F.col("decision") == "restricted") | F.col("restricts")).alias("g"),
-        F.max(F.col("decision") == "admitted").alias("a"))
-    return per.agg(F.count_if("a").alias("active"), F.count_if("b").alias("blacklisted"),
+        F.max(F.col("decision") == "admitted").alias("a"), F.max("flags").alias("s"))
+    return per.agg(F.count_if("s").alias("suspicious"), F.count_if("a").alias("active"), F.count_if("b").alias("blacklisted"),
                    F.count_if("g").alias("restricted"), F.count("*").alias("requesters"))
 
 

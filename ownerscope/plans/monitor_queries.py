@@ -81,23 +81,62 @@ def sliding_limit(spark, sf):
     return N.sliding_limit(view(spark, sf, "v_request"), "requester", "ts", "event_id", 3, 21600).select("requester", "event_id", "decision")
 
 
-@query("admission_control")
+def _admission_ctes() -> str:
+    """The decisions request by request: history and flags travel in lists, times in microseconds; ``fold`` has them all."""
+    us = lambda seconds: int(seconds * 1_000_000)
+    recent = lambda seconds: f"len(list_filter(h, lambda t: us - t < {us(seconds)}))"
+    limit = "case " + " ".join(f"when {recent(w)} >= {n} then '{name}'" for name, n, w, _ in LIMITS) + " end"
+    penalty = "case verdict " + " ".join(f"when '{name}' then {us(p)}" for name, _, _, p in LIMITS) + " end"
+    even = f"list_aggregate(gaps, 'avg') > 0 and list_aggregate(gaps, 'stddev_pop') / list_aggregate(gaps, 'avg') < {D.TIMING_MAX_CV}"
+    return f"""with recursive v_request as (select user_id as requester, event_id, ts from events),
+o as (select requester, event_id, epoch_us(ts) as us, row_number() over (partition by requester order by ts, event_id) as rn from v_request),
+fold as (select distinct requester, cast(null as bigint) as event_id, cast(0 as bigint) as rn, cast([] as bigint[]) as history, cast(0 as bigint) as until, cast([] as bigint[]) as flags,
+    false as black, '' as decision, false as flagged, false as restricts, false as blacklists from o
+  union all select requester, event_id, rn, case when open and verdict is null then list_append(h, us) when open then h else history end,
+    case when open then case when verdict is not null then us + {penalty} when timing and n3 >= 3 then us + {us(600)} when rapid then us + {us(300)} when burst and n1 >= 2 then us + {us(60)} else until end else until end,
+    case when open then list_concat(f, list_transform(range(0, n3 + hourly::int - len(f)), lambda i: us)) else flags end,
+    black or (open and hourly), case when black then 'blacklisted' when not open then 'restricted' else coalesce(verdict, 'admitted') end,
+    open and (burst or rapid or timing or hourly),
+    open and us < case when verdict is not null then us + {penalty} when timing and n3 >= 3 then us + {us(600)} when rapid then us + {us(300)} when burst and n1 >= 2 then us + {us(60)} else until end,
+    open and hourly
+  from (select *, len(f) + burst::int as n1, len(f) + burst::int + rapid::int + timing::int as n3 from
+    (select *, {recent(PATTERNS['burst'][1])} >= {PATTERNS['burst'][0]} as burst, {recent(PATTERNS['rapid'][1])} >= {PATTERNS['rapid'][0]} as rapid,
+      len(h) > {D.TIMING_MIN_REQUESTS} and coalesce({even}, false) as timing, {recent(PATTERNS['hourly'][1])} >= {PATTERNS['hourly'][0]} as hourly, {limit} as verdict from
+      (select *, list_transform(range(1, len(h)), lambda i: h[i + 1] - h[i]) as gaps from
+        (select o.requester, o.event_id, o.rn, o.us, history, until, flags, black, not black and o.us >= until as open,
+          list_filter(history, lambda t: o.us - t < {us(max(w for _, _, w, _ in LIMITS))}) as h, list_filter(flags, lambda t: o.us - t < {us(300)}) as f
+         from fold join o on o.requester = fold.requester and o.rn = fold.rn + 1) a) b) c) d)"""
+
+
+@query("admission_control", f"{_admission_ctes()} select requester, event_id, decision from fold where rn > 0")
 def admission_control(spark, sf):
     """Tiered admission decisions over the whole request log."""
     return N.admission(view(spark, sf, "v_request"), "requester", "ts", "event_id", LIMITS, PATTERNS).select(
         "requester", "event_id", "decision")
 
 
-@query("limiter_stats")
+@query("limiter_stats", f"""{_admission_ctes()}, per as (select requester, max(decision = 'admitted') as a, max(decision = 'blacklisted' or blacklists) as b,
+  max(decision = 'restricted' or restricts) as g, max(flagged) as s from fold where rn > 0 group by requester)
+select count_if(s) as suspicious, count_if(a) as active, count_if(b) as blacklisted, count_if(g) as restricted, count(*) as requesters from per""")
 def limiter_stats(spark, sf):
     return N.limiter_stats(N.admission(view(spark, sf, "v_request"), "requester", "ts", "event_id", LIMITS, PATTERNS), "requester")
 
 
-@query("source_health")
+_HEALTH_TIERS = {k: (n, r * 60) for k, (n, r) in D.SOURCE_TIERS.items()}
+_THRESHOLD = "case source " + " ".join(f"when '{k}' then {n}" for k, (n, _) in _HEALTH_TIERS.items()) + " else 5 end"
+_RECOVERY = "case source " + " ".join(f"when '{k}' then {r * 1_000_000}" for k, (_, r) in _HEALTH_TIERS.items()) + " else 60000000 end"
+
+
+@query("source_health", f"""{cte('v_fetch').replace('with ', 'with recursive ', 1)},
+o as (select source, event_id, ok, epoch_us(ts) as us, row_number() over (partition by source order by ts, event_id) as rn, {_THRESHOLD} as threshold, {_RECOVERY} as recovery from v_fetch),
+fold as (select distinct source, cast(null as bigint) as event_id, false as ok, cast(0 as bigint) as rn, 0 as failures, cast(0 as bigint) as last, 'CLOSED' as state from o
+  union all select o.source, o.event_id, o.ok, o.rn, case when blocked then failures when o.ok then 0 else failures + 1 end, case when blocked or o.ok then last else us end,
+    case when blocked then 'OPEN' when o.ok then 'CLOSED' when failures + 1 >= threshold then 'OPEN' when state = 'OPEN' then 'HALF_OPEN' else state end
+  from fold join o on o.source = fold.source and o.rn = fold.rn + 1, lateral (select fold.state = 'OPEN' and o.us - fold.last <= o.recovery as blocked) x)
+select source, event_id, ok, state from fold where rn > 0""")
 def source_health(spark, sf):
     """Circuit state after each call of the fetch log."""
-    return N.source_health(view(spark, sf, "v_fetch"), tiers={k: (n, r * 60) for k, (n, r) in D.SOURCE_TIERS.items()}).select(
-        "source", "event_id", "ok", "state")
+    return N.source_health(view(spark, sf, "v_fetch"), tiers=_HEALTH_TIERS).select("source", "event_id", "ok", "state")
 
 
 @query("ttl_deduplicated", """with recursive o as (select user_id as requester, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
