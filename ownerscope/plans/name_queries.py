@@ -248,8 +248,30 @@ def kb_upsert(spark, sf):
     return out.select("id", "name", "ticker", "industry", "normalized_name", F.col("last_updated").isNotNull().alias("updated"))
 
 
-@query("part_name_search")
+def _part_search_sql(threshold: float) -> str:
+    """All pairs, cut by a bound from lengths and tokens before the edit ratios; the windowed ratio counts as 1 there, the bonus as given."""
+    side = lambda source, text: f"""(select *, lower(trim({text})) as l, array_to_string(list_sort({Q.tokens(text)}), ' ') as sorted,
+      list_distinct({Q.tokens(text)}) as d, case when len(list_filter(list_distinct({Q.tokens(text)}), lambda x: not list_contains({Q.list_of(D.STOP_WORDS)}, x))) > 0
+        then list_filter(list_distinct({Q.tokens(text)}), lambda x: not list_contains({Q.list_of(D.STOP_WORDS)}, x)) else list_distinct({Q.tokens(text)}) end as e from {source})"""
+    share = lambda x, y: f"least(length({x}), length({y}))::double / greatest(length({x}), length({y}), 1)"
+    return f"""{cte('v_name')}, c as ({_COMPANY}),
+t as (select id, 0 as sub, name as text, 'name' as kind, 1.0::double as boost from c union all select id, 1, alias_a, 'alias', 0.9::double from c
+  union all select id, 2, alias_b, 'alias', 0.9::double from c),
+cand as (select cast(id as varchar) as company_id, text, kind, boost, id::bigint * 4294967296 + sub as ord, n as b from {Q.normalized('t', 'text', 'n')} x),
+q as (select distinct p_name as query, n as a from {Q.normalized('part', 'p_name', 'n')} z),
+near as (select query, company_id, text, kind, boost, ord, a, b from
+  (select q.*, cand.* exclude (l, sorted, d, e), q.e as qe, cand.e as ce from {side('q', 'a')} q join {side('cand', 'b')} cand
+   on (0.2 * {share('q.l', 'cand.l')} + 0.2 + 0.3 * {share('q.sorted', 'cand.sorted')} + 0.4) * boost >= {threshold} - 1e-9
+   and (0.2 * {share('q.l', 'cand.l')} + 0.3 + 0.3 * {share('q.sorted', 'cand.sorted')} + 0.3 * len(list_intersect(q.e, cand.e)) / greatest(len(list_distinct(list_concat(q.e, cand.e))), 1)) * boost >= {threshold} - 1e-9) y),
+{Q.pair_ctes('near')},
+sc as (select query, company_id, text, kind, ord, least(1e0, name_ratio + bonus) * boost as score from p5),
+best as (select * from sc where score >= {threshold} qualify row_number() over (partition by query, company_id order by score desc, ord) = 1)
+select query, cast(1 as integer) as rank, company_id, round(score, 9) as score, kind as match_type, text as matched_text from best
+qualify row_number() over (partition by query order by score desc, ord) = 1"""
+
+
+@query("part_name_search", _part_search_sql(0.8))
 def part_name_search(spark, sf):
     """Fuzzy join of two table-sized sides: order-entry spellings against the part KB."""
     names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("query"))
-    return K.fuzzy_search(names, part_kb(spark, sf), limit=1, threshold=0.8, tickers=False)
+    return K.fuzzy_search(names, part_kb(spark, sf), limit=1, threshold=0.8, tickers=False).withColumn("score", F.round("score", 9))
