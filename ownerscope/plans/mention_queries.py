@@ -249,7 +249,14 @@ def enriched_document_confidence(spark, sf):
     return M.enhanced_confidence(_enriched(spark, sf), ["doc_id"]).withColumn("confidence", F.round("confidence", 9))
 
 
-@query("entity_cards")
+_KB_ROWS = "(values " + ", ".join("(" + ", ".join(Q.s(x) for x in (c[0], c[3], c[4], c[5])) + ")" for c in D.KB_COMPANIES) + ") kb(kb_company, ticker, exchange, industry)"
+
+
+@query("entity_cards", f"""{_enriched_sql()}
+select en.text as title, case when en.type in ('company', 'company_intl') and n <> en.text then n end as base,
+  concat_ws(' | ', ticker || coalesce(' (' || exchange || ')', ''), industry) as listing, cast(floor(en.confidence * 100 + 0.5) as integer) as confidence_pct,
+  en.kb_company is not null as verified
+from en join st on st.doc_id = en.doc_id and st.ord = en.ord left join {_KB_ROWS} on kb.kb_company = en.kb_company""")
 def entity_cards(spark, sf):
     kb = K.shipped_kb(spark).select(F.col("id").alias("kb_company"), "ticker", "exchange", "industry")
     rows = _enriched(spark, sf)
