@@ -59,25 +59,27 @@ def _decoded(expr: str) -> str:
 
 
 def _element_ctes(tags=_TAGS) -> str:
-    """The last table, ``el``, has the elements of some tags: page_id, url, tag, ord, class, text."""
+    """The last table, ``el``, has the elements of some tags (all, for none): page_id, url, elem_id, tag, ord, class, token, text."""
+    wanted = lambda column, more=(): f"{column} in {some({*tags, *more})}" if tags else "true"
     some = lambda names: Q.strings(sorted(names))
     return f"""{_PAGE},
 tk as (select page_id, k, token, not regexp_matches(token, {Q.rx(G.MARKUP)}) as is_text,
   lower(regexp_extract(token, {Q.rx(G.NAME)}, 1)) as tag_name from
   (select page_id, unnest(l) as token, unnest(range(0, len(l))) as k from (select page_id, regexp_extract_all(html, {Q.rx(G.TOKEN)}) as l from v_page) x) y),
 pt as (select page_id, string_agg({_decoded('token')}, '' order by k) as page_text from tk where is_text group by page_id),
-o1 as (select *, case when is_text or tag_name = '' or tag_name in {some(P.VOID | P.HIDDEN)} then 0 when token like '</%' then -1 else 1 end as step,
+o1 as (select *, count(*) filter (not is_text and tag_name <> '' and token not like '</%') over (partition by page_id order by k rows unbounded preceding) - 1 as elem_id,
+  case when is_text or tag_name = '' or tag_name in {some(P.VOID | P.HIDDEN)} then 0 when token like '</%' then -1 else 1 end as step,
   coalesce(sum(case when is_text then length({_decoded('token')}) else 0 end) over (partition by page_id order by k rows between unbounded preceding and 1 preceding), 0) as off from tk),
-fa as (select page_id, k, token, off, step, tag_name as family, step = 1 as begins from o1 where step <> 0 and tag_name in {some({'p', *tags})}
-  union all select page_id, k, token, off, step, 'p', false from o1 where tag_name <> 'p' and (step = 1 and tag_name in {some(G.STARTS_P)} or step = -1 and tag_name in {some(G.ENDS_P)})),
+fa as (select page_id, k, elem_id, token, off, step, tag_name as family, step = 1 as begins from o1 where step <> 0 and {wanted('tag_name', ('p',))}
+  union all select page_id, k, elem_id, token, off, step, 'p', false from o1 where tag_name <> 'p' and (step = 1 and tag_name in {some(G.STARTS_P)} or step = -1 and tag_name in {some(G.ENDS_P)})),
 de as (select *, sum(step) over w as depth, sum(begins::int) over w - 1 as ord from fa window w as (partition by page_id, family order by k rows unbounded preceding)),
 le as (select *, lead(off, 1, 1000000000000) over l as fin, lead(k, 1, 1000000000000) over l as final from de
   window l as (partition by page_id, family, case when family = 'p' then 0 when step = 1 then depth else depth + 1 end order by k)),
 lp as (select *, last_value(case when family = 'p' and begins then fin end ignore nulls) over w as p_fin, last_value(case when family = 'p' and begins then final end ignore nulls) over w as p_final
   from le window w as (partition by page_id order by k rows unbounded preceding)),
-el as (select page_id, url, family as tag, ord, regexp_extract(token, {Q.rx(G.CLASS)}, 1) as class,
+el as (select page_id, url, elem_id, family as tag, ord, token, regexp_extract(token, {Q.rx(G.CLASS)}, 1) as class,
   coalesce(substr(page_text, (off + 1)::bigint, (least(fin, case when p_final > k then p_fin else fin end, length(page_text)) - off)::bigint), '') as text
-  from lp join v_page using (page_id) left join pt using (page_id) where begins and family in {some(tags)})"""
+  from lp join v_page using (page_id) left join pt using (page_id) where begins and {wanted('family')})"""
 
 
 _ELEMENTS = _element_ctes()
@@ -286,12 +288,25 @@ def site_candidate_elements(spark, sf):
     return out.withColumn("position", order)
 
 
-@query("site_element_tickers")
+def _attr(name: str) -> str:
+    return f"nullif(regexp_extract(token, {Q.rx('[ ]' + name + '[ ]*=[ ]*\"([^\"]*)\"')}, 1), '')"
+
+
+_SITE_TICKERS = f"""{_element_ctes(())}, st as (select page_id, url, {_SITE} as site, elem_id, upper(case {_SITE}
+  when 'yahoo' then coalesce({_attr('data-symbol')}, {_group(_attr('href'), '/quote/([A-Z]{1,5})')}, {_group('text', r'([A-Z]{1,5})[ ]*[+-][0-9]+[.][0-9]+%')})
+  when 'bloomberg' then case when regexp_matches(text, {Q.rx(_FULL)}) then {_group('text', _FULL)} when regexp_matches(text, {Q.rx(_SHORT)}) then {_group('text', _SHORT)}
+    when regexp_matches(text, {Q.rx(_ISIN)}) then {_group('text', _ISIN)} end
+  when 'marketwatch' then coalesce({_attr('data-ticker')}, {_attr('data-symbol')}, {_group(_attr('href'), '/investing/stock/([A-Z]{1,5})')}, {_group('text', _BRACKET)}, {_group('text', _CHANGE)},
+    case when tag = 'bg-quote' then coalesce({_attr('symbol')}, {_attr('channel')}) end) end) as ticker from el)"""
+
+
+@query("site_element_tickers", f"{_SITE_TICKERS} select page_id, site, cast(elem_id as integer) as elem_id, ticker from st where ticker is not null")
 def site_element_tickers(spark, sf):
     return X.site_tickers(_site_elements(spark, sf)).select("page_id", "site", "elem_id", "ticker")
 
 
-@query("related_tickers")
+@query("related_tickers", f"""{_SITE_TICKERS}, pr as (select page_id, {_group(_PATH, '/quote/([A-Z]{1,5})')} as primary_ticker, ticker from st where ticker is not null)
+select page_id, primary_ticker as primary, coalesce(list_sort(list(distinct ticker) filter (primary_ticker is null or ticker <> primary_ticker)), []) as related from pr group by page_id, primary_ticker""")
 def related_tickers(spark, sf):
     return X.related_tickers(X.site_tickers(_site_elements(spark, sf)))
 
