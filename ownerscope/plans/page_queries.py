@@ -332,7 +332,55 @@ def page_quotes(spark, sf):
     return X.latest_quotes(_elements(spark, sf))
 
 
-@query("page_metadata")
+def _attr_value(name: str) -> str:
+    return f"regexp_extract(token, {Q.rx('[ ]' + name + '[ ]*=[ ]*\"([^\"]*)\"')}, 1)"
+
+
+def _matches(selector: tuple) -> str:
+    """An element (tag, class, token) matches a selector itself."""
+    tag, cls, attr, part = selector
+    tests = [f"tag = '{tag}'"] * bool(tag) + [f"list_contains(string_split_regex(class, '[ ]+'), '{cls}')"] * bool(cls)
+    if attr:
+        tests.append(f"regexp_matches(token, {Q.rx('[ ]' + attr + '[ ]*=')})" if not part else
+                     f"{_attr_value(attr)} = '{part}'" if attr in P.EXACT_ATTRS else f"contains({_attr_value(attr)}, '{part}')")
+    return "(" + " and ".join(tests) + ")"
+
+
+def _matches_any(selectors: list[tuple]) -> str:
+    return "(" + " or ".join(_matches(x) for x in selectors) + ")"
+
+
+#: ``ae`` has all elements of the four sites' pages, ``up`` each of them with itself and its ancestors: intervals that contain its own
+_TREE = f"""{_element_ctes(())},
+ae as (select *, {_SITE} as site from (
+  select page_id, url, k, elem_id, family as tag, token, regexp_extract(token, {Q.rx(G.CLASS)}, 1) as class, least(final, case when p_final > k then p_final else final end) as final,
+    coalesce(substr(page_text, (off + 1)::bigint, (least(fin, case when p_final > k then p_fin else fin end, length(page_text)) - off)::bigint), '') as text
+  from lp join v_page using (page_id) left join pt using (page_id) where begins
+  union all select page_id, url, k, elem_id, tag_name, token, regexp_extract(token, {Q.rx(G.CLASS)}, 1), k, '' from o1 join v_page using (page_id)
+  where step = 0 and not is_text and tag_name <> '' and token not like '</%') z where {_SITE} is not null),
+up as (select e.k as ek, e.elem_id as own_id, e.tag as own_tag, e.text as own_text, o.* from ae e join ae o on o.page_id = e.page_id and (o.k = e.k or (o.k < e.k and o.final > e.k and o.final >= e.final)))"""
+
+
+def _positions_sql() -> str:
+    inner = "".join(f", bool_or(site = '{site}' and {_matches_any(sel)}) as s{i}_{j}" for i, (site, st) in enumerate(D.SITE_STRUCTURE.items()) for j, sel in enumerate(st.values()))
+    names = [f"case when s{i}_{j} then '{name}' end" for i, st in enumerate(D.SITE_STRUCTURE.values()) for j, name in enumerate(st)]
+    quote = _matches_any([("blockquote", None, None, None), ("q", None, None, None), (None, "quote", None, None)])
+    return f"""{_TREE},
+pa as (select page_id, ek, max(k) filter (tag = 'article') as article from up where own_tag = 'p' group by page_id, ek having max(k) filter (tag = 'article') is not null),
+p1 as (select page_id, min(ek) as k from pa group by page_id, article),
+el2 as (select up.page_id, own_id, own_tag, own_text, bool_or(tag = 'h1') as h1, bool_or(tag = 'h2') as h2, bool_or(tag = 'h3') as h3, bool_or(p1.k is not null) as first_p,
+  bool_or({quote}) as quoted{inner} from up left join p1 on p1.page_id = up.page_id and p1.k = up.k group by up.page_id, own_id, own_tag, own_text)
+select page_id, cast(own_id as integer) as elem_id, own_tag as tag, array_to_string(list_filter([case when h1 then 'h1' when h2 then 'h2' when h3 then 'h3' end, {", ".join(names)},
+  case when first_p then 'firstParagraph' end, case when quoted or regexp_matches(own_text, '".*"') then 'quote' end], lambda x: x is not null), '|') as positions from el2"""
+
+
+_AUTHOR = "(" + " or ".join(f"(site = '{s}' and {_matches_any(st['metadata'])})" for s, st in D.SITE_STRUCTURE.items()) + ")"
+
+
+@query("page_metadata", f"""{_TREE}, ia as (select ae.* from ae where exists (select 1 from up where up.page_id = ae.page_id and up.ek = ae.k and up.tag = 'article')),
+se as (select *, coalesce(nullif({_attr_value('data-section')}, ''), nullif(regexp_extract(class, 'section-(\\w+)', 1), '')) as section_name from ia)
+select page_id, arg_min(coalesce(nullif({_attr_value('datetime')}, ''), text), elem_id) filter (tag = 'time') as publish_date,
+  arg_min(trim(text), elem_id) filter ({_AUTHOR}) as author, arg_min(section_name, elem_id) filter (section_name is not null) as section from se group by page_id""")
 def page_metadata(spark, sf):
     return X.page_metadata(_elements(spark, sf))
 
@@ -352,7 +400,7 @@ def surrounding_clues(spark, sf):
     return X.surrounding_clues(e)
 
 
-@query("structural_positions")
+@query("structural_positions", _positions_sql())
 def structural_positions(spark, sf):
     e = _site_elements(spark, sf)
     return e.select("page_id", "elem_id", "tag", F.array_join(X.positions(F.col("site")), "|").alias("positions"))
