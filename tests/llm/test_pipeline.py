@@ -1,6 +1,9 @@
 """The pipeline's stages against plain versions, one after the other."""
 
+import pathlib
+
 import corpus_pipeline
+from ownerscope.session import checkpoint_dir
 
 import brute
 
@@ -38,3 +41,25 @@ def test_stages(spark, docs, texts, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_intermediate_tables_go(spark, sf):
+    """Each stage deletes what the one before left, and nothing is left after the run."""
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file://"))
+    corpus_pipeline.clear(spark)
+    before = set(folder.glob("llm-*"))
+    corpus_pipeline.run(spark, sf)
+    assert set(folder.glob("llm-*")) == before
+
+
+def test_stages_at_the_edges(spark):
+    """Empty table, null ids and texts, columns with the names that operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc string, tag int, digest string"
+    prose = " ".join(f"word{i} other{i % 7}" for i in range(60))
+    some = [(1, prose, "en", "s", 1, "x", 1, "y"), (None, prose + " more", "en", "s", 1, "x", 1, "y"), (3, None, "en", "s", 1, "x", 1, "y"), (4, "", None, None, None, None, None, None)]
+    for rows_, least in (([], 0), (some, 1)):
+        docs = spark.createDataFrame(rows_, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= least
