@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[list[str]] = []  # of each open ``recording``, the tables written meanwhile
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of the intermediate tables that are written within the block."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the cluster's shared checkpoint folder and read back: cuts the lineage and survives lost executors."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"llm-{uuid.uuid4().hex}")
+    for made in _MADE:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
