@@ -15,7 +15,7 @@ def by_id(df, *columns):
 
 
 def test_simhash(docs, texts):
-    for errors, words, capacity in ((2, 3, 2048), (2, 3, 4), (5, 1, 8), (0, 3, 16), (1, 2, 1)):
+    for errors, words, capacity in ((2, 3, 4), (5, 1, 2048), (0, 3, 16)):
         got = by_id(simhash.near_copies(docs, errors, words, capacity), "fingerprint", "component_id")
         assert got == brute.simhash(texts, errors, words), (errors, words, capacity)
 
