@@ -285,10 +285,11 @@ MARKET = SourceSpec("", "market", _pairs, assigned=True)  # market fields come w
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """``ord`` as a pair that compares numbers as numbers and texts as texts, whatever the feed has."""
-    text = rows.schema["ord"].dataType.typeName() in ("string", "varchar", "char")
-    number = F.lit(None).cast("decimal(38,6)") if text else F.col("ord").cast("decimal(38,6)")
-    return rows.withColumn("ord", F.struct(number.alias("n"), (F.col("ord") if text else F.lit(None)).cast("string").alias("s")))
+    """``ord`` as a struct that compares numbers as numbers and texts as texts, whatever the feed has."""
+    kind = rows.schema["ord"].dataType.typeName()
+    place = "s" if kind in ("string", "varchar", "char") else "n" if kind in ("byte", "short", "integer", "long") else "d"
+    own = {"n": "bigint", "d": "double", "s": "string"}
+    return rows.withColumn("ord", F.struct(*[(F.col("ord") if c == place else F.lit(None)).cast(t).alias(c) for c, t in own.items()]))
 
 
 def tagged_rows(feeds: dict[str, DataFrame], market: DataFrame | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def trailing_sums(df: DataFrame, key: str, ts: str, order: str, windows: dict[st
     rows = df.select("*", us.alias("_us"), *[F.coalesce(v, F.lit(0)).cast(types[n]).alias(f"_v_{n}") for n, v in values.items()])
     schema = StructType([*rows.schema.fields, *[StructField(f"{w}_{n}", rows.schema[f"_v_{n}"].dataType) for w in windows for n in values],
                          StructField(PART, IntegerType()), StructField("_edge", BooleanType())])
-    fields = list(values)
+    fields, widest = list(values), max(windows.values()) * MICRO
     # a value of a key's rows before each, whole numbers of any size
     plain = {n: t == "bigint" for n, t in types.items()}
 
@@ -54,9 +54,17 @@ def trailing_sums(df: DataFrame, key: str, ts: str, order: str, windows: dict[st
             before[n] = np.concatenate([np.zeros(1, v.dtype), np.cumsum(v)])
         ends = [*starts[1:], len(times)]
         begins = starts if not at.null_count else [a + int(none[a:b].sum()) for a, b in zip(starts, ends)]  # rows without a time come first
+        # all keys on one line, further apart than the widest window, where the numbers allow it
+        span, line = int(times.max() - times.min()) + widest + 1, None
+        if not at.null_count and len(starts) * span < 1 << 62:
+            line = np.repeat(np.arange(len(starts)), np.diff([*starts, len(times)])) * span + (times - times.min())
         for w, seconds in windows.items():
-            first = np.concatenate([np.zeros(0, np.int64), *[
-                np.concatenate([np.arange(a, m), m + np.searchsorted(times[m:b], times[m:b] - seconds * MICRO, side="right")]) for a, m, b in zip(starts, begins, ends)]])
+            if line is not None:
+                first = np.searchsorted(line, line - seconds * MICRO, side="right")
+            else:
+                first = np.concatenate([np.zeros(0, np.int64), *[
+                    np.concatenate([np.arange(a, m), m + np.searchsorted(times[m:b], times[m:b] - seconds * MICRO, side="right")])
+                    for a, m, b in zip(starts, begins, ends)]])
             for n in fields:
                 out[f"{w}_{n}"] = before[n][:-1] - before[n][first]
         return out
