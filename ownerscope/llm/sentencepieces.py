@@ -28,6 +28,7 @@ from ownerscope.llm.common import slices
 
 MARK = "▁"
 REMEMBERED = 500_000
+TAIL = ".,;:!?*&%$#|"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -54,6 +55,13 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.fit: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.raw = [m.id_to_piece(i).encode() if i in self.text else bytes([self.of_byte[i]]) if i in self.of_byte else b"" for i in range(size)]
+        self.endings = {t[k:] for t in self.id for k in range(len(t))}
+        #: neighbours inside some piece: nothing merges over a boundary between others
+        self.joined = {pair for t in self.id for pair in zip(t, t[1:])}
+        ascii_ = "".join(map(chr, range(32, 127)))
+        self.plain = m.normalize(ascii_) == MARK + ascii_.replace(" ", MARK)  # whether plain text is left as it is
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merges of neighbours by score, the leftmost first among equals; for pairs of pieces, so always short."""
@@ -108,7 +116,32 @@ class Pieces:
                     base = boundary
         yield from self._back(last, base, n)
 
-    def _back(self, last: dict[int, str], base: int, end: int) -> list[int]:
+    def within(self, text: str) -> list[int]:
+        """Ids of a text that fits the window: the same lattice without boundaries to commit.
+
+        A prefix has one encoding only, so the pieces that end it may be tried from the shortest on, until none ends like that.
+        """
+        last: list[str | None] = [None] * (len(text) + 1)
+        last[0] = ""
+        score, endings, fit = self.score, self.endings, self.fit
+        for n, symbol in enumerate(text, 1):
+            if symbol not in score:
+                last[n] = symbol
+                continue
+            for start in range(n - 1, -1, -1):
+                piece = text[start:n]
+                if piece not in endings:
+                    break
+                before = last[start]
+                if before is not None and piece in score:
+                    pair = (before if before in score else "", piece)
+                    good = fit.get(pair)
+                    if self.fits(*pair) if good is None else good:
+                        last[n] = piece
+                        break
+        return self._back(last, 0, len(text))
+
+    def _back(self, last: dict[int, str] | list[str], base: int, end: int) -> list[int]:
         pieces = []
         while end > base:
             pieces.append(last[end])
@@ -118,38 +151,50 @@ class Pieces:
             out += [self.id[p]] if p in self.id else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as 32-bit words."""
+    def words(self, text: str) -> list[str]:
+        """A text's stretches over whose boundaries no piece goes."""
+        if self.plain and text.isascii() and text.isprintable() and text.strip(" ") == text and "  " not in text:
+            return [MARK + w for w in text.split(" ")]
+        return _WORDS.findall(self.model.normalize(text))
+
+    def of_word(self, word: str) -> bytes:
+        """Ids of a word: of its stem and of the punctuation after it, if no piece has both."""
+        at = len(word.rstrip(TAIL))
+        if not 0 < at < len(word) or (word[at - 1], word[at]) in self.joined:
+            at = len(word)
+        found = []
+        for part in (word[:at], word[at:]):
+            ids = self.stems.get(part)
+            if ids is None:
+                if len(part) <= self.longest:
+                    ids = self.stems[part] = array("I", self.within(part)).tobytes()
+                else:
+                    ids = array("I", self.stream(part)).tobytes()
+            found.append(ids)
+        return b"".join(found)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of a batch of texts as 32-bit words; each distinct word is looked up once."""
         if len(self.known) > REMEMBERED:
             self.known = {}
+        if len(self.stems) > REMEMBERED:
+            self.stems = {}
+        split = [self.words(t) if t else [] for t in texts]
         known = self.known
-        words = _WORDS.findall(self.model.normalize(text)) if text else []
-        out = list(map(known.get, words))
-        if None in out:
-            for k, v in enumerate(out):
-                if v is None:
-                    w = words[k]
-                    v = known.get(w)
-                    if v is None:
-                        v = array("I", self.stream(w)).tobytes()
-                        if len(w) <= 64:
-                            known[w] = v
-                    out[k] = v
-        return b"".join(out)
+        fresh = set().union(*split) - known.keys()
+        for w in fresh:
+            known[w] = self.of_word(w)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > 64:  # long words are not kept beyond their batch
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that make no character are replaced."""
         numbers = array("I")
         numbers.frombytes(ids)
-        text, of_byte = self.text, self.of_byte
-        raw = bytearray()
-        for i in numbers:
-            t = text.get(i)
-            if t is not None:
-                raw += t.encode()
-            elif i in of_byte:
-                raw.append(of_byte[i])
-        whole = raw.decode("utf-8", "replace").replace(MARK, " ")
+        whole = b"".join(map(self.raw.__getitem__, numbers)).decode("utf-8", "replace").replace(MARK, " ")
         return whole[1:] if whole.startswith(" ") else whole
 
 
@@ -171,7 +216,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in slices(batches, "text", 1 << 20):
-            got = [model.encode(t or "") for t in batch.column("text").to_pylist()]
+            got = model.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(got, pa.binary())], names=["doc", "ids"])
 
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(
