@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ownerscope import dictionaries as D
@@ -21,6 +21,14 @@ ELEMENT_SCHEMA = (
     "page_id bigint, url string, elem_id int, parent_id int, depth int, sib_ord int, tag string, class string, "
     f"attrs map<string,string>, text string, ancestors array<{NODE}>, p_rank int, title string"
 )
+_ATTRS = pa.map_(pa.string(), pa.string())
+_ARROW = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("elem_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()),
+    ("sib_ord", pa.int32()), ("tag", pa.string()), ("class", pa.string()), ("attrs", _ATTRS), ("text", pa.string()),
+    ("ancestors", pa.list_(pa.struct([("id", pa.int32()), ("tag", pa.string()), ("class", pa.string()), ("attrs", _ATTRS)]))),
+    ("p_rank", pa.int32()), ("title", pa.string())])
+#: a task hands its rows on when they hold about so many bytes
+CHUNK = 2_000_000
 
 
 class _Tree(HTMLParser):
@@ -84,33 +92,44 @@ def _rows(page_id, url, html) -> Iterator[tuple]:
             if article is not None:
                 paragraphs[article] = paragraphs.get(article, 0) + 1
                 rank[i] = paragraphs[article]
+    known = [{"id": i, "tag": n["tag"], "class": n["attrs"].get("class", ""), "attrs": list(n["attrs"].items())} for i, n in enumerate(nodes)]
     for i, n in enumerate(nodes):
         up = list(chain(n["parent"]))
         in_p = next((rank[j] for j in [i, *up] if j in rank), None)
-        yield (page_id, url, i, n["parent"], n["depth"], n["sib"], n["tag"], n["attrs"].get("class", ""), n["attrs"],
-               "".join(n["parts"]), [
-                   {"id": j, "tag": nodes[j]["tag"], "class": nodes[j]["attrs"].get("class", ""),
-                    "attrs": nodes[j]["attrs"]} for j in up], in_p, title)
+        yield (page_id, url, i, n["parent"], n["depth"], n["sib"], n["tag"], known[i]["class"], known[i]["attrs"],
+               "".join(n["parts"]), [known[j] for j in up], in_p, title)
+
+
+def _chunks(pages: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The elements of the pages in batches of bounded size, whatever the number of pages and of a page's elements."""
+    rows, held = [], 0
+    for page in pages:
+        for row in _rows(*page):
+            rows.append(row)
+            held += len(row[9]) + 100 * (1 + len(row[10]))
+            if held >= CHUNK:
+                yield _batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
     """Every element of every page with its place in the tree.
 
     Parsing needs a tokenizer Spark does not have; it runs per Arrow batch and a
-    page never leaves its task. ``p_rank`` is the number, within the article, of
+    page never leaves its task. A task holds one page's tree and at most ``CHUNK``
+    bytes of its rows at a time. ``p_rank`` is the number, within the article, of
     the paragraph the element is in.
     """
-    names = [c.split()[0] for c in ELEMENT_SCHEMA.replace(NODE, "node").split(", ")]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [r for p in zip(pdf["page_id"], pdf["url"], pdf["html"]) for r in _rows(*p)]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("parent_id", "p_rank"):
-                out[c] = out[c].astype("Int32")
-            yield out
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _chunks(tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
 
-    return pages.select("page_id", "url", "html").mapInPandas(parse, ELEMENT_SCHEMA)
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(parse, ELEMENT_SCHEMA)
 
 
 # --- selectors ---------------------------------------------------------------
