@@ -78,15 +78,26 @@ def offshore_structure(entities: DataFrame, key: str) -> DataFrame:
 
 
 # --- contracts ---------------------------------------------------------------
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles that are written with at most six decimals, without rounding on the way; other values sum as doubles.
+
+    A sum of doubles depends on the order of its rows, and whole amounts come out a hair below or above.
+    """
+    decimal = c.try_cast("decimal(28,6)")
+    fits = F.coalesce(decimal.cast("double") == c, F.lit(False))
+    return F.when(F.count_if(c.isNotNull() & ~fits) == 0, F.sum(F.when(fits, decimal)).cast("double")).otherwise(F.sum(c))
+
+
 def gov_dependency(contracts: DataFrame, key: str, high: float = 100e6, medium: float = 10e6,
                    defense: float = 0.3, concentration: float = 0.7) -> DataFrame:
     """Contract totals, agency and type distribution, risk level with its reasons."""
+    total_of = exact_sum if contracts.schema["amount"].dataType.typeName() == "double" else F.sum
     base = contracts.groupBy(key, F.coalesce("agency", F.lit("Unknown")).alias("agency"),
                              F.coalesce("award_type", F.lit("Unknown")).alias("award_type")).agg(
-        F.sum("amount").alias("amount"), F.count("*").alias("n"),
+        total_of(F.col("amount")).alias("amount"), F.count("*").alias("n"),
         F.sum(is_classified(F.col("description")).cast("bigint")).alias("cl"))
-    agencies = base.groupBy(key, "agency").agg(F.sum("amount").alias("amount"), F.sum("cl").alias("cl")).groupBy(key).agg(
-        F.sum("amount").alias("total_value"), F.sum("cl").alias("classified_count"),
+    agencies = base.groupBy(key, "agency").agg(total_of(F.col("amount")).alias("amount"), F.sum("cl").alias("cl")).groupBy(key).agg(
+        total_of(F.col("amount")).alias("total_value"), F.sum("cl").alias("classified_count"),
         F.max("amount").alias("_top"),
         F.sum(F.when(F.col("agency") == "DEPARTMENT OF DEFENSE", F.col("amount"))).alias("_dod"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("agency", "amount")))).alias("agencies"))
