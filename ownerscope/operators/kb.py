@@ -166,7 +166,12 @@ def fuzzy_search(queries: DataFrame, kb: DataFrame, limit: int | None = 5, thres
                  aliases: bool = True, tickers: bool = True, query: str = "query",
                  weights: dict[str, float] | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Best companies per distinct query text: rank, score and what matched."""
-    pairs = scored_pairs(queries, kb_candidates(kb, aliases, tickers), threshold, weights, query, scorer)
+    candidates = kb_candidates(kb, aliases, tickers)
+    if limit == 1:
+        # equal texts of equal boost score alike and the first one wins: each is searched once, however many companies have it
+        candidates = candidates.groupBy("normalized", "boost").agg(
+            F.max_by(F.struct("company_id", "ord", "text", "kind"), F.struct(-F.col("ord"))).alias("first")).select("normalized", "boost", "first.*")
+    pairs = scored_pairs(queries, candidates, threshold, weights, query, scorer)
     best = pairs.groupBy("query", "company_id").agg(
         F.max_by(F.struct("score", "ord", "kind", "text"), F.struct("score", -F.col("ord"))).alias("hit"))
     hits = best.select("query", "company_id", F.col("hit.score").alias("score"), F.col("hit.ord").alias("ord"),

@@ -151,3 +151,17 @@ def test_common_words_make_few_pairs(spark, shared):
     score = S.enhanced_ratio(S.feature_columns("q"), S.feature_columns("c")) * F.col("boost")
     want = {(r.query, r.company_id, round(r.score, 9)) for r in wide.withColumn("score", score).filter(F.col("score") >= 0.7).collect()}
     assert got == want and len(want) > 40
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    """Companies with the same names cost one candidate per text when only the best company is asked for, and the first one wins."""
+    rows = [(i, f"c{i}", ("Acme Widgets", "Blue Rivet")[i % 2], ["Brand 1", f"Own {i}"], "", None, None, None, [], []) for i in range(400)]
+    rows.append((None, "none", "Green Bolt", ["Acme Widgets"], "", None, None, None, [], []))
+    kb = K.with_normalized(spark.createDataFrame(rows, "ord int, " + K.COMPANY_SCHEMA))
+    queries = spark.createDataFrame([("acme widget",), ("Blue Rivets",), ("Brand 1",), ("Green Bolts",)], "query string")
+    searched, real = [], K.candidate_pairs
+    monkeypatch.setattr(K, "candidate_pairs", lambda q, c, *a, **k: (searched.append(c.count()), real(q, c, *a, **k))[1])
+    best = lambda limit: {(r["query"], r["company_id"], r["match_type"], r["matched_text"], round(r["score"], 9)) for r in K.fuzzy_search(queries, kb, limit=limit).collect() if r["rank"] == 1}
+    got = best(1)
+    assert searched == [2 + 1 + 1 + 400 + 1] and {g[1] for g in got if g[0] != "Brand 1"} == {"c0", "c1", "none"}
+    assert got == best(3)
