@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ownerscope import dictionaries as D
 from ownerscope.functions import similarity as S
 from ownerscope.functions.text import any_of, literal_map
+from ownerscope.session import computed_once
 
 
 def pattern_factor(confidence: Column, kind: Column) -> Column:
@@ -144,7 +145,8 @@ def score_entities(df: DataFrame, factors: dict[str, Column], weights: dict[str,
     total, score = 0.0, F.lit(0.0)
     for k in FACTORS:
         score, total = score + cols[k] * w[k], total + w[k]
-    out = out.withColumn("score", score / total).withColumn("level", level(F.col("score"), thresholds))
+    # a filter on the score would repeat all factors below the projection
+    out = computed_once(out, "score", score / total).withColumn("level", level(F.col("score"), thresholds))
     recommendation = (F.when(F.col("level") == "high", F.lit("Entity highly reliable - proceed with confidence"))
                       .when(F.col("level") == "medium", F.concat(F.lit("Entity moderately reliable - verify "), weakest_factor(cols)))
                       .when(F.col("level") == "low", F.lit("Entity uncertain - additional validation recommended"))
