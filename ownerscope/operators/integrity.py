@@ -7,21 +7,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ownerscope import dictionaries as D
 from ownerscope.functions.text import any_of, contains_any, leading_number
 from ownerscope.operators.running import PART, balanced, running
+from ownerscope.session import computed_once
 
 
 def _checks(pairs: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in pairs]), lambda x: x.isNotNull())
 
 
-def owner_violations(name: Column, percent: Column) -> Column:
-    """Broken owner rules, in checking order."""
+def _owner_rules(name: Column, percent: Column) -> list[tuple[str, Column]]:
     missing_pct = percent.isNull() | (percent == "")
-    return _checks([
+    return [
         ("missing_name", name.isNull() | (name == "")),
         ("missing_percent", missing_pct),
         ("bad_name", ~name.rlike(D.OWNER_NAME_PATTERN)),
         ("bad_percent", ~missing_pct & ~percent.rlike(D.OWNER_PERCENT_PATTERN)),
-    ])
+    ]
+
+
+def owner_violations(name: Column, percent: Column) -> Column:
+    """Broken owner rules, in checking order."""
+    return _checks(_owner_rules(name, percent))
 
 
 def entity_violations(name: Column, code: Column) -> Column:
@@ -47,13 +52,15 @@ def unlisted_jurisdiction(code: Column) -> Column:
     return ~F.coalesce(F.lower(code).isin(*D.ALLOWED_JURISDICTIONS), F.lit(False))
 
 
-def has_injection(text: Column) -> Column:
-    low = F.lower(text)
+def has_injection(text: Column, low: Column | None = None) -> Column:
+    """``low`` is the lower-cased text where the caller has it."""
+    low = F.lower(text) if low is None else low
     return any_of([low.rlike(p) for p in D.INJECTION_PATTERNS])
 
 
-def is_fake_owner(name: Column) -> Column:
-    return F.coalesce(contains_any(F.lower(name), D.FAKE_NAME_PARTS) | name.isin(*D.FAKE_NAMES), F.lit(False))
+def is_fake_owner(name: Column, low: Column | None = None) -> Column:
+    low = F.lower(name) if low is None else low
+    return F.coalesce(contains_any(low, D.FAKE_NAME_PARTS) | name.isin(*D.FAKE_NAMES), F.lit(False))
 
 
 def owner_shape(depth: Column, owners: Column) -> Column:
@@ -73,15 +80,19 @@ def ownership_checks(owners: DataFrame, key: str, source: str = "source") -> Dat
     total and the anomaly parts. All parts are algebraic or distinct counts, so a
     hot record combines on the map side.
     """
-    pct = leading_number(F.col("percent"))
+    # once per row: each test of an alternative would repeat the texts it reads
+    json = F.to_json(F.struct("name", "percent"))
+    rows = computed_once(owners, "_c", F.struct(
+        leading_number(F.col("percent")).alias("pct"), F.lower(json).alias("json"), F.lower("name").alias("name"),
+        any_of([F.coalesce(c, F.lit(False)) for _, c in _owner_rules(F.col("name"), F.col("percent"))]).alias("bad")))
+    pct, low = F.col("_c.pct"), F.col("_c.name")
     pos = F.when(pct > 0, pct)
-    bad = F.size(owner_violations(F.col("name"), F.col("percent")))
-    agg = owners.groupBy(key, source).agg(
-        F.count("*").alias("owners"), F.sum((bad > 0).cast("int")).alias("bad_owners"),
-        F.max(has_injection(F.to_json(F.struct("name", "percent")))).alias("injection"),
-        F.max(is_fake_owner(F.col("name"))).alias("fake"),
+    agg = rows.groupBy(key, source).agg(
+        F.count("*").alias("owners"), F.sum(F.col("_c.bad").cast("int")).alias("bad_owners"),
+        F.max(has_injection(json, F.col("_c.json"))).alias("injection"),
+        F.max(is_fake_owner(F.col("name"), low)).alias("fake"),
         F.sum(pct).alias("total_percent"), F.count(pos).alias("_n"), F.var_pop(pos).alias("variance"),
-        F.countDistinct(F.lower("name")).alias("distinct_names"), F.max("seen_at").alias("seen_at"))
+        F.countDistinct(low).alias("distinct_names"), F.max("seen_at").alias("seen_at"))
     var = F.col("variance")
     stat = F.when(F.col("_n") > 0, F.when(var > 100, 0.3).otherwise(0.0)
                   + F.when((var < 0.01) & (F.col("_n") > 3), 0.5).otherwise(0.0)).otherwise(0.0)
