@@ -5,7 +5,9 @@ All functions take and return Columns and stay inside the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import string
+from functools import cache, reduce
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -16,17 +18,54 @@ from ownerscope import dictionaries as D
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # white space as the reference semantics define it (members of a character class)
 SPACES = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# a run of white space that is not one plain space; printable ASCII is ruled out first, by one comparison
+UNEVEN_SPACES = f"(?![!-~])(?: [{SPACES}]+|[{SPACES}&&[^ ]][{SPACES}]*)"
 NUMBER_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
 
 
+def _listed(chars: re.Match) -> str:
+    """A character class with its ASCII ranges written out, which Java looks up in one table instead of testing range by range."""
+    out = chars[0]
+    for short, full in (("A-Z", string.ascii_uppercase), ("a-z", string.ascii_lowercase), ("0-9", string.digits), (r"\s", " \\t\\n\\x0B\\f\\r")):
+        out = out.replace(short, full)
+    return out
+
+
+def _alternatives(rest: str) -> bool:
+    """Whether a stretch of a pattern has a bar outside the groups that are closed in it."""
+    bare, before = re.sub(r"\\.|\[[^\]]*\]", "", rest), None
+    while bare != before:
+        bare, before = re.sub(r"\([^()]*\)", "", bare), bare
+    return "|" in bare
+
+
+def _first_characters(rest: str) -> str | None:
+    """Class of the word characters a pattern can start with, where that is plain to see: a class, or a group of words."""
+    if m := re.match(r"\(?(\[[A-Za-z0-9-]+\])(?!\?|\*|\{0|\{,)", rest):
+        return None if _alternatives(rest[m.end():]) else m[1]
+    m = re.match(r"\((?:\?:)?([A-Za-z0-9][^()]*)\)(?!\?|\*|\{0|\{,)", rest)
+    words = m[1].split("|") if m and not _alternatives(rest[m.end():]) else []
+    plain = all(re.match(r"[A-Za-z0-9](?![?*{])", w) for w in words)
+    return f"[{''.join(sorted({w[0] for w in words}))}]" if words and plain else None
+
+
+@cache
 def regex(pattern: str, flags: str = "") -> str:
     """A dictionary pattern in the form Spark's regex functions need.
 
     Every pattern that starts with a boundary goes on with a word character, so
-    the boundary there is just "no word character before".
+    the boundary there is just "no word character before"; it is looked at where
+    the first character fits. A name's class holds no apostrophe, so a name before
+    one gives nothing back.
     """
-    head, rest = ("(?<!\\w)(?=\\w)", pattern[2:]) if pattern.startswith(r"\b") else ("", pattern)
-    return ("(?i)" if "i" in flags else "") + head + rest.replace(r"\b", BOUNDARY)
+    head, rest = ("", pattern)
+    if pattern.startswith(r"\b"):
+        rest = pattern[2:]
+        first = _first_characters(rest)
+        head = f"(?={first})(?<!\\w)" if first else r"(?<!\w)(?=\w)"
+    rest = rest.replace("{1,50})(?:'", "{1,50}+)(?:'")
+    whole = head + rest.replace(r"\b", BOUNDARY)
+    return ("(?i)" if "i" in flags else "") + re.sub(r"\[(?:[^\]\\^]|\\.)(?:[^\]\\]|\\.)*\]", _listed, whole)
 
 
 def literal_map(mapping: dict) -> Column:
@@ -60,13 +99,17 @@ def _first(c: Column, n: int | None) -> Column:
     return c if n is None else F.substring(c, 1, n)
 
 
+def _untagged(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("<"), F.lit("")), F.lit(">"), F.lit(""))
+
+
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACES, " "))
 
 
 def sanitize_nlp(c: Column, max_chars: int | None = None) -> Column:
     """Text as the mention patterns see it; ``max_chars=1000`` is the in-page latency guard."""
-    kept = F.translate(_first(c, max_chars), "<>", "")
+    kept = _untagged(_first(c, max_chars))
     return collapse(F.regexp_replace(kept, r"[\x00-\x1F\x7F-\x9F]", ""))
 
 
@@ -200,14 +243,15 @@ def context_sentiment(c: Column) -> Column:
 
 
 def mention_context(text: Column, position: Column, mention: Column, width: int = 50) -> Column:
-    """Window around a mention with its industries, figures and sentiment.
+    """Window around a mention with its industries, figures and sentiment."""
+    return describe_context(context_window(text, position, mention, width))
 
-    ``position`` is the zero-based offset in ``text``.
-    """
+
+def context_window(text: Column, position: Column, mention: Column, width: int = 50) -> Column:
+    """Text around a mention; ``position`` is the zero-based offset in ``text``."""
     start = F.greatest(F.lit(0), position - width)
     end = F.least(F.length(text), position + F.length(mention) + width)
-    window = F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
-    return describe_context(window)
+    return F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
 def describe_context(window: Column) -> Column:

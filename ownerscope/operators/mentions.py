@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ownerscope import dictionaries as D
 from ownerscope.functions import similarity as S
 from ownerscope.functions.text import (
-    company_suffixes, company_type, contains_any, country_hints, has_company_context, is_ticker, mention_context,
+    company_suffixes, company_type, context_window, country_hints, describe_context, has_company_context, is_ticker,
     normalize_company, normalize_mention, any_of, literal_map, regex, sanitize_nlp,
 )
 from ownerscope.operators.kb import scored_pairs, kb_candidates
@@ -38,30 +38,46 @@ def default_families() -> list[PatternFamily]:
             for name, (kind, conf, patterns) in D.MENTION_FAMILIES.items()]
 
 
+#: from frequent to rare; characters that are not listed are rarer
+_FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def rare_end(part: str) -> str:
+    """A part from the rarest character of its first half on: a search compares whole words only where their first byte stands."""
+    rank = [_FREQUENT.find(ch) % (len(_FREQUENT) + 1) for ch in part[:len(part) // 2 + 1]]
+    return part[rank.index(max(rank)):]
+
+
+def holds(text: Column, part: str) -> Column:
+    """Whether a text contains a part; most texts are ruled out by the part's rare end."""
+    end = rare_end(part)
+    return text.contains(part) if end == part else text.contains(end) & text.contains(part)
+
+
 def may_match(text: Column, low: Column, flags: str, parts: list[str], ending: str | None) -> Column:
     """Cheap necessary condition of a pattern: plain contains, then a short regex."""
-    gate = contains_any(low if "i" in flags else text, parts) if parts else F.lit(True)
+    gate = any_of([holds(low if "i" in flags else text, p) for p in parts]) if parts else F.lit(True)
     return gate if ending is None else gate & text.rlike(ending)
 
 
 def match_positions(text: Column, pattern: str, gate: Column) -> Column:
     """All matches of a pattern as (group 1, offset of the whole match).
 
-    One pass marks each match and its group with control characters, which the
-    sanitised text cannot hold; offsets come from the pieces between the marks.
+    One pass puts each match and its group between control characters, which the
+    sanitised text cannot hold; offsets come from the lengths of the pieces: before
+    the first match, then a match, its group and what stands up to the next one.
     Texts failing the gate skip the pattern altogether.
     """
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\u0001$0\u0002$1\u0003")), "\u0001")
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast(RAW).alias("out"))
+    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\u0001$0\u0001$1\u0001")), "\u0001")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.array().cast(RAW).alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
-        whole = F.substring_index(piece, "\u0002", 1)
-        group = F.substring_index(F.substring_index(piece, "\u0003", 1), "\u0002", -1)
-        rest = F.substring_index(piece, "\u0003", -1)
-        hit = F.struct(group.alias("text"), acc["at"].alias("position"))
-        # the first piece stands before all matches
-        return F.when(acc["at"] < 0, F.struct(F.length(piece).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(
-            (acc["at"] + F.length(whole) + F.length(rest)).alias("at"), F.array_append(acc["out"], hit).alias("out")))
+        kind = acc["n"] % 3
+        hit = F.struct(piece.alias("text"), acc["start"].alias("position"))
+        return F.struct(
+            (acc["n"] + 1).alias("n"), F.when(kind == 1, acc["at"]).otherwise(acc["start"]).alias("start"),
+            F.when(kind == 2, acc["at"]).otherwise(acc["at"] + F.length(piece)).alias("at"),
+            F.when(kind == 2, F.array_append(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
     hits = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
     return F.when(gate, hits).otherwise(F.array().cast(RAW))
@@ -237,7 +253,9 @@ def enrich(docs: DataFrame, kb: DataFrame, keys: list[str], threshold: float = 0
         F.when(formal, normalize_company(F.col("m.text"))).alias("base_name"),
         suffixes.alias("suffixes"), company_type(suffixes).alias("company_type"),
         country_hints(suffixes).alias("country_hints"),
-        mention_context(F.col("clean_text"), F.col("m.position"), F.col("m.text")).alias("context"))
+        context_window(F.col("clean_text"), F.col("m.position"), F.col("m.text")).alias("_near"))
+    # bound once: the description reads the window many times
+    rows = computed_once(rows, "_window", F.col("_near")).withColumn("context", describe_context(F.col("_window"))).drop("_near", "_window")
     base = F.nullif(F.coalesce(F.col("base_name"), F.lit("")), F.lit(""))
     rows = rows.withColumn("search_text", F.coalesce(base, F.col("normalized"), F.col("text")))
     rows = materialize(rows)
