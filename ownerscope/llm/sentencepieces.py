@@ -57,22 +57,39 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.raw = [m.id_to_piece(i).encode() if i in self.text else bytes([self.of_byte[i]]) if i in self.of_byte else b"" for i in range(size)]
-        self.endings = {t[k:] for t in self.id for k in range(len(t))}
+        #: ends of pieces; those that are pieces note which pieces may stand before them
+        self.ending: dict[str, dict[str, bool] | None] = {t[k:]: None for t in self.id for k in range(len(t))}
+        self.ending.update((t, {}) for t in self.id)
+        self.noted = 0
+        self.word = [array("I", [i]).tobytes() for i in range(size)]
+        #: the lattice of the text encoded last: the piece that ends each prefix, and the prefix's ids
+        self.text_before, self.last, self.ids = "", [""], [b""]
         #: neighbours inside some piece: nothing merges over a boundary between others
         self.joined = {pair for t in self.id for pair in zip(t, t[1:])}
         ascii_ = "".join(map(chr, range(32, 127)))
         self.plain = m.normalize(ascii_) == MARK + ascii_.replace(" ", MARK)  # whether plain text is left as it is
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Merges of neighbours by score, the leftmost first among equals; for pairs of pieces, so always short."""
-        symbols = list(symbols)
+    def stay(self, left: str, right: str) -> bool:
+        """Whether merging the symbols of two pieces by score, the leftmost first among equals, gives the two pieces."""
+        if left and left + right in self.score:
+            return False  # these two would merge
+        symbols, edge, score = [*left, *right], len(left), self.score.get
         while len(symbols) > 1:
-            best = max(((self.score[a + b], -k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.score), default=None)
+            best, at, before = None, 0, symbols[0]
+            for k in range(1, len(symbols)):
+                after = symbols[k]
+                found = score(before + after)
+                if found is not None and (best is None or found > best):
+                    best, at = found, k
+                before = after
             if best is None:
                 break
-            k = -best[1]
-            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
-        return symbols
+            if at == edge:
+                return False  # merged over the edge
+            if at < edge:
+                edge -= 1
+            symbols[at - 1:at + 1] = [symbols[at - 1] + symbols[at]]
+        return symbols == [p for p in (left, right) if p]
 
     def fits(self, left: str, right: str) -> bool:
         """Whether two neighbouring pieces stay as they are."""
@@ -81,7 +98,7 @@ class Pieces:
         if got is None:
             if len(self.fit) > REMEMBERED:
                 self.fit.clear()
-            got = self.fit[pair] = self.merged([*left, *right]) == [p for p in pair if p]
+            got = self.fit[pair] = self.stay(left, right)
         return got
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
@@ -116,32 +133,57 @@ class Pieces:
                     base = boundary
         yield from self._back(last, base, n)
 
-    def within(self, text: str) -> list[int]:
+    def within(self, text: str) -> bytes:
         """Ids of a text that fits the window: the same lattice without boundaries to commit.
 
-        A prefix has one encoding only, so the pieces that end it may be tried from the shortest on, until none ends like that.
+        A prefix has one encoding only, so the pieces that end it may be tried from the shortest on, until none ends like that,
+        and the prefix that a text shares with the one before needs no new search: sorted texts share most of theirs.
         """
-        last: list[str | None] = [None] * (len(text) + 1)
-        last[0] = ""
-        score, endings, fit = self.score, self.endings, self.fit
-        for n, symbol in enumerate(text, 1):
-            if symbol not in score:
-                last[n] = symbol
+        last, ids, at = self.last, self.ids, 0
+        for a, b in zip(text, self.text_before):
+            if a != b:
+                break
+            at += 1
+        del last[at + 1:], ids[at + 1:]
+        ending, word = self.ending, self.word
+        for n in range(at + 1, len(text) + 1):
+            piece = text[n - 1]
+            known = ending.get(piece)
+            if known is None:  # stands alone
+                last.append(piece)
+                ids.append(ids[-1] + b"".join([word[self.byte[b]] for b in piece.encode("utf-8", "surrogatepass")]))
                 continue
-            for start in range(n - 1, -1, -1):
-                piece = text[start:n]
-                if piece not in endings:
-                    break
-                before = last[start]
-                if before is not None and piece in score:
-                    pair = (before if before in score else "", piece)
-                    good = fit.get(pair)
-                    if self.fits(*pair) if good is None else good:
-                        last[n] = piece
+            start = n - 1
+            while known is not False:
+                if known is not None and (before := last[start]) is not None:
+                    good = known.get(before)
+                    if self.neighbours(before, piece) if good is None else good:
+                        last.append(piece)
+                        ids.append(ids[start] + word[self.id[piece]])
                         break
-        return self._back(last, 0, len(text))
+                if not start:
+                    break
+                start -= 1
+                piece = text[start:n]
+                known = ending.get(piece, False)
+            if len(last) == n:  # no piece ends here
+                last.append(None)
+                ids.append(None)
+        self.text_before = text
+        return ids[len(text)]
+
+    def neighbours(self, left: str, right: str) -> bool:
+        """Whether two neighbouring pieces stay as they are, noted at the right one."""
+        self.noted += 1
+        if self.noted > REMEMBERED:
+            self.noted = 1
+            for known in self.ending.values():
+                if known:
+                    known.clear()
+        got = self.ending[right][left] = self.stay(left if left in self.score else "", right)
+        return got
 
-    def _back(self, last: dict[int, str] | list[str], base: int, end: int) -> list[int]:
+    def _back(self, last: dict[int, str], base: int, end: int) -> list[int]:
         pieces = []
         while end > base:
             pieces.append(last[end])
@@ -166,10 +208,9 @@ class Pieces:
         for part in (word[:at], word[at:]):
             ids = self.stems.get(part)
             if ids is None:
+                ids = self.within(part) if len(part) <= 4 * self.longest else array("I", self.stream(part)).tobytes()
                 if len(part) <= self.longest:
-                    ids = self.stems[part] = array("I", self.within(part)).tobytes()
-                else:
-                    ids = array("I", self.stream(part)).tobytes()
+                    self.stems[part] = ids
             found.append(ids)
         return b"".join(found)
 
@@ -182,7 +223,7 @@ class Pieces:
         split = [self.words(t) if t else [] for t in texts]
         known = self.known
         fresh = set().union(*split) - known.keys()
-        for w in fresh:
+        for w in sorted(fresh):
             known[w] = self.of_word(w)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in fresh:
