@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ownerscope import dictionaries as D
+from ownerscope.functions import text as T
 from ownerscope.functions.text import (
     entity_key, is_ticker, keep_ambiguous, describe_context, normalize_mention, sanitize_boundary, sanitize_nlp,
     sanitize_page,
@@ -163,7 +164,7 @@ select doc_id, ord, w as context, array_to_string(list_filter([{inds}], lambda x
 @query("mention_context", _context_sql())
 def mention_context(spark, sf):
     rows = _arrays(spark, sf).select("doc_id", "clean_text", F.posexplode("mentions").alias("ord", "m"))
-    c = rows.select("doc_id", "ord", M.mention_context(F.col("clean_text"), F.col("m.position"), F.col("m.text")).alias("c"))
+    c = rows.select("doc_id", "ord", T.mention_context(F.col("clean_text"), F.col("m.position"), F.col("m.text")).alias("c"))
     figures = F.transform(F.map_entries("c.financial"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return c.select("doc_id", "ord", F.col("c.text").alias("context"), F.array_join("c.industries", "|").alias("industries"),
                     F.coalesce(F.array_join(figures, "|"), F.lit("")).alias("figures"), F.col("c.sentiment").alias("sentiment"))
