@@ -116,8 +116,7 @@ def sketch_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
 
 
 def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    store = word_hashes()
-    return [shingle_set(store.of(words_of(t)), k) for t in texts]
+    return [shingle_set(word_hashes(words_of(t)), k) for t in texts]
 
 
 def dense_sketch(s: np.ndarray) -> bytes:

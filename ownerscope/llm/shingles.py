@@ -7,7 +7,6 @@ import xxhash
 
 from ownerscope.llm.common import mix64
 
-REMEMBERED = 600_000
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -15,24 +14,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            digest = xxhash.xxh3_64_intdigest
-            for k, v in enumerate(got):
-                if v is None:
-                    w = words[k]
-                    got[k] = known[w] = digest(w)
-        return np.array(got, np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. Looking words up in a store takes longer than hashing them, and the store stays in the worker."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -45,13 +29,3 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(size):
         total += hashes[j:n - size + 1 + j] * _FACTORS[j]
     return np.unique(mix64(total))
-
-
-_WORDS: list[WordHashes] = []
-
-
-def word_hashes() -> WordHashes:
-    """One store per Python worker."""
-    if not _WORDS:
-        _WORDS.append(WordHashes())
-    return _WORDS[0]
