@@ -61,9 +61,9 @@ class Pieces:
         self.ending: dict[str, dict[str, bool] | None] = {t[k:]: None for t in self.id for k in range(len(t))}
         self.ending.update((t, {}) for t in self.id)
         self.noted = 0
-        self.word = [array("I", [i]).tobytes() for i in range(size)]
-        #: the lattice of the text encoded last: the piece that ends each prefix, and the prefix's ids
-        self.text_before, self.last, self.ids = "", [""], [b""]
+        self.word = {t: array("I", [i]).tobytes() for t, i in self.id.items()}
+        #: the lattice of the text encoded last: the piece that ends each prefix
+        self.text_before, self.last = "", [""]
         #: neighbours inside some piece: nothing merges over a boundary between others
         self.joined = {pair for t in self.id for pair in zip(t, t[1:])}
         ascii_ = "".join(map(chr, range(32, 127)))
@@ -139,38 +139,47 @@ class Pieces:
         A prefix has one encoding only, so the pieces that end it may be tried from the shortest on, until none ends like that,
         and the prefix that a text shares with the one before needs no new search: sorted texts share most of theirs.
         """
-        last, ids, at = self.last, self.ids, 0
+        last, at = self.last, 0
         for a, b in zip(text, self.text_before):
             if a != b:
                 break
             at += 1
-        del last[at + 1:], ids[at + 1:]
-        ending, word = self.ending, self.word
+        del last[at + 1:]
+        find, add = self.ending.get, last.append
         for n in range(at + 1, len(text) + 1):
-            piece = text[n - 1]
-            known = ending.get(piece)
+            start = n - 1
+            piece = text[start]
+            known = find(piece)
             if known is None:  # stands alone
-                last.append(piece)
-                ids.append(ids[-1] + b"".join([word[self.byte[b]] for b in piece.encode("utf-8", "surrogatepass")]))
+                add(piece)
                 continue
-            start = n - 1
             while known is not False:
                 if known is not None and (before := last[start]) is not None:
                     good = known.get(before)
                     if self.neighbours(before, piece) if good is None else good:
-                        last.append(piece)
-                        ids.append(ids[start] + word[self.id[piece]])
+                        add(piece)
                         break
                 if not start:
                     break
                 start -= 1
                 piece = text[start:n]
-                known = ending.get(piece, False)
+                known = find(piece, False)
             if len(last) == n:  # no piece ends here
-                last.append(None)
-                ids.append(None)
+                add(None)
         self.text_before = text
-        return ids[len(text)]
+        found, end, words = [], len(text), self.word
+        while end:
+            piece = last[end]
+            ids = words.get(piece)
+            found.append(self.alone(piece) if ids is None else ids)
+            end -= len(piece)
+        found.reverse()
+        return b"".join(found)
+
+    def alone(self, symbol: str) -> bytes:
+        """Ids of a symbol outside the vocabulary, remembered like a piece's."""
+        ids = self.word[symbol] = array("I", [self.byte[b] for b in symbol.encode("utf-8", "surrogatepass")]).tobytes()
+        return ids
 
     def neighbours(self, left: str, right: str) -> bool:
         """Whether two neighbouring pieces stay as they are, noted at the right one."""
@@ -197,22 +206,26 @@ class Pieces:
         """A text's stretches over whose boundaries no piece goes."""
         if self.plain and text.isascii() and text.isprintable() and text.strip(" ") == text and "  " not in text:
             return [MARK + w for w in text.split(" ")]
-        return _WORDS.findall(self.model.normalize(text))
+        normal = self.model.normalize(text)
+        if MARK + MARK in normal:
+            return _WORDS.findall(normal)
+        first, *rest = normal.split(MARK)
+        return [*([first] if first else []), *[MARK + w for w in rest]]
 
     def of_word(self, word: str) -> bytes:
         """Ids of a word: of its stem and of the punctuation after it, if no piece has both."""
         at = len(word.rstrip(TAIL))
         if not 0 < at < len(word) or (word[at - 1], word[at]) in self.joined:
-            at = len(word)
-        found = []
-        for part in (word[:at], word[at:]):
-            ids = self.stems.get(part)
-            if ids is None:
-                ids = self.within(part) if len(part) <= 4 * self.longest else array("I", self.stream(part)).tobytes()
-                if len(part) <= self.longest:
-                    self.stems[part] = ids
-            found.append(ids)
-        return b"".join(found)
+            return self.of_stem(word)
+        return self.of_stem(word[:at]) + self.of_stem(word[at:])
+
+    def of_stem(self, part: str) -> bytes:
+        ids = self.stems.get(part)
+        if ids is None:
+            ids = self.within(part) if len(part) <= 4 * self.longest else array("I", self.stream(part)).tobytes()
+            if len(part) <= self.longest:
+                self.stems[part] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of a batch of texts as 32-bit words; each distinct word is looked up once."""
