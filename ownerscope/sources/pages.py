@@ -32,12 +32,16 @@ CHUNK = 2_000_000
 
 
 class _Tree(HTMLParser):
-    """Elements in document order; tolerant of unclosed tags."""
+    """Elements in document order; tolerant of unclosed tags.
+
+    The text of an element is ``pieces[begin:end]``, so a tree is as large as its page however deep the elements lie.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.stack: list[int] = []
+        self.pieces: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -45,19 +49,23 @@ class _Tree(HTMLParser):
         if tag == "li":
             self._close("li", stop={"ul", "ol"})
         parent = self.stack[-1] if self.stack else None
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parent": parent, "parts": [], "children": 0,
-                "sib": 0, "depth": len(self.stack)}
+        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parent": parent, "begin": len(self.pieces),
+                "end": None, "children": 0, "sib": 0, "depth": len(self.stack)}
         if parent is not None:
             node["sib"] = self.nodes[parent]["children"]
             self.nodes[parent]["children"] += 1
         self.nodes.append(node)
-        if tag not in VOID:
+        if tag in VOID:
+            node["end"] = node["begin"]
+        else:
             self.stack.append(len(self.nodes) - 1)
 
     def _close(self, tag, stop=()):
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.nodes[self.stack[i]]["tag"]
             if name == tag:
+                for j in self.stack[i:]:
+                    self.nodes[j]["end"] = len(self.pieces)
                 del self.stack[i:]
                 return
             if name in stop:
@@ -68,16 +76,19 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.stack and self.nodes[self.stack[-1]]["tag"] not in HIDDEN:
-            for i in self.stack:
-                self.nodes[i]["parts"].append(data)
+            self.pieces.append(data)
+
+    def text(self, node: dict) -> str:
+        return "".join(self.pieces[node["begin"]:node["end"]])
 
 
-def _rows(page_id, url, html) -> Iterator[tuple]:
+def _rows(page_id, url, html) -> Iterator[tuple[tuple, int]]:
+    """The elements of a page, each with about the bytes it takes in a batch."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     nodes = tree.nodes
-    title = next(("".join(n["parts"]).strip() for n in nodes if n["tag"] == "title"), "")
+    title = next((tree.text(n).strip() for n in nodes if n["tag"] == "title"), "")
     paragraphs: dict[int | None, int] = {}
     rank: dict[int, int] = {}
 
@@ -93,20 +104,25 @@ def _rows(page_id, url, html) -> Iterator[tuple]:
                 paragraphs[article] = paragraphs.get(article, 0) + 1
                 rank[i] = paragraphs[article]
     known = [{"id": i, "tag": n["tag"], "class": n["attrs"].get("class", ""), "attrs": list(n["attrs"].items())} for i, n in enumerate(nodes)]
+    size: list[int] = []  # of an element's attributes and those of all its ancestors
+    for n in nodes:
+        size.append(100 + sum(len(k) + len(v) for k, v in n["attrs"].items()) + (0 if n["parent"] is None else size[n["parent"]]))
+    shared = len(url or "") + len(title)
     for i, n in enumerate(nodes):
+        text = tree.text(n)
         up = list(chain(n["parent"]))
         in_p = next((rank[j] for j in [i, *up] if j in rank), None)
         yield (page_id, url, i, n["parent"], n["depth"], n["sib"], n["tag"], known[i]["class"], known[i]["attrs"],
-               "".join(n["parts"]), [known[j] for j in up], in_p, title)
+               text, [known[j] for j in up], in_p, title), shared + len(text) + size[i]
 
 
 def _chunks(pages: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """The elements of the pages in batches of bounded size, whatever the number of pages and of a page's elements."""
     rows, held = [], 0
     for page in pages:
-        for row in _rows(*page):
+        for row, size in _rows(*page):
             rows.append(row)
-            held += len(row[9]) + 100 * (1 + len(row[10]))
+            held += size
             if held >= CHUNK:
                 yield _batch(rows)
                 rows, held = [], 0

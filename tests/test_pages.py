@@ -1,5 +1,7 @@
 """Elements of raw pages."""
 
+import tracemalloc
+
 from ownerscope.sources import pages as P
 
 
@@ -33,3 +35,28 @@ def test_elements_keep_their_columns(spark):
     assert [(a["id"], a["tag"], a["class"], a["attrs"]) for a in bold["ancestors"]] == [
         (3, "p", "", {"id": "x", "hidden": ""}), (1, "article", "", {}), (0, "body", "top", {"class": "top"})]
     assert got[None, 0]["url"] is None and got[2**60 + 1, 0]["parent_id"] is None
+
+
+def test_attributes_of_ancestors_count_in_a_batch():
+    html = f'<div style="{"x" * 20_000}">' + "<p>y</p>" * 400 + "</div>"  # 400 rows that each repeat the style
+    batches = list(P._chunks((i, "u", html) for i in range(3)))
+    assert sum(b.num_rows for b in batches) == 3 * 401
+    assert max(b.nbytes for b in batches) < 2 * P.CHUNK
+
+
+def test_a_deep_page_takes_a_tree_of_its_size():
+    html = "<i>x " * 3_000
+    tracemalloc.start()
+    try:
+        next(P._rows(1, "u", html))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 10_000_000  # every piece of text once, not once an ancestor
+
+
+def test_texts_are_those_between_the_tags():
+    html = "a<div>b<br>c<p>d<script>e</script>f<div>g</div></p>h<noscript>i<b>j</b></noscript><li>k<li>l</div>m<i>n"
+    rows = [(r[6], r[9]) for r, _ in P._rows(1, "u", html)]
+    assert rows == [("div", "bcdfghjkl"), ("br", ""), ("p", "df"), ("script", ""), ("div", "g"), ("noscript", "j"), ("b", "j"),
+                    ("li", "k"), ("li", "l"), ("i", "n")]
